@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, mixing
+from quarry.llm import chat, decontaminate, mixing, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_mixing": mixing.query,
+    "op7_warc": warc.query,
+    "op9_chat": chat.query,
 }
 
 SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_mixing": mixing.SQL,
+    "op7_warc": warc.SQL,
+    "op9_chat": chat.SQL,
 }
