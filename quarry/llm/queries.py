@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, decontaminate, mixing, warc
+from quarry.llm import chat, decontaminate, mixing, neardup, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_mixing": mixing.query,
+    "op3_near_duplicates": neardup.query,
     "op7_warc": warc.query,
     "op9_chat": chat.query,
 }
@@ -14,6 +15,7 @@ QUERIES = {
 SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_mixing": mixing.SQL,
+    "op3_near_duplicates": neardup.SQL,
     "op7_warc": warc.SQL,
     "op9_chat": chat.SQL,
 }
