@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, decontaminate, mixing, neardup, warc
+from quarry.llm import chat, chunkdedup, decontaminate, mixing, neardup, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_duplicates": neardup.query,
     "op7_warc": warc.query,
     "op9_chat": chat.query,
+    "op10_substring_dedup": chunkdedup.query,
 }
 
 SQL = {
