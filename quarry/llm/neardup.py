@@ -30,7 +30,11 @@ from quarry.llm.shingles import mix, sets_of
 
 TREES, DEPTH = 16, 8
 PREFIXES = (3, 5, 8)
+#: Of each MinHash value the low 16 bits are kept, which differ if the values do but for one case in 65,536.
+BYTES = 2
 REGION = 2000
+#: The ids of candidates are broadcast, to pick their texts without a shuffle, up to so many (24 MB); else joined.
+BROADCAST_IDS = 1_000_000
 NEIGHBOURS = 4
 PERCENT = 85
 #: Two sketches of 128 2-bit values agree in (1+3J)/4 of them on average; at J = 0.85 this is over 5 standard deviations less.
@@ -68,8 +72,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = mix(sig.astype(np.uint64) + np.uint64(1))
             bits = np.stack([(low >> np.uint64(7)) & np.uint64(1), (low >> np.uint64(19)) & np.uint64(1)], axis=2).astype(np.uint8).reshape(len(own), -1)
             sketch = np.packbits(bits, axis=1).view(np.int64)
-            raw = sig.astype(">u4").tobytes()
-            width = TREES * DEPTH * 4
+            raw = sig.astype(np.uint16).tobytes()
+            width = TREES * DEPTH * BYTES
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array([first + i for i in full])), pa.array([len(s) for s in own], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([raw[i * width : (i + 1) * width] for i in range(len(own))], pa.binary()), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(4))],
                 [c.split()[0] for c in _SIGNED.split(", ")],
@@ -87,24 +91,24 @@ def _agree() -> Column:
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Pairs a < b of classes (rep, n, sig, sketch) that stand close in some tree."""
-    prefix = lambda t, depth: F.xxhash64(t, F.substr(F.col("sig"), t * (DEPTH * 4) + 1, F.lit(depth * 4)))
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(*(prefix(t, d).alias(f"k{d}") for d in PREFIXES), F.substr(F.col("sig"), t * (DEPTH * 4) + 1, F.lit(DEPTH * 4)).alias("p")))
-    rows = classes.select("rep", F.explode(trees).alias("r")).select("rep", "r.*")
-    level = None
+    prefix = lambda tree, depth: F.xxhash64("t", F.substr(tree, F.lit(1), F.lit(depth * BYTES)))
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substr(F.col("sig"), t * (DEPTH * BYTES) + 1, F.lit(DEPTH * BYTES)))
+    rows = classes.select("rep", F.posexplode(trees).alias("t", "p"))
     found = []
     for depth in PREFIXES:
-        key = f"k{depth}"
-        size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).where("c > 1")
-        level = rows.join(size, key)
-        full = level.where(F.col("c") > REGION)
-        here = level if depth == PREFIXES[-1] else level.where(F.col("c") <= REGION)
-        salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / REGION)) if depth == PREFIXES[-1] else F.lit(0)
-        w = Window.partitionBy(key, "salt").orderBy("p", "rep")
-        near = here.withColumn("salt", salt).select("rep", "lead", F.array(*(F.lead("rep", i).over(w) for i in range(1, NEIGHBOURS + 1))).alias("next"))
+        last = depth == PREFIXES[-1]
+        keyed = rows.withColumn("k", prefix(F.col("p"), depth))
+        size = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).where("c > 1")
+        level = materialise(keyed.join(size, "k"), "level")
+        here = level if last else level.where(F.col("c") <= REGION)
+        w = Window.partitionBy("k", "salt").orderBy("p", "rep")
+        near = here.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / REGION)) if last else F.lit(0)).select("rep", "lead", F.array(*(F.lead("rep", i).over(w) for i in range(1, NEIGHBOURS + 1))).alias("next"))
         found.append(near.select("rep", F.explode(F.array_distinct(F.filter(F.concat("next", F.array("lead")), lambda x: x.isNotNull()))).alias("other")))
-        if depth != PREFIXES[-1]:
-            found.append(full.select("rep", F.col("lead").alias("other")))
-            rows = full.select("rep", *(f"k{d}" for d in PREFIXES), "p")
+        full = level.where(F.col("c") > REGION)
+        if last or full.isEmpty():
+            break
+        found.append(full.select("rep", F.col("lead").alias("other")))
+        rows = full.select("rep", "t", "p")
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
@@ -149,7 +153,10 @@ def label(docs: DataFrame) -> DataFrame:
     pairs = pairs.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (_agree() >= MIN_AGREE))
     pairs = materialise(pairs.select("a", "b"), "pairs")
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    held = materialise(rows.join(involved, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("text").alias("held_text")), "held")
+    involved = materialise(involved, "involved")
+    few = involved.count() <= BROADCAST_IDS
+    picked = rows.join(F.broadcast(involved) if few else involved, F.col("doc_id") == F.col("id"), "left_semi")
+    held = materialise(picked.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("text").alias("held_text")), "held")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialise(confirmed(first, held), "links")
     parts = components(links)
