@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, chunkdedup, decontaminate, mixing, neardup, toxicity, warc
+from quarry.llm import chat, chunkdedup, ctw, decontaminate, mixing, neardup, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_mixing": mixing.query,
     "op3_near_duplicates": neardup.query,
+    "op4_context_tree": ctw.query,
     "op5_toxicity": toxicity.query,
     "op7_warc": warc.query,
     "op9_chat": chat.query,
