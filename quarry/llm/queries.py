@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, chunkdedup, ctw, decontaminate, mixing, neardup, toxicity, warc
+from quarry.llm import annsearch, chat, chunkdedup, ctw, decontaminate, mixing, neardup, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_duplicates": neardup.query,
     "op4_context_tree": ctw.query,
     "op5_toxicity": toxicity.query,
+    "op6_nearest_vectors": annsearch.query,
     "op7_warc": warc.query,
     "op9_chat": chat.query,
     "op10_substring_dedup": chunkdedup.query,
