@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, texts
+from quarry.llm.common import bounded_batches, released, table, texts
 
 WINDOW = 8
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 BLOCK_WINDOWS = 200_000
 BLOCK_BYTES = 64 << 20
 SAMPLE_EVERY = 8
@@ -85,7 +85,8 @@ def suffix_order(ids: np.ndarray, sigma: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Backward search over an array of small ids; id 0 stands between texts and never occurs in a pattern."""
+    """Backward search over an array of small ids, the last of which is its only 0, so that the walk from a place to the
+    place of the suffix one position before is exact for all but position 0, and that one is sampled."""
 
     def __init__(self, ids: np.ndarray, sigma: int, every: int = SAMPLE_EVERY):
         order = suffix_order(ids, sigma)
@@ -145,11 +146,11 @@ class FMIndex:
 
 
 class Patterns:
-    """A block of windows as ids: 0 separates, 1 is any word that no window has."""
+    """A block of windows as ids: 0 ends a shard, 1 parts its texts, 2 is any word that no window has."""
 
     def __init__(self, windows: list[tuple[tuple[bytes, ...], list[str]]], window: int):
-        self.vocab = {w: i + 2 for i, w in enumerate(sorted({w for k, _ in windows for w in k}))}
-        self.sigma = len(self.vocab) + 2
+        self.vocab = {w: i + 3 for i, w in enumerate(sorted({w for k, _ in windows for w in k}))}
+        self.sigma = len(self.vocab) + 3
         self.ids = np.zeros((len(windows), window), np.int32)
         self.lengths = np.array([len(k) for k, _ in windows], np.int64)
         for i, (k, _) in enumerate(windows):
@@ -166,12 +167,12 @@ def _scan(column: pa.Array, patterns: Patterns, window: int, shard_words: int) -
     filled = 0
 
     def flush():
-        zero, parts, starts, at = np.zeros(1, np.int32), [], [], 0
+        apart, parts, starts, at = np.ones(1, np.int32), [], [], 0
         for _, _, ids in shard:
             starts.append(at)
-            parts += [ids, zero]
+            parts += [ids, apart]
             at += len(ids) + 1
-        index = FMIndex(np.concatenate(parts), patterns.sigma)
+        index = FMIndex(np.concatenate([*parts, np.zeros(1, np.int32)]), patterns.sigma)
         lo, hi = index.search(patterns.ids, patterns.lengths)
         which = np.repeat(np.arange(len(lo)), hi - lo)
         if len(which):
@@ -190,7 +191,7 @@ def _scan(column: pa.Array, patterns: Patterns, window: int, shard_words: int) -
         found = words(text)
         n_words.append(len(found))
         hits.append(None)
-        ids = np.array([get(w, 1) for w in found], np.int32)
+        ids = np.array([get(w, 2) for w in found], np.int32)
         for begin in range(0, max(1, len(ids) - overlap), shard_words) if len(ids) else ():
             part = ids[begin : begin + shard_words + overlap]
             if shard and filled + len(part) > shard_words:
@@ -205,7 +206,7 @@ def _scan(column: pa.Array, patterns: Patterns, window: int, shard_words: int) -
 
 def _annotate(batches: Iterator[pa.RecordBatch], patterns: Patterns, window: int, shard_words: int) -> Iterator[pa.RecordBatch]:
     """The rows with what this block of windows adds to fm_words, fm_starts, fm_ends and fm_items."""
-    for batch in batches:
+    for batch in released(batches):
         n_words, hits = _scan(batch.column("fm_text"), patterns, window, shard_words)
         starts, ends, items = (batch.column(c).to_pylist() for c in ("fm_starts", "fm_ends", "fm_items"))
         for row, found in enumerate(hits):
@@ -257,6 +258,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_
 
     Each block of windows is one pass in the same stage: the rows carry their spans from pass to pass.
     """
+    bounded_batches(docs.sparkSession)
     out = docs.withColumns({"fm_text": F.col("text").cast("string"), "fm_words": F.lit(0).cast("long"), "fm_starts": F.expr("cast(array() as array<int>)"), "fm_ends": F.expr("cast(array() as array<int>)"), "fm_items": F.expr("cast(array() as array<string>)")})
     schema = out.schema
     for f in schema.fields:
@@ -288,7 +290,7 @@ def without_spans(text: bytes, starts: list[int], ends: list[int]) -> bytes:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         new = [without_spans(t.as_py().encode(), s, e).decode() if s else t.as_py() for t, s, e in zip(batch.column("text"), batch.column("fm_starts").to_pylist(), batch.column("fm_ends").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names], batch.schema.names)
 
