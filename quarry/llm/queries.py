@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import annsearch, chat, chunkdedup, ctw, decontaminate, mixing, neardup, toxicity, warc
+from quarry.llm import annsearch, chat, chunkdedup, ctw, decontaminate, langid, mixing, neardup, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.query,
     "op6_nearest_vectors": annsearch.query,
     "op7_warc": warc.query,
+    "op8_language": langid.query,
     "op9_chat": chat.query,
     "op10_substring_dedup": chunkdedup.query,
 }
