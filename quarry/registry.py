@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quarry.plans import graphs
+
+_FAMILIES = (graphs,)
+QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
+SQL = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}
