@@ -2,69 +2,30 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from quarry.storage import discard, materialise, scratch, shared_dir
 
+__all__ = ["bounded_batches", "discard", "fold", "materialise", "pieces", "released", "scratch", "shared_dir", "table", "texts", "word_count"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it in ``spark.checkpoint.dir``.
-
-    Only where none is set, as in tests on one machine, a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver ends."""
-    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
+#: Rows of an Arrow batch, so that a batch of texts takes a few MB in the JVM and in Python.
+BATCH_ROWS = 1000
 
-def materialise(df: DataFrame, kind: str = "table") -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
-def discard(df: DataFrame) -> None:
-    """Delete the files below a table that ``materialise`` returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if any(path.rstrip("/").endswith(p.rpartition("/")[2]) for _, p in _written):
-            _delete(spark, path)
 
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def word_count(text: Column) -> Column:
@@ -77,6 +38,13 @@ def fold(doc_id: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches; after each, Arrow gives memory that it no longer uses back to the system."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each value, null as empty."""
     for v in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist():
