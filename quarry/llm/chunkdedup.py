@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import pieces, table, texts
+from quarry.llm.common import bounded_batches, pieces, released, table, texts
 from quarry.llm.shingles import PIECE_BYTES, mix, powers
 
 SPAN = 16
@@ -79,7 +79,7 @@ def chunk_all(group: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, digest, n): each document's distinct chunks and how often it has them."""
-    for batch in batches:
+    for batch in released(batches):
         every = list(texts(batch.column("text")))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for a, b in pieces([len(t) for t in every], PIECE_BYTES):
@@ -106,7 +106,7 @@ def repeated_spans(text: bytes, starts: np.ndarray, ends: np.ndarray, digest: np
 
 
 def _cut(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         every, out, at, removed = list(texts(batch.column("text"))), batch.column("text").to_pylist(), [[] for _ in range(batch.num_rows)], [0] * batch.num_rows
         foreign, own = batch.column("cdc_foreign"), batch.column("cdc_own")
         rows = [i for i in range(batch.num_rows) if (foreign[i].is_valid or own[i].is_valid) and every[i]]
@@ -132,6 +132,7 @@ def _cut(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Recor
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut out of text, and cdc_starts, cdc_ends (byte spans cut) and cdc_removed (bytes)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = rows.where("doc_id is not null and text <> ''").mapInArrow(_rows, "doc_id long, digest long, n long")
     again = chunks.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.sum("n").alias("total")).where("total > 1").select("digest", "keeper")

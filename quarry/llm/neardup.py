@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, table, texts
+from quarry.llm.common import bounded_batches, materialise, released, table, texts
 from quarry.llm.components import components
 from quarry.llm.shingles import mix, sets_of
 
@@ -57,7 +57,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         all_texts = list(texts(batch.column("text")))
         ids = batch.column("doc_id")
         for first, sets in sets_of(all_texts):
@@ -117,7 +117,7 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose full sets reach the similarity."""
-    for batch in batches:
+    for batch in released(batches):
         a, b = list(texts(batch.column("ta"))), list(texts(batch.column("tb")))
         one = {t: None for t in (*a, *b)}
         keys = list(one)
@@ -143,6 +143,7 @@ def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 def label(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(rows.where("doc_id is not null").mapInArrow(_sign, _SIGNED), "signed")
     classes = materialise(signed.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")

@@ -10,7 +10,7 @@ from quarry.llm.common import pieces
 
 WORDS = 5
 #: Texts are joined up to so many bytes before they are hashed; a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 900_000
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, materialise, table, texts
+from quarry.llm.common import bounded_batches, fold, materialise, released, table, texts
 from quarry.llm.decontaminate import words
 
 MAX_EXAMPLES = 2048
@@ -38,7 +38,7 @@ MIN_CHI2 = 25.0
 #: Lengths in bytes of the beginnings of words.
 STEMS = (4, 5, 6, 7, 8)
 #: So many words' terms are remembered by a task.
-MEMORY = 400_000
+MEMORY = 100_000
 BLOCK = 64
 NEIGHBOURS = 25
 CUTOFF = 0.7
@@ -160,6 +160,7 @@ def build(terms: list[bytes], df: np.ndarray, n_docs: int, examples: list[tuple[
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     """The model, or the one score of all texts where the labels don't allow one. ``labels``: (doc_id, toxic) to learn from."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").select("doc_id", F.col("y").cast("int").alias("y"))
     known = known.join(docs.where("doc_id is not null and text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -212,7 +213,7 @@ def score(docs: DataFrame, model: Model | float, evidence: bool = False) -> Data
         m = held.value
         none = m.probability(m.vote(np.zeros(0, np.int64), np.zeros(0)))
         known = Terms(m.terms)
-        for batch in batches:
+        for batch in released(batches):
             out, why = [], []
             for text in texts(batch.column("text").cast(pa.string())):
                 counts = known.counts(text)
