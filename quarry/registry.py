@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import baskets, graphs
+from quarry.plans import baskets, graphs, similarity
 
-_FAMILIES = (graphs, baskets)
+_FAMILIES = (graphs, baskets, similarity)
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 SQL = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}
