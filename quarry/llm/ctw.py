@@ -25,17 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, materialise, pieces, table, texts
+from quarry.llm.common import bounded_batches, fold, materialise, pieces, released, table, texts
 from quarry.llm.shingles import mix, word_hashes
 
 DEPTH = 6
 BLOCK_BYTES = 32 << 20
 #: Bytes of text per part that grams and words are dealt into.
 PART_BYTES = 24 << 20
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 END = b"\n"
 #: Key of the end token among the words' hashes.
 END_KEY = np.uint64(0x0123456789ABCDEF)
@@ -77,27 +78,51 @@ def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 
 def _block_keys(all_texts: list[bytes], train: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Distinct grams and words of a block, with their counts in training texts."""
+    """Distinct grams and words of a block, with their counts in training texts. A few pieces at a time are merged."""
     found: dict[int, list] = {GRAMS: [], WORDS: []}
     for a, b in pieces([len(t) for t in all_texts], PIECE_BYTES):
         for learn in (False, True):
             group = [t for t, is_train in zip(all_texts[a:b], train[a:b], strict=True) if is_train == learn]
             if not group:
                 continue
-            for kind, keys in ((GRAMS, gram_keys([stream(t) for t in group])), (WORDS, np.append(word_hashes(group)[0], np.full(len(group), END_KEY)))):
+            for kind in (GRAMS, WORDS):
+                keys = gram_keys([stream(t) for t in group]) if kind == GRAMS else np.append(word_hashes(group)[0], np.full(len(group), END_KEY))
                 keys.sort()
                 first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                found[kind].append((keys[first], np.diff(np.append(first, len(keys))) * int(learn)))
+                found[kind].append((keys[first], (np.diff(np.append(first, len(keys))) * int(learn)).astype(np.int32)))
+                if len(found[kind]) > 4:
+                    found[kind] = [_distinct(found[kind])]
     return {kind: _distinct(parts) for kind, parts in found.items()}
 
 
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of wanted keys, all of which the sorted keys have: in order, so that memory is read in order."""
+    by = np.argsort(wanted)
+    ordered = wanted[by]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    found = values[np.searchsorted(keys, ordered[new])]
+    out = np.empty(len(wanted), values.dtype)
+    out[by] = found[np.cumsum(new) - 1]
+    return out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """An array byte by byte position, compressed: the high bytes of small numbers take next to nothing."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def _flat(data: bytes, dtype: type) -> np.ndarray:
+    raw, width = np.frombuffer(zstandard.decompress(data), np.uint8), np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(dtype)
+
+
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted numbers as differences, which compress."""
-    return np.diff(keys, prepend=np.uint64(0)).astype(np.uint64).tobytes()
+    """Sorted keys by their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint64), dtype=np.uint64)
+    return np.cumsum(_flat(data, np.uint64), dtype=np.uint64)
 
 
 def _deal(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -266,6 +291,7 @@ def _table(batch_or_table, names: list[str]) -> list[list]:
 def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row per row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold(F.col("doc_id"), folds) == held_out).alias("held_out"))
+    bounded_batches(docs.sparkSession)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 50), F.lit(0)).alias("s")).first().s
     parts = max(1, -(-size // PART_BYTES))
 
@@ -277,12 +303,12 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
             name = uuid.uuid4().hex
             t = pa.Table.from_batches(kept)
             found = _block_keys([x for c in t.column("text").chunks for x in texts(c)], ~np.array(t.column("held_out").to_pylist(), bool))
-            out = [(name, kind, p, _pack(k[at]), c[at].astype(np.int32).tobytes(), None) for kind, (k, c) in found.items() for p, at in _deal(k, parts)]
+            out = [(name, kind, p, _pack(k[at]), _planes(c[at].astype(np.int32)), None) for kind, (k, c) in found.items() for p, at in _deal(k, parts)]
             out.append((name, None, None, None, None, _packed(t)))
             for row in out:
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "kind", "part", "keys", "counts", "packed"])
 
-        for batch in batches:
+        for batch in released(batches):
             for a, b in pieces([n or 0 for n in pc.binary_length(batch.column("text")).to_pylist()], BLOCK_BYTES):
                 part = batch.slice(a, b - a)
                 kept.append(part)
@@ -299,18 +325,18 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     def total(t: pa.Table) -> pa.Table:
         """Sums of a part; grams are dealt anew by their last two context bytes."""
         kind, part = t.column("kind")[0].as_py(), t.column("part")[0].as_py()
-        keys, counts = _distinct([(_unpack(k), np.frombuffer(c, np.int32).astype(np.int64)) for k, c in zip(*_table(t, ["keys", "counts"]), strict=True)])
+        keys, counts = _distinct([(_unpack(k), _flat(c, np.int32).astype(np.int64)) for k, c in zip(*_table(t, ["keys", "counts"]), strict=True)])
         group = mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(parts) if kind == GRAMS else np.full(len(keys), part, np.uint64)
         by = np.argsort(group, kind="stable")
         edges = np.flatnonzero(np.append(True, np.diff(group[by]) != 0)).tolist() + [len(by)]
-        out = [(kind, int(group[by[a]]), _pack(keys[by[a:b]]), counts[by[a:b]].astype(np.int64).tobytes(), int(counts[by[a:b]].sum()), int((counts[by[a:b]] > 0).sum())) for a, b in zip(edges, edges[1:], strict=False)]
+        out = [(kind, int(group[by[a]]), _pack(keys[by[a:b]]), _planes(counts[by[a:b]].astype(np.int64)), int(counts[by[a:b]].sum()), int((counts[by[a:b]] > 0).sum())) for a, b in zip(edges, edges[1:], strict=False)]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("kind", "grp", "keys", "counts", "total", "seen"), zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)})
 
     summed = materialise(wanted_keys.select("kind", "part", "keys", "counts").groupBy("kind", "part").applyInArrow(total, "kind int, grp int, keys binary, counts binary, total long, seen long"), "summed")
     n = summed.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("seen"), F.lit(0)).alias("v")).first()
 
     def grams_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return _distinct([(_unpack(k), np.frombuffer(c, np.int64)) for k, c in zip(*_table(t, ["keys", "counts"]), strict=True)])
+        return _distinct([(_unpack(k), _flat(c, np.int64)) for k, c in zip(*_table(t, ["keys", "counts"]), strict=True)])
 
     def top_of(t: pa.Table) -> pa.Table:
         return pa.Table.from_batches(top_rows(Tree(*grams_of(t))))
@@ -322,7 +348,7 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     def price(t: pa.Table) -> pa.Table:
         keys, counts = grams_of(t)
         value = log2_probabilities(Tree(keys, counts), top.value).astype(np.float16)
-        out = [(GRAMS, p, _pack(keys[at]), value[at].tobytes()) for p, at in _deal(keys, parts)]
+        out = [(GRAMS, p, _pack(keys[at]), _planes(value[at])) for p, at in _deal(keys, parts)]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("kind", "part", "keys", "values"), zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
     priced = grams.groupBy("grp").applyInArrow(price, "kind int, part int, keys binary, values binary")
@@ -331,11 +357,11 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     def answer(wanted: pa.Table, model: pa.Table) -> pa.Table:
         """For each block that asks, the values of its keys, in its order."""
         kind = wanted.column("kind")[0].as_py()
-        pairs = [(_unpack(k), np.frombuffer(v, np.float16 if kind == GRAMS else np.int64)) for k, v in zip(*_table(model, ["keys", "values"]), strict=True)]
+        pairs = [(_unpack(k), _flat(v, np.float16 if kind == GRAMS else np.int64)) for k, v in zip(*_table(model, ["keys", "values"]), strict=True)]
         keys, values = np.concatenate([k for k, _ in pairs]), np.concatenate([v for _, v in pairs])
         by = np.argsort(keys)
         keys, values = keys[by], values[by]
-        out = [values[np.searchsorted(keys, _unpack(k))].tobytes() for k in wanted.column("keys").to_pylist()]
+        out = [_planes(values[np.searchsorted(keys, _unpack(k))]) for k in wanted.column("keys").to_pylist()]
         return pa.table({"block": wanted.column("block"), "kind": wanted.column("kind"), "part": wanted.column("part"), "values": pa.array(out, pa.binary())})
 
     answers = wanted_keys.select("block", "kind", "part", "keys").groupBy("kind", "part").cogroup(priced.unionByName(known).groupBy("kind", "part")).applyInArrow(answer, "block string, kind int, part int, values binary")
@@ -350,23 +376,23 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
         for kind, dtype in ((GRAMS, np.float16), (WORDS, np.int64)):
             values[kind] = np.zeros(len(keys[kind]), dtype)
             for p, at in _deal(keys[kind], parts):
-                values[kind][at] = np.frombuffer(replies[kind, p], dtype)
-        base_of = np.log10((values[WORDS] + 0.5) / (n_train + 0.5 * (v_train + 1)))
+                values[kind][at] = _flat(replies[kind, p], dtype)
         bits, base, tokens, seen, n_bytes = [], [], [], [], []
         for a, b in pieces([len(t) for t in all_texts], PIECE_BYTES):
             group = all_texts[a:b]
             streams = [stream(t) for t in group]
             lengths = np.array([len(s) for s in streams])
-            cost = values[GRAMS][np.searchsorted(keys[GRAMS], gram_keys(streams))].astype(np.float64)
+            cost = look_up(keys[GRAMS], values[GRAMS], gram_keys(streams)).astype(np.float64)
             bits.append(np.add.reduceat(cost, np.cumsum(lengths) - lengths))
             n_bytes.append(lengths)
             h, first = word_hashes(group)
             h = np.insert(h, first[1:], END_KEY)
             first = first + np.arange(len(first))
-            at = np.searchsorted(keys[WORDS], h)
+            count = look_up(keys[WORDS], values[WORDS], h)
+            cost = np.log10((count + 0.5) / (n_train + 0.5 * (v_train + 1)))
             tokens.append(np.diff(first))
-            seen.append(np.add.reduceat((values[WORDS][at] > 0).astype(np.int64), first[:-1]))
-            base.append(np.add.reduceat(base_of[at], first[:-1]))
+            seen.append(np.add.reduceat((count > 0).astype(np.int64), first[:-1]))
+            base.append(np.add.reduceat(cost, first[:-1]))
         bits, n_bytes = np.concatenate(bits), np.concatenate(n_bytes)
         return pa.table({"doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "n_tokens": np.concatenate(tokens), "n_known": np.concatenate(seen), "train_tokens": np.full(len(bits), n_train), "base_score": np.concatenate(base), "score": bits * np.log10(2.0), "bits_per_byte": -bits / n_bytes})
 
