@@ -31,11 +31,12 @@ PROJECTIONS = 64
 #: Share of the lines on which a vector must collide to be verified.
 THRESHOLD = 0.6
 #: Share of a block that is verified before a search may end.
-VERIFIED = 0.2
+VERIFIED = 0.3
 #: Windows grow by this factor a round.
-GROWTH = 1.25
-#: The first half-width, in lengths of the lifted vectors.
-START = 0.6
+GROWTH = 1.12
+#: The first half-width, in lengths of the lifted vectors; a block raises it as far as its first vectors allow as queries.
+START = 0.3
+TRIALS = 16
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
 SEED = 20240611
@@ -49,46 +50,63 @@ class Block:
     """Vectors with sorted projections. longest: the largest squared length of all vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
-        self.ids, self.vectors = ids, vectors
-        lift = np.sqrt(np.maximum(longest - (vectors * vectors).sum(1), 0))
-        self.longest = longest
-        shadow = np.concatenate([vectors, lift[:, None]], axis=1).astype(np.float32) @ lines(vectors.shape[1])
-        self.order = np.ascontiguousarray(np.argsort(shadow, axis=0, kind="stable").T.astype(np.int32))
+        by = np.argsort(ids, kind="stable")
+        self.ids, self.vectors, self.longest = ids[by], vectors[by], longest
+        lift = np.sqrt(np.maximum(longest - (self.vectors * self.vectors).sum(1), 0))
+        shadow = np.concatenate([self.vectors, lift[:, None]], axis=1).astype(np.float32) @ lines(vectors.shape[1])
+        self.order = np.ascontiguousarray(np.argsort(shadow, axis=0, kind="stable").T)
         self.sorted = np.ascontiguousarray(np.sort(shadow, axis=0, kind="stable").T)
+        self.need = int(np.ceil(THRESHOLD * PROJECTIONS))
+        self.start = START * float(np.sqrt(longest))
+        trial = self._shadow(self.vectors[:TRIALS])
+        self.start *= GROWTH ** max(0, min(r for _, _, r in self._collide(trial, min(len(ids), self._enough(K)))) - 1)
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the query, places, scores): the k best found for each query, its own id left out."""
-        n, need = len(self.ids), int(np.ceil(THRESHOLD * PROJECTIONS))
+    def _shadow(self, queries: np.ndarray) -> np.ndarray:
+        """Projections of queries scaled to the lifted vectors' length, which leaves the order of inner products as it is."""
         lengths = np.sqrt((queries * queries).sum(1))
-        # a query is scaled to the lifted vectors' length, which leaves the order of inner products as it is
-        scaled = (queries / lengths[:, None] * np.sqrt(self.longest)).astype(np.float32)
-        shadow = scaled @ lines(queries.shape[1])[:-1]
-        enough = min(n, int(np.ceil(VERIFIED * n)) + 10 * k)
-        start = START * float(np.sqrt(self.longest))
-        for i in range(len(queries)):
-            at = shadow[i]
-            hits = np.zeros(n, np.uint8)
-            lo = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(PROJECTIONS)])
-            hi, half = lo.copy(), start
+        return (queries / lengths[:, None] * np.sqrt(self.longest)).astype(np.float32) @ lines(queries.shape[1])[:-1]
+
+    def _enough(self, k: int) -> int:
+        return min(len(self.ids), int(np.ceil(VERIFIED * len(self.ids))) + 10 * k)
+
+    def _collide(self, shadow: np.ndarray, enough: int) -> Iterator[tuple[int, np.ndarray, int]]:
+        """For each query, the places of the vectors over the threshold in the first round that has enough, and the round."""
+        n, rounds = len(self.ids), []
+
+        def window(r: int) -> tuple[list[list[int]], list[list[int]]]:
+            while len(rounds) <= r:
+                half = self.start * GROWTH ** len(rounds)
+                rounds.append([np.stack([self.sorted[j].searchsorted(shadow[:, j] + d, side=side) for j in range(PROJECTIONS)], axis=1).tolist() for d, side in ((-half, "left"), (half, "right"))])
+            return rounds[r]
+
+        for i in range(len(shadow)):
+            hits, r = np.zeros(n, np.uint8), 0
+            lo = hi = None
             while True:
-                for j in range(PROJECTIONS):
-                    row = self.sorted[j]
-                    a, b = int(row.searchsorted(at[j] - half)), int(row.searchsorted(at[j] + half, side="right"))
-                    order = self.order[j]
-                    if a < lo[j]:
-                        hits[order[a : lo[j]]] += 1
-                        lo[j] = a
-                    if b > hi[j]:
-                        hits[order[hi[j] : b]] += 1
-                        hi[j] = b
-                found = np.flatnonzero(hits >= need)
-                if len(found) >= enough or ((lo == 0) & (hi == n)).all():
+                a, b = (x[i] for x in window(r))
+                for j, order in enumerate(self.order):
+                    if lo is None:
+                        hits[order[a[j] : b[j]]] += 1
+                        continue
+                    if a[j] < lo[j]:
+                        hits[order[a[j] : lo[j]]] += 1
+                    if b[j] > hi[j]:
+                        hits[order[hi[j] : b[j]]] += 1
+                lo, hi, r = a, b, r + 1
+                found = np.flatnonzero(hits >= self.need)
+                if len(found) >= enough or (not any(lo) and all(x == n for x in hi)):
                     break
-                half *= GROWTH
+            yield i, found, r
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the query, ids, scores): the k best found for each query, its own id left out."""
+        for i, found, _ in self._collide(self._shadow(queries), self._enough(k)):
             found = found[self.ids[found] != own[i]]
-            score = (self.vectors[found] * queries[i]).sum(1)
-            by = np.lexsort((self.ids[found], -score))[:k]
-            yield i, found[by], score[by]
+            score = self.vectors[found] @ queries[i]
+            top = found[score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9 * self.longest] if len(score) > k else found
+            score = (self.vectors[top] * queries[i]).sum(1)
+            by = np.lexsort((self.ids[top], -score))[:k]
+            yield i, self.ids[top[by]], score[by]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -132,7 +150,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
             held = Block(ids, _matrix(own.column("v").combine_chunks(), dim), longest)
             qid, qrow = queries.column("vec_id").to_numpy(), queries.column("query_row").to_numpy()
             for i, at, score in held.search(_matrix(queries.column("v").combine_chunks(), dim), qid, k):
-                for column, x in zip(out, (np.full(len(at), qid[i]), np.full(len(at), qrow[i]), ids[at], score), strict=True):
+                for column, x in zip(out, (np.full(len(at), qid[i]), np.full(len(at), qrow[i]), at, score), strict=True):
                     column.append(x)
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
         return pa.table({"query_id": cols[0], "query_row": cols[1], "vec_id": cols[2], "score": cols[3].astype(np.float64)})
