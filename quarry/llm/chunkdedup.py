@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, pieces, released, table, texts
+from quarry.llm.common import bounded_batches, keeps_columns, pieces, released, table, texts
 from quarry.llm.shingles import PIECE_BYTES, mix, powers
 
 SPAN = 16
@@ -130,6 +130,7 @@ def _cut(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([new.get(n, None) if n in new else batch.column(n) for n in names] + [new[n] for n in new if n not in names], names + [n for n in new if n not in names])
 
 
+@keeps_columns("doc_id", "text")
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut out of text, and cdc_starts, cdc_ends (byte spans cut) and cdc_removed (bytes)."""
     bounded_batches(docs.sparkSession)

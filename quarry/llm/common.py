@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.storage import discard, materialise, scratch, shared_dir
 
-__all__ = ["bounded_batches", "discard", "fold", "materialise", "pieces", "released", "scratch", "shared_dir", "table", "texts", "word_count"]
+__all__ = ["bounded_batches", "discard", "fold", "keeps_columns", "materialise", "pieces", "released", "scratch", "shared_dir", "table", "texts", "word_count"]
 
 #: Rows of an Arrow batch, so that a batch of texts takes a few MB in the JVM and in Python.
 BATCH_ROWS = 1000
@@ -28,6 +29,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keeps_columns(*needed: str) -> Callable:
+    """For functions from documents to documents with some columns more: input columns that the function doesn't need have
+    neutral names while it runs, so that none clashes with its own. Of an added and an input column of one name, the added
+    one stays.
+    """
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(f)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            names = docs.columns
+            inner = [c if c in needed else f"kept_{i}" for i, c in enumerate(names)]
+            out = f(docs.toDF(*inner), *args, **options)
+            added = [c for c in out.columns if c not in inner]
+            taken = {c.lower() for c in added}
+            return out.select(*(F.col(i).alias(c) for i, c in zip(inner, names, strict=True) if c.lower() not in taken), *added)
+
+        return run
+
+    return wrap
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs without ASCII white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, released, table, texts
+from quarry.llm.common import bounded_batches, keeps_columns, released, table, texts
 
 WINDOW = 8
 SHARD_WORDS = 500_000
@@ -253,6 +253,7 @@ def _window_blocks(benchmark: DataFrame, window: int, block_windows: int, block_
     yield Patterns([(tuple(x.split()), v) for x, v in block.items()], window)
 
 
+@keeps_columns("text")
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with fm_words (their number), fm_starts and fm_ends (merged word spans of the windows that occur) and fm_items.
 
@@ -295,6 +296,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names], batch.schema.names)
 
 
+@keeps_columns("text")
 def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """Documents with windows of ``min_items`` items or more go; from the others, the spans of the windows found are cut out."""
     found = annotate(docs, benchmark).where(F.size("fm_items") < min_items)

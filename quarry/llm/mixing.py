@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import word_count
+from quarry.llm.common import keeps_columns, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
@@ -52,6 +52,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int =
     return s.select("source", "source_size", F.when(F.col("stopped"), F.col("cap")).otherwise(F.col("weight") * open_level).alias("target"))
 
 
+@keeps_columns("doc_id", "source", "text")
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
     """``docs`` with the columns mix_size, mix_source_size, mix_target and mix_copies."""
     sized = docs.withColumn("mix_size", word_count(F.col("text")))
@@ -63,6 +64,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_
     return out.withColumn("mix_copies", F.floor(rate) + more)
 
 
+@keeps_columns("doc_id", "source", "text")
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as ``plan`` says, in the columns of ``docs``."""
     return plan(docs, **options).where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, materialise, released, table, texts
+from quarry.llm.common import bounded_batches, keeps_columns, materialise, released, table, texts
 from quarry.llm.components import components
 from quarry.llm.shingles import mix, sets_of
 
@@ -174,6 +174,7 @@ def label(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+@keeps_columns("doc_id", "text")
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One document of each group, in the columns of ``docs``."""
     gone = label(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, fold, materialise, released, table, texts
+from quarry.llm.common import bounded_batches, fold, keeps_columns, materialise, released, table, texts
 from quarry.llm.decontaminate import words
 
 MAX_EXAMPLES = 2048
@@ -199,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     return build(terms, df, n0 + n1, examples, shares)
 
 
+@keeps_columns("text")
 def score(docs: DataFrame, model: Model | float, evidence: bool = False) -> DataFrame:
     """``docs`` with tox_score and, if asked for, tox_evidence: the nearest examples (id, cosine, label)."""
     schema = docs.withColumns({"tox_score": F.lit(0.0), **({"tox_evidence": F.expr("cast(null as array<struct<id:bigint,cosine:double,label:int>>)")} if evidence else {})}).schema
