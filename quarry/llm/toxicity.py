@@ -161,6 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     """The model, or the one score of all texts where the labels don't allow one. ``labels``: (doc_id, toxic) to learn from."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").select("doc_id", F.col("y").cast("int").alias("y"))
     known = known.join(docs.where("doc_id is not null and text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
