@@ -27,3 +27,9 @@ def with_next(df: DataFrame, order: list[str], value: str, name: str) -> DataFra
     rows = materialise(numbered(df, order, "place"), "numbered")
     later = rows.select((F.col("place") - 1).alias("place"), F.col(value).alias(name))
     return rows.join(later, "place", "left").drop("place")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if its scan has fewer (one row group, say); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

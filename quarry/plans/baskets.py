@@ -85,17 +85,42 @@ QUERIES = {
 }
 
 _N = BASKETS + ", n AS (SELECT count(DISTINCT basket) AS n FROM baskets)"
-_SETS = _N + """, ones AS (SELECT item AS a, count(*) AS count FROM baskets GROUP BY 1),
-twos AS (SELECT x.item AS a, y.item AS b, count(*) AS count FROM baskets x JOIN baskets y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2),
-threes AS (SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS count FROM baskets x JOIN baskets y ON x.basket = y.basket AND x.item < y.item JOIN baskets z ON x.basket = z.basket AND y.item < z.item GROUP BY 1, 2, 3),
-fours AS (SELECT w.item AS a, x.item AS b, y.item AS c, z.item AS d, count(*) AS count FROM baskets w JOIN baskets x ON w.basket = x.basket AND w.item < x.item JOIN baskets y ON w.basket = y.basket AND x.item < y.item JOIN baskets z ON w.basket = z.basket AND y.item < z.item GROUP BY 1, 2, 3, 4),
-every AS (SELECT a AS itemset, 1 AS size, count FROM ones UNION ALL SELECT a || ',' || b, 2, count FROM twos UNION ALL SELECT a || ',' || b || ',' || c, 3, count FROM threes UNION ALL SELECT a || ',' || b || ',' || c || ',' || d, 4, count FROM fours),
+_LETTERS = "abcdefg"
+#: Orders have seven lines at most, and so baskets seven items.
+_MOST = 7
+
+
+def _sets(rows: str, k: int, extra: str = "") -> str:
+    """All k-itemsets of each basket with their counts, as columns a, b, ..."""
+    joins = "".join(f" JOIN {rows} x{i} ON x0.basket = x{i}.basket AND x{i - 1}.item < x{i}.item" for i in range(1, k))
+    return f"SELECT {extra}{', '.join(f'x{i}.item AS {_LETTERS[i]}' for i in range(k))}, count(*) AS count FROM {rows} x0{joins} GROUP BY ALL"
+
+
+def _comma(k: int) -> str:
+    """The itemset's string."""
+    return " || ',' || ".join(_LETTERS[:k])
+
+
+_NAMES = dict(enumerate(("ones", "twos", "threes", "fours", "fives", "sixes", "sevens"), 1))
+_SETS = _N + "".join(f", {name} AS ({_sets('baskets', k)})" for k, name in _NAMES.items()) + ", every AS (" + " UNION ALL ".join(f"SELECT {_comma(k)} AS itemset, {k} AS size, count FROM {name}" for k, name in _NAMES.items()) + """),
 frequent AS (SELECT itemset, size, count, count / n AS support FROM every, n WHERE count >= 0.003::DOUBLE * n)"""
 _FREQ = "SELECT itemset, CAST(size AS INT) AS size, count, support FROM frequent"
-_F1 = ", f1 AS (SELECT a FROM ones, n WHERE count >= 0.003::DOUBLE * n), f2 AS (SELECT a, b FROM twos, n WHERE count >= 0.003::DOUBLE * n), f3 AS (SELECT a, b, c FROM threes, n WHERE count >= 0.003::DOUBLE * n), f4 AS (SELECT a FROM fours, n WHERE count >= 0.003::DOUBLE * n)"
-_C = """, c2 AS (SELECT x.a, y.a AS b FROM f1 x JOIN f1 y ON x.a < y.a),
-c3 AS (SELECT x.a, x.b, y.b AS c FROM f2 x JOIN f2 y ON x.a = y.a AND x.b < y.b SEMI JOIN f2 z ON z.a = x.b AND z.b = y.b),
-c4 AS (SELECT x.a, x.b, x.c, y.c AS d FROM f3 x JOIN f3 y ON x.a = y.a AND x.b = y.b AND x.c < y.c JOIN f3 z ON z.a = x.a AND z.b = x.c AND z.c = y.c JOIN f3 w ON w.a = x.b AND w.b = x.c AND w.c = y.c)"""
+_F1 = "".join(f", f{k} AS (SELECT {', '.join(_LETTERS[:k])} FROM {name}, n WHERE count >= 0.003::DOUBLE * n)" for k, name in _NAMES.items())
+
+
+def _joined(k: int) -> str:
+    """Candidates of size k: two frequent sets that differ in the last item, with all other subsets frequent too."""
+    stem, letters = _LETTERS[: k - 2], _LETTERS[:k]
+    value = {c: f"x.{c}" for c in letters[:-1]} | {letters[-1]: f"y.{letters[-2]}"}
+    semis = ""
+    for drop in range(k - 2):
+        kept = [c for i, c in enumerate(letters) if i != drop]
+        semis += f" SEMI JOIN f{k - 1} z{drop} ON " + " AND ".join(f"z{drop}.{_LETTERS[i]} = {value[c]}" for i, c in enumerate(kept))
+    on = " AND ".join([*(f"x.{c} = y.{c}" for c in stem), f"x.{letters[-2]} < y.{letters[-2]}"])
+    return f"SELECT {', '.join(f'{v} AS {c}' for c, v in value.items())} FROM f{k - 1} x JOIN f{k - 1} y ON {on}{semis}"
+
+
+_C = "".join(f", c{k} AS ({_joined(k)})" for k in range(2, _MOST + 1))
 _ABS = BASKETS + f""", items AS (SELECT item, count(*) AS count FROM baskets GROUP BY 1 HAVING count(*) >= {MIN_COUNT}),
 pairs AS (SELECT x.item AS a, y.item AS b, count(*) AS count FROM baskets x JOIN baskets y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= {MIN_COUNT}),
 triples AS (SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS count FROM baskets x JOIN baskets y ON x.basket = y.basket AND x.item < y.item JOIN baskets z ON x.basket = z.basket AND y.item < z.item GROUP BY 1, 2, 3 HAVING count(*) >= {MIN_COUNT}),
@@ -111,18 +136,14 @@ after2 AS (SELECT * FROM after1 WHERE (key * 7919) % 1999 IN (FROM b2))"""
 _CHUNKS = _N + """, places AS (SELECT basket, row_number() OVER (ORDER BY basket) AS place FROM (SELECT DISTINCT basket FROM baskets)),
 c AS (SELECT CAST((place - 1) // CAST(ceil(n / 10) AS BIGINT) AS INT) AS chunk, basket, item FROM baskets JOIN places USING (basket), n),
 sizes AS (SELECT chunk, count(DISTINCT basket) AS rows FROM c GROUP BY 1),
-l AS (SELECT chunk, 1 AS size, count(*) AS cnt FROM c GROUP BY chunk, item
-  UNION ALL SELECT x.chunk, 2, count(*) FROM c x JOIN c y ON x.basket = y.basket AND x.item < y.item GROUP BY x.chunk, x.item, y.item
-  UNION ALL SELECT x.chunk, 3, count(*) FROM c x JOIN c y ON x.basket = y.basket AND x.item < y.item JOIN c z ON x.basket = z.basket AND y.item < z.item GROUP BY x.chunk, x.item, y.item, z.item
-  UNION ALL SELECT w.chunk, 4, count(*) FROM c w JOIN c x ON w.basket = x.basket AND w.item < x.item JOIN c y ON w.basket = y.basket AND x.item < y.item JOIN c z ON w.basket = z.basket AND y.item < z.item GROUP BY w.chunk, w.item, x.item, y.item, z.item
-  UNION ALL SELECT v.chunk, 5, count(*) FROM c v JOIN c w ON v.basket = w.basket AND v.item < w.item JOIN c x ON w.basket = x.basket AND w.item < x.item JOIN c y ON w.basket = y.basket AND x.item < y.item JOIN c z ON w.basket = z.basket AND y.item < z.item GROUP BY v.chunk, v.item, w.item, x.item, y.item, z.item)"""
+l AS (""" + " UNION ALL ".join(f"SELECT chunk, {k} AS size, count AS cnt FROM ({_sets('c', k, 'x0.chunk, ')})" for k in range(1, _MOST + 1)) + ")"
 
 SQL = {
     "basket_profile": f"WITH {BASKETS}, s AS (SELECT basket, count(*) AS size FROM baskets GROUP BY 1) SELECT count(*) AS baskets, CAST(sum(size) AS BIGINT) AS sold, min(size) AS min_size, avg(size) AS avg_size, max(size) AS max_size, (SELECT count(DISTINCT item) FROM baskets) AS items, avg(size) / (SELECT count(DISTINCT item) FROM baskets) AS density FROM s",
     "top_items": f"WITH {_N} SELECT item, count(*) AS count, count(*) / any_value(n) AS support FROM baskets, n GROUP BY item ORDER BY count DESC, item LIMIT 10",
     "itemsets_bruteforce_pairs": f"WITH {_SETS} SELECT x.a, y.a AS b, coalesce(t.count, 0) AS count FROM ones x JOIN ones y ON x.a < y.a LEFT JOIN twos t ON t.a = x.a AND t.b = y.a",
     "itemsets_apriori": f"WITH {_SETS} {_FREQ}",
-    "apriori_levels": f"WITH {_SETS}{_F1}{_C}, l AS (SELECT 1 AS level, (SELECT count(*) FROM ones) AS candidates, (SELECT count(*) FROM f1) AS frequent UNION ALL SELECT 2, (SELECT count(*) FROM c2), (SELECT count(*) FROM f2) UNION ALL SELECT 3, (SELECT count(*) FROM c3), (SELECT count(*) FROM f3) UNION ALL SELECT 4, (SELECT count(*) FROM c4), (SELECT count(*) FROM f4)) SELECT CAST(level AS INT) AS level, candidates, frequent FROM l",
+    "apriori_levels": f"WITH {_SETS}{_F1}{_C}, l AS (SELECT 1 AS level, (SELECT count(*) FROM ones) AS candidates, (SELECT count(*) FROM f1) AS frequent{''.join(f' UNION ALL SELECT {k}, (SELECT count(*) FROM c{k}), (SELECT count(*) FROM f{k}) WHERE EXISTS (FROM f{k - 1})' for k in range(2, _MOST + 1))}) SELECT CAST(level AS INT) AS level, candidates, frequent FROM l",
     "frequent_items": f"WITH {_ABS} SELECT * FROM items",
     "frequent_pairs": f"WITH {_ABS} SELECT * FROM pairs",
     "frequent_triples": f"WITH {_ABS} SELECT * FROM triples",
@@ -137,6 +158,6 @@ SQL = {
     "multistage_funnel": f"WITH {_KEYS} SELECT (SELECT count(*) FROM b1) AS frequent1, (SELECT count(*) FROM b2) AS frequent2, (SELECT count(*) FROM after1) AS after1, (SELECT count(*) FROM after2) AS candidate_pairs",
     "itemsets_son": f"WITH {_SETS} {_FREQ}",
     "son_chunks": f"WITH {_CHUNKS} SELECT chunk, rows, count(*) AS local_frequent, CAST(max(size) AS INT) AS max_k FROM l JOIN sizes USING (chunk) WHERE cnt >= 0.003::DOUBLE * rows GROUP BY 1, 2",
-    "negative_border": f"WITH {_SETS}{_F1}{_C} SELECT itemset, CAST(size AS INT) AS size FROM (SELECT a AS itemset, 1 AS size FROM ones WHERE a NOT IN (FROM f1) UNION ALL SELECT a || ',' || b, 2 FROM (FROM c2 EXCEPT FROM f2) UNION ALL SELECT a || ',' || b || ',' || c, 3 FROM (FROM c3 EXCEPT FROM f3) UNION ALL SELECT a || ',' || b || ',' || c || ',' || d, 4 FROM c4)",
+    "negative_border": f"WITH {_SETS}{_F1}{_C} SELECT itemset, CAST(size AS INT) AS size FROM (SELECT a AS itemset, 1 AS size FROM ones WHERE a NOT IN (FROM f1){''.join(f' UNION ALL SELECT {_comma(k)}, {k} FROM (FROM c{k} EXCEPT FROM f{k})' for k in range(2, _MOST + 1))})",
     "itemsets_toivonen": f"WITH {_SETS} {_FREQ}",
 }
