@@ -195,7 +195,7 @@ SQL = {
     "gram_matrix": f"WITH {DIMS} SELECT CAST(p.d - 1 AS INT) AS i, CAST(q.d - 1 AS INT) AS j, round(sum(p.x * q.x), 8) AS x FROM dims p JOIN dims q ON p.id = q.id AND p.d <= q.d GROUP BY p.d, q.d",
     "svm_cost": f"WITH {_GIVEN} SELECT round(cost, 4) AS cost FROM cost",
     "svm_gradient": f"WITH {_GIVEN} SELECT CAST(d AS INT) AS d, round(g, 4) AS g FROM g",
-    "svm_batch_costs": f"WITH {_DESCENT} " + " UNION ALL ".join(f"SELECT {i} AS step, round(cost, 4) AS cost FROM cost{i}" for i in range(STEPS + 1)),
+    "svm_batch_costs": f"WITH {_DESCENT}, steps AS (" + " UNION ALL ".join(f"SELECT {i} AS step, cost FROM cost{i}" for i in range(STEPS + 1)) + f"), changes AS (SELECT *, 100 * abs(lag(cost) OVER (ORDER BY step) - cost) / lag(cost) OVER (ORDER BY step) AS change FROM steps) SELECT step, round(cost, 4) AS cost FROM changes WHERE step <= (SELECT coalesce(min(step), {STEPS}) FROM changes WHERE change < {EPSILON})",
     "cms_table": f"WITH {_CMS(WIDE)} SELECT * FROM sketch",
     "cms_estimate": f"WITH {_CMS(NARROW)} SELECT word, estimate FROM estimates",
     "cms_error": f"WITH {_CMS(NARROW)} SELECT word, f, estimate, round(error, 8) AS error, round(share, 8) AS share FROM errors",
