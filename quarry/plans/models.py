@@ -11,6 +11,7 @@ from quarry.operators import clustering as cl
 from quarry.operators import learn
 from quarry.operators import recommend as rec
 from quarry.operators import sketch as sk
+from quarry.operators import summaries as su
 from quarry.operators.order import numbered
 from quarry.plans.tables import DIMS, RATINGS, UTILITY, WORDS, points, ratings, table, utility, words
 
@@ -117,6 +118,9 @@ QUERIES = {
     "bfr_summary": lambda s, d: _round(cl.bfr_summary(_assigned(s, d)), 8, "sum", "sumsq"),
     "bfr_discard_set": lambda s, d: _round(cl.bfr_discard(points(s, d), cl.bfr_summary(_assigned(s, d))), 6, "distance"),
     "cure_assign": _cure,
+    "bfr_clusters": lambda s, d: su.bfr(points(s, d), K)[1],
+    "cure_clusters": lambda s, d: su.cure(points(s, d), K),
+    "grgpf_clusters": lambda s, d: su.grgpf(points(s, d), 1.0),
     "clustroids": lambda s, d: _round(cl.clustroids(_assigned(s, d)), 6, "rowsum"),
     "cf_user_user_top5": lambda s, d: _round(rec.top_items(rec.user_user(utility(s, d), USER, ITEMS)), 8, "score"),
     "cf_item_item_top5": lambda s, d: _round(rec.top_items(rec.item_item(utility(s, d), USER, ITEMS)), 8, "score"),
