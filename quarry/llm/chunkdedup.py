@@ -2,7 +2,8 @@
 
 A gear hash rolls over the last ``SPAN`` bytes. A chunk ends before a word if the hash of what precedes is below ``CUT``, or
 before any character if it is below ``RARE_CUT`` (for texts without spaces), so boundaries follow the content and an
-insertion only changes the chunks it touches. Chunks are known by a 64-bit digest. The document with the smallest id that
+insertion only changes the chunks it touches. Where one word stands again and again, the hash stays the same and might
+never cut, so a chunk also ends after a word that equals the word before it. Chunks are known by a 64-bit digest. The document with the smallest id that
 has a chunk keeps it, within a document its first place does; of the others, runs of neighbouring repeated chunks with
 ``MIN_WORDS`` words or more are cut out of the text. A repeated passage loses a part of a chunk at each end to its
 surroundings, so a run of this length stands for a passage that is about 13 words longer.
@@ -56,10 +57,21 @@ def chunk_all(group: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     h, space = gear(data), _SPACE[data]
     cut = np.zeros(len(data), bool)  # a chunk begins here
     cut[1:] = ((h[:-1] < CUT) & space[:-1] & ~space[1:]) | ((h[:-1] < RARE_CUT) & ((data[1:] & 0xC0) != 0x80))
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     full = lengths > 0
     for j in range(SPAN):  # the hash would reach into the text before
         at = begin[full] + j
         cut[at[at < begin[full] + lengths[full]]] = j == 0
+    words = np.zeros(len(data), bool)
+    words[1:] = space[:-1] & ~space[1:]
+    words[begin[full]] = True
+    at = np.flatnonzero(words)
+    word = (sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]]  # with the space behind it
+    text = np.searchsorted(begin[full], at, side="right")
+    again = (word[1:] == word[:-1]) & (np.diff(at)[1:] == np.diff(at)[:-1]) & (text[2:] == text[:-2]) if len(at) > 2 else np.zeros(0, bool)
+    cut[at[2:][again]] = True
     starts = np.flatnonzero(cut)
     gaps = np.diff(np.append(starts, len(data)))
     if (gaps > MAX_CHUNK).any():
@@ -69,9 +81,6 @@ def chunk_all(group: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
             extra = np.where((data[np.minimum(extra, len(data) - 1)] & 0xC0) == 0x80, extra + 1, extra)
         starts = np.unique(np.concatenate([starts, extra[extra < len(data)]]))
     ends = np.append(starts[1:], len(data))
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     digest = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     which = np.searchsorted(begin, starts, side="right") - 1
     return which, starts - begin[which], ends - begin[which], digest

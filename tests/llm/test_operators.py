@@ -477,8 +477,14 @@ def sequential_chunks(text):
             h = ((h << 1) + int(chunkdedup.GEAR[b])) & 0xFFFFFFFF
         hashes.append(h)
     space = lambda b: b == 0x20 or 0x09 <= b <= 0x0D
-    for i in range(chunkdedup.SPAN, len(text)):
-        if (hashes[i - 1] < chunkdedup.CUT and space(text[i - 1]) and not space(text[i])) or (hashes[i - 1] < chunkdedup.RARE_CUT and text[i] & 0xC0 != 0x80):
+    words = [i for i in range(len(text)) if not i or (space(text[i - 1]) and not space(text[i]))]
+    again = {c for a, b, c in zip(words, words[1:], words[2:]) if text[a:b] == text[b:c]}
+    for i in range(1, len(text)):
+        if i in again:
+            starts.append(i)
+        elif i < chunkdedup.SPAN:
+            continue
+        elif (hashes[i - 1] < chunkdedup.CUT and space(text[i - 1]) and not space(text[i])) or (hashes[i - 1] < chunkdedup.RARE_CUT and text[i] & 0xC0 != 0x80):
             starts.append(i)
     out = []
     for a, b in zip(starts, [*starts[1:], len(text)]):
@@ -494,7 +500,7 @@ def sequential_chunks(text):
 
 def test_chunks_equal_the_definition():
     r = random.Random(1)
-    group = [prose(r, 60).encode(), b"", "é ß 日本語 ".encode() * 20, b"x" * 900, prose(r, 5).encode()]
+    group = [prose(r, 60).encode(), b"", "é ß 日本語 ".encode() * 20, b"x" * 900, prose(r, 5).encode(), b"so so so and and " * 30 + b"the " * 50, b"the the a", b"a a b"]
     which, starts, ends, digest = chunkdedup.chunk_all(group)
     for i, t in enumerate(group):
         own = which == i
