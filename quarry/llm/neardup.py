@@ -2,8 +2,8 @@
 
 1. One pass over the texts gives each document's distinct shingles as a set digest, a MinHash signature and a 2-bit
    sketch of it. Documents with equal sets form a class, of which only the smallest id goes on.
-2. The signature is cut into several trees of ``DEPTH`` hashes. In each tree the classes are sorted by their hashes within
-   regions of a common prefix; candidates are the next neighbours in that order, so those with the longest common prefixes,
+2. The signature is cut into several trees of ``DEPTH`` hashes. In each tree the classes are sorted by the signature,
+   that tree's hashes first, within regions of a common prefix; candidates are the next neighbours in that order, so those with the longest common prefixes,
    and the region's first class. A region's depth adapts: one with more than ``REGION`` members is split by a longer
    prefix, twice, and what is still larger, by salt. A class so yields a bounded number of candidates per tree.
 3. Candidates whose sizes or sketches rule out the similarity go. The others are confirmed on the full sets from the
@@ -101,6 +101,8 @@ def candidates(classes: DataFrame) -> DataFrame:
         size = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).where("c > 1")
         level = materialise(keyed.join(size, "k"), "level")
         here = level if last else level.where(F.col("c") <= REGION)
+        turn = F.col("t") * (DEPTH * BYTES)  # sorted by the whole signature, this tree's hashes first
+        here = here.join(classes.select("rep", "sig"), "rep").withColumn("p", F.concat(F.substr("sig", turn + 1, F.length("sig")), F.substr(F.col("sig"), F.lit(1), turn)))
         w = Window.partitionBy("k", "salt").orderBy("p", "rep")
         near = here.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / REGION)) if last else F.lit(0)).select("rep", "lead", F.array(*(F.lead("rep", i).over(w) for i in range(1, NEIGHBOURS + 1))).alias("next"))
         found.append(near.select("rep", F.explode(F.array_distinct(F.filter(F.concat("next", F.array("lead")), lambda x: x.isNotNull()))).alias("other")))
