@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -60,11 +61,24 @@ def fold(doc_id: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+TRIM_EVERY = 16
+
+
 def released(batches: Iterator) -> Iterator:
-    """The batches; after each, Arrow gives memory that it no longer uses back to the system."""
-    for batch in batches:
+    """The batches; after some and at the end, memory that is free goes back to the system, as idle workers live on."""
+    for i, batch in enumerate(batches):
         yield batch
-        pa.default_memory_pool().release_unused()
+        del batch
+        if i % TRIM_EVERY == TRIM_EVERY - 1:
+            give_back()
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:

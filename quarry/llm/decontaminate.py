@@ -15,7 +15,7 @@ text (item_id and text in the benchmark) are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -253,23 +253,32 @@ def _window_blocks(benchmark: DataFrame, window: int, block_windows: int, block_
     yield Patterns([(tuple(x.split()), v) for x, v in block.items()], window)
 
 
-@keeps_columns("text")
-def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with fm_words (their number), fm_starts and fm_ends (merged word spans of the windows that occur) and fm_items.
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int, block_windows: int, block_bytes: int, finish: Callable = iter) -> DataFrame:
+    """Each block of windows is one pass in the same stage: the rows carry their spans from pass to pass.
 
-    Each block of windows is one pass in the same stage: the rows carry their spans from pass to pass.
+    ``finish`` goes over the last pass's batches, in the same Python worker.
     """
     bounded_batches(docs.sparkSession)
     out = docs.withColumns({"fm_text": F.col("text").cast("string"), "fm_words": F.lit(0).cast("long"), "fm_starts": F.expr("cast(array() as array<int>)"), "fm_ends": F.expr("cast(array() as array<int>)"), "fm_items": F.expr("cast(array() as array<string>)")})
     schema = out.schema
     for f in schema.fields:
         f.nullable = True
-    for patterns in _window_blocks(benchmark, window, block_windows, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(patterns)
-        out = out.mapInArrow(lambda b, held=held: _annotate(b, held.value, window, shard_words), schema)
+    blocks = _window_blocks(benchmark, window, block_windows, block_bytes)
+    now = next(blocks)
+    while now is not None:
+        after = next(blocks, None)
+        held, last = docs.sparkSession.sparkContext.broadcast(now), iter if after is not None else finish
+        out = out.mapInArrow(lambda b, held=held, last=last: last(_annotate(b, held.value, window, shard_words)), schema)
+        now = after
     return out.drop("fm_text")
 
 
+@keeps_columns("text")
+def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with fm_words (their number), fm_starts and fm_ends (merged word spans of the windows that occur) and fm_items."""
+    return _passes(docs, benchmark, window, shard_words, block_windows, block_bytes)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.zip_with("fm_ends", "fm_starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -290,8 +299,10 @@ def without_spans(text: bytes, starts: list[int], ends: list[int]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in released(batches):
+def _cut(batches: Iterator[pa.RecordBatch], min_items: int) -> Iterator[pa.RecordBatch]:
+    """The rows with fewer items than that, without their spans."""
+    for batch in batches:
+        batch = batch.filter(pa.array([len(x) < min_items for x in batch.column("fm_items").to_pylist()], pa.bool_()))
         new = [without_spans(t.as_py().encode(), s, e).decode() if s else t.as_py() for t, s, e in zip(batch.column("text"), batch.column("fm_starts").to_pylist(), batch.column("fm_ends").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names], batch.schema.names)
 
@@ -299,8 +310,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @keeps_columns("text")
 def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """Documents with windows of ``min_items`` items or more go; from the others, the spans of the windows found are cut out."""
-    found = annotate(docs, benchmark).where(F.size("fm_items") < min_items)
-    return found.mapInArrow(_cut, found.schema).select(docs.columns)
+    return _passes(docs, benchmark, WINDOW, SHARD_WORDS, BLOCK_WINDOWS, BLOCK_BYTES, lambda batches: _cut(batches, min_items)).select(docs.columns)
 
 
 SQL = r"""
