@@ -6,9 +6,14 @@
    that tree's hashes first, within regions of a common prefix; candidates are the next neighbours in that order, so those with the longest common prefixes,
    and the region's first class. A region's depth adapts: one with more than ``REGION`` members is split by a longer
    prefix, twice, and what is still larger, by salt. A class so yields a bounded number of candidates per tree.
+   Classes of a region of more members than are all paired so are crowded.
 3. Candidates whose sizes or sketches rule out the similarity go. The others are confirmed on the full sets from the
    texts: first one candidate per class, then those that still lie in different components.
-4. Components by alternating stars, all in tables.
+4. Crowded classes are joined exactly by prefix filter: with the shingles of a set in one order for all, the rarest first,
+   a pair of the similarity has a first common shingle early in both sets and very early in one of them. Pairs that have
+   one, lie in different components and haven't been compared are confirmed as above. No pair of them is left out for
+   a region's size.
+5. Components by alternating stars, all in tables.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; rows with null doc_id
 are linked with nothing and kept; rows repeated with one doc_id are one document; columns beside doc_id and text are
@@ -89,17 +94,20 @@ def _agree() -> Column:
     return F.lit(TREES * DEPTH) - differ
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs a < b of classes (rep, n, sig, sketch) that stand close in some tree."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of classes (rep, n, sig, sketch) that stand close in some tree; and (rep): the crowded classes, which share a
+    region with some that they may not be paired with."""
     prefix = lambda tree, depth: F.xxhash64("t", F.substr(tree, F.lit(1), F.lit(depth * BYTES)))
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substr(F.col("sig"), t * (DEPTH * BYTES) + 1, F.lit(DEPTH * BYTES)))
     rows = classes.select("rep", F.posexplode(trees).alias("t", "p"))
-    found = []
+    found, crowded = [], None
     for depth in PREFIXES:
         last = depth == PREFIXES[-1]
         keyed = rows.withColumn("k", prefix(F.col("p"), depth))
         size = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).where("c > 1")
         level = materialise(keyed.join(size, "k"), "level")
+        if crowded is None:
+            crowded = level.where(F.col("c") > NEIGHBOURS + 1).select("rep").distinct()
         here = level if last else level.where(F.col("c") <= REGION)
         turn = F.col("t") * (DEPTH * BYTES)  # sorted by the whole signature, this tree's hashes first
         here = here.join(classes.select("rep", "sig"), "rep").withColumn("p", F.concat(F.substr("sig", turn + 1, F.length("sig")), F.substr(F.col("sig"), F.lit(1), turn)))
@@ -114,7 +122,41 @@ def candidates(classes: DataFrame) -> DataFrame:
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    return every.where("rep <> other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    return every.where("rep <> other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), crowded
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, h): a row per distinct shingle, n in all."""
+    for batch in released(batches):
+        every = list(texts(batch.column("text")))
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        for first, sets in sets_of(every):
+            n = np.array([len(x) for x in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first : first + len(sets)], n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "h"])
+
+
+def prefix_pairs(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs a < b of documents (id, text), in different components of ``parts`` (node, component), that can reach the similarity:
+    all of them that do are among these.
+
+    Shingles are in the order of their frequency, ties by hash. Two sets of x and y members whose first common one is at the
+    places i and j have at most min(x - i, y - j) in common, of which the similarity takes a share of x + y; so i + j is
+    bounded too, and one of i and j by half.
+    """
+    part = 100 + PERCENT
+    own = materialise(docs.mapInArrow(_shingles, "id long, n long, h long"), "shingles")
+    shared = own.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    sets = own.join(shared, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    #: What no other has comes first, in no row.
+    places = sets.select("id", "n", F.posexplode("s").alias("p", "s"), (F.col("n") - F.size("s")).alias("before")).select("id", "n", (F.col("p") + F.col("before")).alias("i"), F.col("s.h").alias("h")).where(100 * F.col("i") <= (100 - PERCENT) * F.col("n"))
+    places = places.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    places = materialise(places, "places")
+    mixed = places.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+    places = places.join(mixed, "h", "left_semi")
+    early = places.where(part * F.col("i") <= (100 - PERCENT) * F.col("n"))
+    x, y = (f.select("h", *(F.col(c).alias(c + s) for c in ("id", "n", "i", "component"))) for f, s in ((early, "x"), (places, "y")))
+    met = x.join(y, "h").where("componentx <> componenty").where(part * F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= PERCENT * (F.col("nx") + F.col("ny")))
+    return met.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +185,33 @@ def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return x.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
 
 
+def _picked(rows: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """(id, text): one row of ``rows`` for each of ``ids`` (id)."""
+    few = ids.count() <= BROADCAST_IDS
+    picked = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    return picked.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("text").alias(text))
+
+
+def merge(pairs: DataFrame, rows: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """``parts`` (node, component), joined by the links among ``pairs``: one pair per document is confirmed first, then those
+    between components."""
+    if parts is not None and pairs.isEmpty():
+        return parts
+    involved = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "involved")
+    held = materialise(_picked(rows, involved, "held_text"), "held")
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    for some in (first, pairs.join(first, ["a", "b"], "left_anti")):
+        if parts is not None:
+            some = some.join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            some = materialise(some.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
+        links = materialise(confirmed(some, held), "links")
+        if parts is None:
+            parts = components(links)
+        elif not links.isEmpty():
+            parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+    return parts
+
+
 def label(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``."""
     bounded_batches(docs.sparkSession)
@@ -152,23 +221,13 @@ def label(docs: DataFrame) -> DataFrame:
     heads = signed.join(classes.select("n", "d1", "d2", F.col("rep").alias("doc_id")), ["n", "d1", "d2", "doc_id"]).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     heads = materialise(heads.select("rep", "n", "sig", "s0", "s1", "s2", "s3"), "heads")
     side = lambda id_, n, s: heads.select(F.col("rep").alias(id_), F.col("n").alias(n), *(F.col(f"s{j}").alias(f"{s}{j}") for j in range(4)))
-    pairs = candidates(heads).join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
-    pairs = pairs.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (_agree() >= MIN_AGREE))
-    pairs = materialise(pairs.select("a", "b"), "pairs")
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    involved = materialise(involved, "involved")
-    few = involved.count() <= BROADCAST_IDS
-    picked = rows.join(F.broadcast(involved) if few else involved, F.col("doc_id") == F.col("id"), "left_semi")
-    held = materialise(picked.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("text").alias("held_text")), "held")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialise(confirmed(first, held), "links")
-    parts = components(links)
-    rest = pairs.join(first, ["a", "b"], "left_anti")
-    rest = rest.join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = materialise(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-    more = materialise(confirmed(rest, held), "links")
-    if not more.isEmpty():
-        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    near, crowded = candidates(heads)
+    near, crowded = materialise(near, "near"), materialise(crowded.withColumnRenamed("rep", "id"), "crowded")
+    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (_agree() >= MIN_AGREE)
+    screened = lambda p: p.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").where(alike).select("a", "b")
+    parts = merge(materialise(screened(near), "pairs"), rows, None)
+    full = _picked(rows, crowded, "text")
+    parts = merge(materialise(screened(prefix_pairs(full, parts).join(near, ["a", "b"], "left_anti")), "pairs"), rows, parts)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     linked = signed.select("doc_id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.where("doc_id is null").select("doc_id").unionByName(rows.where("doc_id is not null").where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id"))

@@ -184,6 +184,20 @@ def test_near_duplicates_in_split_regions(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_in_a_crowd_with_one_partner_each(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 6)
+    monkeypatch.setattr(neardup, "NEIGHBOURS", 1)
+    r = random.Random(4)
+    base, rows = prose(r, 400), []
+    for i in range(120):  # 0.84 to all others, 0.87 to its partner
+        own = [f"own{i}x{j}" for j in range(8)]
+        rows += [(2 * i + k, f"{base} {' '.join(own)} {' '.join(f'last{i}x{k}x{j}' for j in range(31))}", "en", "s", 0) for k in range(2)]
+    want = brute_components(rows)
+    assert {c for _, c, _ in want.values()} == set(range(0, 240, 2))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.label(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_near_duplicates_without_ids_and_rows(spark):
     got = neardup.label(frame(spark, [(None, "a b c d e f", "en", "s", 0), (None, "a b c d e f", "en", "s", 0), (1, None, "en", "s", 0)])).collect()
     assert len(got) == 3 and all(x.kept for x in got)
