@@ -2,13 +2,12 @@
 
 Learning takes a stratified sample of the labelled documents, at most ``MAX_EXAMPLES`` of each label (all of them where
 there are fewer; the smallest md5 of the id goes first). Terms are words and their beginnings of some lengths, so that forms of one stem
-meet; of those in the sample, the up to ``MAX_TERMS`` whose presence depends most on the label (chi-square over
-``MIN_CHI2``) make the vocabulary. Examples and queries are
-TF-IDF vectors over it. So the index has proven bounds: it is broadcast, and nothing else is.
+meet; all of those in the sample make the vocabulary, and one aggregate over all documents counts in how many each occurs.
+Examples and queries are TF-IDF vectors over it; what no example has would only scale a query. The index grows with the
+examples' texts and not with the documents; it and the vocabulary are broadcast, and nothing else is.
 
-The inverted index keeps, for each term, its weights in blocks of ``BLOCK`` examples and the maximum of each block. A query
-sums the block maxima of its terms to bounds, scores the blocks with the highest bounds, and goes on while a block's bound
-exceeds the k-th best cosine, so the k nearest are exact. Their votes are weighted by closeness, the sampling of the
+The inverted index keeps the ``HEAD`` terms of most examples as dense rows and of each other term the examples that have it.
+All examples are scored, so the k nearest are exact. Their votes are weighted by closeness, the sampling of the
 labels is undone by weights, and a logistic curve fitted to leave-one-out votes of the examples makes them probabilities.
 
 Defined results: null and empty texts, and texts without a term of the vocabulary, get the score of no evidence; labels
@@ -32,14 +31,13 @@ from quarry.llm.common import bounded_batches, fold, keeps_columns, materialise,
 from quarry.llm.decontaminate import words
 
 MAX_EXAMPLES = 2048
-MAX_TERMS = 2048
 MAX_TERM_BYTES = 64
-MIN_CHI2 = 25.0
 #: Lengths in bytes of the beginnings of words.
 STEMS = (4, 5, 6, 7, 8)
 #: So many words' terms are remembered by a task.
 MEMORY = 100_000
-BLOCK = 64
+#: Terms with dense rows; texts that are scored at once.
+HEAD, GROUP = 2048, 64
 NEIGHBOURS = 25
 CUTOFF = 0.7
 #: Weight of the prior in a vote, in neighbours of cosine 1.
@@ -57,17 +55,19 @@ class Terms:
     def __init__(self, terms: dict[bytes, int]):
         self.terms, self.seen = terms, {}
 
+    def of(self, w: bytes) -> tuple[int, ...]:
+        found = self.seen.get(w)
+        if found is None:
+            if len(self.seen) > MEMORY:
+                self.seen.clear()
+            found = self.seen[w] = tuple(i for f in features(w) if (i := self.terms.get(f)) is not None)
+        return found
+
     def counts(self, text: bytes) -> dict[int, int]:
         out: dict[int, int] = {}
-        seen = self.seen
-        if len(seen) > MEMORY:
-            seen.clear()
-        for w in words(text):
-            found = seen.get(w)
-            if found is None:
-                found = seen[w] = tuple(i for f in features(w) if (i := self.terms.get(f)) is not None)
-            for i in found:
-                out[i] = out.get(i, 0) + 1
+        for w, n in Counter(words(text)).items():
+            for i in self.of(w):
+                out[i] = out.get(i, 0) + n
         return out
 
 
@@ -75,39 +75,61 @@ class Terms:
 class Model:
     terms: dict[bytes, int]
     idf: np.ndarray
-    index: np.ndarray  # (terms, blocks, BLOCK) weights of the examples
-    most: np.ndarray  # (terms, blocks) maxima
+    row: np.ndarray  # of a term in head, or -1
+    head: np.ndarray  # (rows, examples) weights
+    start: np.ndarray  # where each term's part of place and value begins, an entry more at the end
+    place: np.ndarray  # examples that have the term
+    value: np.ndarray  # and its weight in them
     labels: np.ndarray  # of the examples, in the index' order
     ids: np.ndarray
     weight: np.ndarray  # of an example by its label, for the sampling
     prior: float
     curve: tuple[float, float]
 
+    @property
+    def index(self) -> np.ndarray:
+        """All weights (terms, examples), for small models."""
+        out = np.zeros((len(self.row), len(self.labels)), np.float32)
+        out[self.row >= 0] = self.head[self.row[self.row >= 0]]
+        out[np.repeat(np.arange(len(self.row)), np.diff(self.start)), self.place] = self.value
+        return out
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights."""
-        t = np.array(sorted(counts), np.int64)
+        t = np.fromiter(counts, np.int64, len(counts))
         if not len(t):
             return t, np.zeros(0, np.float32)
-        v = (1 + np.log(np.array([counts[i] for i in t.tolist()], np.float64))) * self.idf[t]
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        by = np.argsort(t)
+        t, n = t[by], n[by]
+        v = (1 + np.log(n)) * self.idf[t]
         return t, (v / np.linalg.norm(v)).astype(np.float32)
 
-    def nearest(self, t: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine, ties to the smaller place, by block bounds. skip: an example left out."""
-        bound = q @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, cos, at, step, worst = np.zeros(0, np.int64), np.zeros(0, np.float32), 0, 4, 0.0
-        while at < len(order) and (len(ids) < k or bound[order[at]] >= worst - 1e-5):
-            blocks = order[at : at + step]
-            found = np.tensordot(q, self.index[t[:, None], blocks[None, :]], axes=(0, 0)).ravel()
-            place = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = (found > max(worst - 1e-6, 0)) & (place != skip)
-            ids, cos = np.concatenate([ids, place[keep]]), np.concatenate([cos, found[keep]])
-            by = np.lexsort((ids, -cos))[:k]
-            ids, cos = ids[by], cos[by]
-            worst = float(cos[-1]) if len(cos) == k else 0.0
-            at, step = at + step, step * 2
-        return ids, cos
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(queries, examples), for up to ``GROUP`` queries (always computed as so many, so that a query's place matters less)."""
+        q = np.zeros((GROUP, len(self.head)), np.float32)
+        for i, (t, v) in enumerate(queries):
+            row = self.row[t]
+            q[i, row[row >= 0]] = v[row >= 0]
+        out = (q @ self.head)[: len(queries)]
+        for i, (t, v) in enumerate(queries):
+            rest = self.row[t] < 0
+            t, v = t[rest], v[rest]
+            n = self.start[t + 1] - self.start[t]
+            at = np.repeat(self.start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out[i] += np.bincount(self.place[at], self.value[at] * np.repeat(v, n), len(self.labels))
+        return np.round(out, 6)
+
+    def best(self, cos: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest positive cosine, ties to the smaller place."""
+        ids = np.flatnonzero(cos > 0)
+        if len(ids) > k:
+            ids = ids[cos[ids] >= np.partition(cos[ids], len(ids) - k)[len(ids) - k]]
+        ids = ids[np.lexsort((ids, -cos[ids]))[:k]]
+        return ids, cos[ids]
+
+    def nearest(self, t: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        return self.best(self.cosines([(t, q)])[0], k)
 
     def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
         """Log-odds of label 1 from distance-weighted votes and the prior."""
@@ -121,6 +143,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30))))
 
 
+class _Counts:
+    """Counts by term as two arrays, read like a dict."""
+
+    def __init__(self, terms: np.ndarray, tf: np.ndarray):
+        self.terms, self.tf = terms, tf
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(self.terms)
+
+    def values(self) -> np.ndarray:
+        return self.tf
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Weighted logistic fit with a slight pull towards the identity, by Newton steps."""
     beta = np.array([1.0, 0.0])
@@ -139,21 +177,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 def build(terms: list[bytes], df: np.ndarray, n_docs: int, examples: list[tuple[int, int, dict[int, int]]], shares: dict[int, float]) -> Model:
     """Index of examples (id, label, counts by term). shares: of each label among all labels known."""
     idf = np.log((n_docs + 1) / (df + 1.0)) + 1
-    examples = sorted(examples, key=lambda e: (min(e[2], key=lambda t: (df[t], t), default=-1), e[0]))  # alike examples in one block
-    blocks = max(1, -(-len(examples) // BLOCK))
-    index = np.zeros((max(1, len(terms)), blocks * BLOCK), np.float32)
-    for i, (_, _, counts) in enumerate(examples):
-        if counts:
-            t = np.fromiter(counts, np.int64)
-            v = (1 + np.log(np.fromiter(counts.values(), np.float64))) * idf[t]
-            index[t, i] = v / np.linalg.norm(v)
-    index = index.reshape(-1, blocks, BLOCK)
-    labels = np.array([y for _, y, _ in examples] + [0] * (blocks * BLOCK - len(examples)))
-    seen = Counter(y for _, y, _ in examples)
+    examples = sorted(examples, key=lambda e: e[0])
+    labels = np.array([y for _, y, _ in examples])
+    seen = Counter(labels.tolist())
     per = {y: shares[y] * len(examples) / seen[y] for y in seen}
-    model = Model({w: i for i, w in enumerate(terms)}, idf, index, index.max(axis=2), labels, np.array([i for i, _, _ in examples]), np.array([per.get(y, 0.0) for y in labels]), shares[1], (1.0, 0.0))
-    logits = np.array([model.vote(*model.nearest(*model.vector(c), skip=i)) for i, (_, _, c) in enumerate(examples)])
-    model.curve = _logistic(logits, labels[: len(examples)].astype(float), model.weight[: len(examples)])
+    model = Model({w: i for i, w in enumerate(terms)}, idf, *(np.zeros(0),) * 5, labels, np.array([i for i, _, _ in examples]), np.array([per[y] for y in labels.tolist()]), shares[1], (1.0, 0.0))
+    vectors = [model.vector(c) for _, _, c in examples]
+    term = np.concatenate([t for t, _ in vectors])
+    place = np.repeat(np.arange(len(examples), dtype=np.int32), [len(t) for t, _ in vectors])
+    value = np.concatenate([v for _, v in vectors])
+    held = np.bincount(term, minlength=len(terms))
+    top = np.argsort(-held, kind="stable")[:HEAD]
+    model.row = np.full(len(terms), -1, np.int32)
+    model.row[top] = np.arange(len(top))
+    model.head = np.zeros((len(top), len(examples)), np.float32)
+    dense = model.row[term] >= 0
+    model.head[model.row[term[dense]], place[dense]] = value[dense]
+    term, place, value = term[~dense], place[~dense], value[~dense]
+    by = np.argsort(term, kind="stable")
+    model.place, model.value = place[by], value[by]
+    model.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
+    logits = np.zeros(len(examples))
+    for at in range(0, len(examples), GROUP):
+        for i, cos in enumerate(model.cosines(vectors[at : at + GROUP]), at):
+            cos[i] = 0  # an example doesn't vote for itself
+            logits[i] = model.vote(*model.best(cos))
+    model.curve = _logistic(logits, labels.astype(float), model.weight)
     return model
 
 
@@ -172,32 +221,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     sample = spark.createDataFrame([(r.doc_id, r.y) for p in picks for r in p], "id long, y int")  # at most 2 * MAX_EXAMPLES rows
     rows = materialise(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", "y", F.col("text").cast("string").alias("text")).dropDuplicates(["id"]), "sample")
 
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            with0, with1 = Counter(), Counter()
-            for y, text in zip(batch.column("y").to_pylist(), texts(batch.column("text")), strict=True):
-                (with1 if y else with0).update({f for w in set(words(text)) for f in features(w)})
-            every = list({**with0, **with1})
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([with0[w] for w in every], pa.int64()), pa.array([with1[w] for w in every], pa.int64())], ["word", "with0", "with1"])
-
-    n0, n1 = len(picks[0]), len(picks[1])
-    a, b = F.col("with1").cast("double"), F.col("with0").cast("double")
-    n = float(n0 + n1)
-    chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b) * n0 * n1)
-    stats = rows.mapInArrow(presence, "word binary, with0 long, with1 long").groupBy("word").agg(F.sum("with0").alias("with0"), F.sum("with1").alias("with1")).where(a + b < n)
-    chosen = stats.withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "word").limit(MAX_TERMS).collect()
-    terms = [bytes(r.word) for r in chosen]
-    df = np.array([r.with1 + r.with0 for r in chosen] or [0], float)
+            every = {w for text in texts(batch.column("text")) for w in words(text)}
+            yield pa.RecordBatch.from_arrays([pa.array(list({f for w in every for f in features(w)}), pa.binary())], ["word"])
+
+    terms = sorted(rows.mapInArrow(terms_of, "word binary").distinct().toArrow().column("word").to_pylist())  # those of 2 * MAX_EXAMPLES texts
     place = spark.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
 
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = Terms(place.value), np.zeros(len(place.value) + 1, np.int64)  # the last counts the texts
+        for batch in released(batches):
+            for text in texts(batch.column("text")):
+                found = {i for w in set(words(text)) for i in known.of(w)}
+                n[np.fromiter(found, np.int64, len(found))] += 1
+                n[-1] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
+
+    counts = docs.where("text is not null").select(F.col("text").cast("string").alias("text")).mapInArrow(present, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1)
+    df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Terms(place.value)
         for batch in batches:
             found = [known.counts(text) for text in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["id", "y", "terms", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "y", "terms", "tf"])
 
-    examples = [(r.id, r.y, dict(zip(r.terms, r.tf, strict=True))) for r in rows.mapInArrow(counted, "id long, y int, terms array<int>, tf array<long>").orderBy("id").collect()]  # at most 2 * MAX_EXAMPLES rows of MAX_TERMS
-    return build(terms, df, n0 + n1, examples, shares)
+    found = rows.mapInArrow(counted, "id long, y int, terms array<int>, tf array<int>").toArrow()  # at most 2 * MAX_EXAMPLES rows
+    examples = list(zip(found.column("id").to_pylist(), found.column("y").to_pylist(), (_Counts(t.values.to_numpy(), n.values.to_numpy()) for t, n in zip(found.column("terms"), found.column("tf"), strict=True)), strict=True))
+    return build(terms, df[:-1], int(df[-1]), examples, shares)
 
 
 @keeps_columns("text")
@@ -217,16 +271,14 @@ def score(docs: DataFrame, model: Model | float, evidence: bool = False) -> Data
         known = Terms(m.terms)
         for batch in released(batches):
             out, why = [], []
-            for text in texts(batch.column("text").cast(pa.string())):
-                counts = known.counts(text)
-                if not counts:
-                    out.append(none)
-                    why.append([])
-                    continue
-                ids, cos = m.nearest(*m.vector(counts))
-                out.append(m.probability(m.vote(ids, cos)))
-                if evidence:
-                    why.append([{"id": int(m.ids[i]), "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(ids[:5], cos[:5], strict=True)])
+            every = [m.vector(known.counts(text)) for text in texts(batch.column("text").cast(pa.string()))]
+            for at in range(0, len(every), GROUP):
+                group = every[at : at + GROUP]
+                for (t, _), row in zip(group, m.cosines(group), strict=True):
+                    ids, cos = m.best(row)
+                    out.append(m.probability(m.vote(ids, cos)) if len(t) else none)
+                    if evidence:
+                        why.append([{"id": int(m.ids[i]), "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(ids[:5], cos[:5], strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64()), *([pa.array(why, kind)] if evidence else [])], schema.fieldNames())
 
     return docs.mapInArrow(run, schema)

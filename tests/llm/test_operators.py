@@ -328,6 +328,19 @@ def test_nearest_examples_are_exact():
         assert np.allclose(found, want, atol=1e-5)
 
 
+def test_toxicity_knows_rare_words_and_counts_all_documents(spark):
+    docs, labels = labelled()
+    odd = [f"odd{i}thing" for i in range(20)]
+    docs += [(700, " ".join(odd), "en", "s", 0), (701, " ".join([*odd[:18], "new", "end"]), "en", "s", 0)]
+    docs += [(800 + i, "odd0thing else", "en", "s", 0) for i in range(30)]
+    model = toxicity.fit(frame(spark, docs), spark.createDataFrame([*labels, (700, 1)], "doc_id long, toxic int"))
+    got = {x.doc_id: x for x in toxicity.score(frame(spark, docs), model, evidence=True).collect()}
+    assert got[701].tox_evidence[0].id == 700 and got[701].tox_evidence[0].cosine > 0.8
+    idf = lambda w: model.idf[model.terms[w]]
+    assert math.isclose(idf(b"odd0thing"), math.log((len(docs) + 1) / 33) + 1)
+    assert math.isclose(idf(b"odd19thing"), math.log((len(docs) + 1) / 2) + 1)
+
+
 def test_toxicity_without_usable_labels(spark):
     docs, _ = labelled(n=10)
     df = frame(spark, docs)
