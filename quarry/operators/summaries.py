@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import clustering as cl
 from quarry.storage import materialise
 
+#: Points in a part of the table that has a tree of its own, and trees that are joined at once.
+PART_POINTS, TREES = 20_000, 32
+
 Summary = tuple[int, np.ndarray, np.ndarray]  # points, sums, sums of squares
 
 
@@ -196,15 +201,22 @@ class ClustroidTree:
         return [c for leaf in self.leaves for c in leaf]
 
     def insert(self, p) -> None:
+        self._put(p, lambda: ClustroidCluster([p], self.distance, self.keep), lambda near: near.insert(p))
+
+    def absorb(self, other: ClustroidCluster) -> None:
+        """A cluster of another tree, as its clustroid would go."""
+        self._put(other.clustroid, lambda: other, lambda near: near.merge(other))
+
+    def _put(self, p, new: Callable, into: Callable) -> None:
         if not self.leaves:
-            self.leaves = [[ClustroidCluster([p], self.distance, self.keep)]]
+            self.leaves = [[new()]]
             return
         leaf = min(self.leaves, key=lambda x: min(self.distance(p, c.clustroid) for c in x[: self.keep]))
         near = min(leaf, key=lambda c: self.distance(p, c.clustroid))
         if self.distance(p, near.clustroid) > 2 * self.limit:
-            leaf.append(ClustroidCluster([p], self.distance, self.keep))
+            leaf.append(new())
         else:
-            near.insert(p)
+            into(near)
             if near.radius > self.limit and len(near.held) > 1:
                 leaf.remove(near)
                 leaf.extend(near.split())
@@ -223,10 +235,49 @@ class ClustroidTree:
             self.leaves = [every[a : a + self.width] for a in range(0, len(every), self.width)]
 
 
-def grgpf(points: DataFrame, limit: float, sample_size: int = 2000, most: int = 50) -> DataFrame:
-    """(id, c): the nearest clustroid of a tree built over a bounded sample (the smallest md5 of the id), in that order."""
-    sample = points.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(sample_size).collect()
-    tree = ClustroidTree(lambda a, b: float(np.sqrt(((np.asarray(a) - np.asarray(b)) ** 2).sum())), limit, most)
+def _euclidean(a, b) -> float:
+    return float(np.sqrt(((np.asarray(a) - np.asarray(b)) ** 2).sum()))
+
+
+def grgpf_tree(points: DataFrame, limit: float, sample_size: int = 2000, most: int = 50) -> ClustroidTree:
+    """A tree of all points: it starts from a bounded sample (the smallest md5 of the id, in that order).
+
+    All others are inserted into trees of parts of the table, by the hash of the id, that begin with the limit that the
+    sample's tree has come to; their clusters are merged, some trees at a time, and last into the sample's tree.
+    """
+    order = F.md5(F.col("id").cast("string").cast("binary"))
+    sample = points.orderBy(order, "id").limit(sample_size).collect()
+    tree = ClustroidTree(_euclidean, limit, most)
     for r in sample:
-        tree.insert(list(r.v))
-    return cl.assign(points, [list(c.clustroid) for c in tree.clusters()]).select("id", "c")
+        tree.insert(np.array(r.v, float))
+    first, reached = {r.id for r in sample}, tree.limit
+    parts = max(1, -(-points.count() // PART_POINTS))
+
+    def grown(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = ClustroidTree(_euclidean, reached, most)
+        for i, v in zip(pdf.id, pdf.v, strict=True):
+            if i not in first:
+                own.insert(np.array(v, float))
+        return pd.DataFrame({"part": [int(pdf.part.iloc[0])], "tree": [pickle.dumps(own.clusters())]})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = ClustroidTree(_euclidean, reached, most)
+        for blob in pdf.sort_values("part").tree:
+            for c in pickle.loads(blob):
+                own.absorb(c)
+        return pd.DataFrame({"part": [int(pdf.part.iloc[0]) // TREES], "tree": [pickle.dumps(own.clusters())]})
+
+    rows = points.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), order.alias("h"))
+    trees = rows.groupBy("part").applyInPandas(lambda pdf: grown(pdf.sort_values(["h", "id"])), "part long, tree binary")
+    while parts > TREES:
+        trees = trees.withColumn("up", F.floor(F.col("part") / TREES)).groupBy("up").applyInPandas(lambda pdf: joined(pdf), "part long, tree binary")
+        parts = -(-parts // TREES)
+    for r in trees.orderBy("part").collect():  # at most TREES rows of ``most`` clusters
+        for c in pickle.loads(r.tree):
+            tree.absorb(c)
+    return tree
+
+
+def grgpf(points: DataFrame, limit: float, sample_size: int = 2000, most: int = 50) -> DataFrame:
+    """(id, c): the nearest clustroid of a tree of all points."""
+    return cl.assign(points, [c.clustroid.tolist() for c in grgpf_tree(points, limit, sample_size, most).clusters()]).select("id", "c")

@@ -40,6 +40,15 @@ def test_grgpf(spark):
     assert agrees(s.grgpf(df, 3.0, sample_size=90), truth)
 
 
+def test_grgpf_inserts_all_points(spark, monkeypatch):
+    df, truth = blobs(spark, 2)
+    assert agrees(s.grgpf(df, 3.0, sample_size=1), truth)  # two groups have no point in the sample
+    monkeypatch.setattr(s, "PART_POINTS", 10)
+    monkeypatch.setattr(s, "TREES", 4)
+    tree = s.grgpf_tree(df, 3.0, sample_size=1)
+    assert sum(c.n for c in tree.clusters()) == len(truth)
+
+
 def test_clustroid_estimates():
     d = lambda a, b: abs(a - b)
     c = s.ClustroidCluster([0.0, 1.0, 2.0], d, 4)
