@@ -207,6 +207,13 @@ def test_collaborative_filtering(spark):
         assert np.allclose([got.get(i, 0) for i in range(6)], want[0])
 
 
+def test_full_buckets_keep_their_pairs(spark):
+    rows = [(i, [7, 7, i // 6, 0]) for i in range(20)]  # all share the first band; six each are equal
+    df = spark.createDataFrame(rows, "doc_id long, signature array<long>")
+    got = sorted((r.i, r.j) for r in similarity.candidate_pairs(df, 2, 2, limit=3).collect())
+    assert got == [(i, j) for i in range(20) for j in range(i + 1, 20)]
+
+
 def test_sgd_factors(spark):
     rows = [(u, i, float(1 + (u * i) % 5)) for u in range(4) for i in range(5)]
     df = spark.createDataFrame(rows, "user long, item long, rating double")
