@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.vectors import dot
 
+#: A descent without a number of steps fails after so many, rather than to end early.
+GUARD = 100_000
+
 
 def gram(rows: DataFrame) -> DataFrame:
     """(i, j, x), i <= j: M^T M from rows (v), one aggregate over products within rows; no rows are paired."""
@@ -54,11 +57,11 @@ def svm_gradient(rows: DataFrame, w: list[float], b: float, c: float = 100.0) ->
     return every.join(parts, "d", "left").select("d", (F.col("own") + c * F.coalesce("s", F.lit(0.0))).alias("g"))
 
 
-def descend(rows: DataFrame, dim: int, eta: float, epsilon: float, c: float = 100.0, batch_size: int | None = None, averaged: bool = False, most: int = 50) -> tuple[list[float], list[float], float]:
+def descend(rows: DataFrame, dim: int, eta: float, epsilon: float, c: float = 100.0, batch_size: int | None = None, averaged: bool = False, most: int | None = 50) -> tuple[list[float], list[float], float]:
     """Costs (the first before any step), weights and bias by gradient descent from 0.
 
     Batches are cyclic slices of rows (place, x, y), place from 0 in a fixed order; None takes all rows. Stops when the
-    change of cost in percent, halved with the one before if ``averaged``, is under ``epsilon``, or after ``most`` steps.
+    change of cost in percent, halved with the one before if ``averaged``, is under ``epsilon``, or after ``most`` steps; without ``most``, an error says so if it hasn't after ``GUARD`` steps.
     A full step is one pass with one aggregate.
     """
     rows = rows.cache()
@@ -68,7 +71,7 @@ def descend(rows: DataFrame, dim: int, eta: float, epsilon: float, c: float = 10
     costs = [cost]
     size = n if batch_size is None else batch_size
     slices = max(1, -(-n // max(1, size)))
-    for step in range(most):
+    for step in range(GUARD if most is None else most):
         part = rows if slices == 1 else rows.where((F.col("place") >= step % slices * size) & (F.col("place") < (step % slices + 1) * size))
         g = {r.d: r.g for r in svm_gradient(part, w, b, c).collect()}
         w, b = [x - eta * g[i] for i, x in enumerate(w)], b - eta * g[-1]
@@ -78,5 +81,8 @@ def descend(rows: DataFrame, dim: int, eta: float, epsilon: float, c: float = 10
         change = (change + now) / 2 if averaged else now
         if change < epsilon:
             break
+    else:
+        if most is None:
+            raise RuntimeError(f"the descent did not settle in {GUARD} steps")
     rows.unpersist()
     return costs, w, b

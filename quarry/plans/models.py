@@ -21,6 +21,7 @@ FACTORS, LAMBDA = 20, 0.1
 #: Five rows of 10,000 buckets by the bounds e^-5 and e/10,000; and of few, so that words collide.
 _, WIDE = sk.sizes(math.exp(-5), math.e * 1e-4)
 NARROW = 271
+#: The SQL of the batch descent is unrolled to STEPS, where its query ends too; the other descents go on to their stop rule.
 ETA, EPSILON, STEPS = 3e-7, 0.25, 10
 #: Standardised text-shape features of labelled documents.
 SHAPES = {"n_chars": None, "digits": "[^0-9]", "spaces": "[^ ]", "upper": "[^A-Z]", "punctuation": "[^.,;:!?]"}
@@ -124,15 +125,15 @@ QUERIES = {
     "clustroids": lambda s, d: _round(cl.clustroids(_assigned(s, d)), 6, "rowsum"),
     "cf_user_user_top5": lambda s, d: _round(rec.top_items(rec.user_user(utility(s, d), USER, ITEMS)), 8, "score"),
     "cf_item_item_top5": lambda s, d: _round(rec.top_items(rec.item_item(utility(s, d), USER, ITEMS)), 8, "score"),
-    "mf_sgd_errors": lambda s, d: _round(rec.sgd_factors(ratings(s, d), FACTORS, LAMBDA, epochs=5), 6, "error"),
+    "mf_sgd_errors": lambda s, d: _round(rec.sgd_factors(ratings(s, d), FACTORS, LAMBDA), 6, "error"),
     "mf_objective": _objective,
     "gram_matrix": lambda s, d: _round(learn.gram(_gram(s, d)), 8, "x"),
     "svd_singular_values": lambda s, d: _round(s.createDataFrame(learn.singular_values(_gram(s, d)), "rank int, singular_value double, eigenvalue double"), 6, "singular_value", "eigenvalue"),
     "svm_cost": lambda s, d: _round(learn.svm_cost(svm_rows(s, d), W, B), 4, "cost"),
     "svm_gradient": lambda s, d: _round(learn.svm_gradient(svm_rows(s, d), W, B), 4, "g"),
     "svm_batch_costs": lambda s, d: _descent(s, d, eta=ETA, epsilon=EPSILON, most=STEPS),
-    "svm_minibatch_costs": lambda s, d: _descent(s, d, eta=1e-5, epsilon=0.01, batch_size=20, averaged=True, most=STEPS),
-    "svm_stochastic_costs": lambda s, d: _descent(s, d, eta=1e-4, epsilon=0.001, batch_size=1, averaged=True, most=STEPS),
+    "svm_minibatch_costs": lambda s, d: _descent(s, d, eta=1e-5, epsilon=0.01, batch_size=20, averaged=True, most=None),
+    "svm_stochastic_costs": lambda s, d: _descent(s, d, eta=1e-4, epsilon=0.001, batch_size=1, averaged=True, most=None),
     "cms_table": lambda s, d: sk.build(words(s, d), WIDE),
     "cms_estimate": lambda s, d: _estimates(s, d, NARROW),
     "cms_error": lambda s, d: _round(sk.errors(words(s, d), NARROW), 8, "error", "share"),

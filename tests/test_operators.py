@@ -242,6 +242,29 @@ def test_svm(spark):
     assert len(learn.descend(df, 2, 1e-4, 0.0001, batch_size=7, averaged=True, most=6)[0]) == 7
 
 
+@pytest.mark.parametrize("size", [1, 7])
+def test_descent_goes_on_to_its_stop_rule(spark, monkeypatch, size):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(30, 2))
+    y = np.where(x[:, 0] + r.normal(size=30) > 0, 1.0, -1.0)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i])) for i in range(30)], "place long, x array<double>, y double").coalesce(1)
+    w, b, change, want = np.zeros(2), 0.0, 0.0, [3000.0]
+    while True:
+        k = (len(want) - 1) % -(-30 // size) * size
+        part = slice(k, k + size)
+        bad = y[part] * (x[part] @ w + b) < 1
+        w, b = w - 1e-4 * (w - 100 * (y[part][bad] @ x[part][bad])), b + 1e-4 * 100 * y[part][bad].sum()
+        want.append(w @ w / 2 + 100 * np.maximum(0, 1 - y * (x @ w + b)).sum())
+        change = (change + 100 * abs(want[-2] - want[-1]) / want[-2]) / 2
+        if change < 0.2:
+            break
+    assert len(want) > 11
+    assert learn.descend(df, 2, 1e-4, 0.2, batch_size=size, averaged=True, most=None)[0] == pytest.approx(want)
+    monkeypatch.setattr(learn, "GUARD", 3)
+    with pytest.raises(RuntimeError):
+        learn.descend(df, 2, 1e-4, 0.2, batch_size=size, averaged=True, most=None)
+
+
 def test_sketch(spark):
     assert sketch.sizes(math.exp(-5), math.e * 1e-4) == (5, 10_000)
     words = [i % 37 for i in range(500)]

@@ -19,6 +19,11 @@ def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_learning_is_not_cut_short(spark):
+    assert QUERIES["mf_sgd_errors"](spark, SMALL).count() == 40
+    assert QUERIES["svm_stochastic_costs"](spark, SMALL).count() > 11
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
