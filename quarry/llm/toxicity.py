@@ -6,12 +6,18 @@ meet; all of those in the sample make the vocabulary, and one aggregate over all
 Examples and queries are TF-IDF vectors over it; what no example has would only scale a query. The index grows with the
 examples' texts and not with the documents; it and the vocabulary are broadcast, and nothing else is.
 
-The inverted index keeps the ``HEAD`` terms of most examples as dense rows and of each other term the examples that have it.
-All examples are scored, so the k nearest are exact. Their votes are weighted by closeness, the sampling of the
-labels is undone by weights, and a logistic curve fitted to leave-one-out votes of the examples makes them probabilities.
+The inverted index holds the examples in blocks of ``BLOCK``, like next to like. Postings of rare terms are lists of examples,
+and those of the ``HEAD`` terms that most examples have are a row of weights for each block, with the block's largest weight.
+A query adds up its rare terms; with the largest weights of the others, this bounds what any example of a block can reach.
+Blocks are then scored in the order of their bounds, and those whose bound is below the k-th best so far can't
+hold one of the k nearest, so these are exact. Votes of circles of them are weighted by closeness and the sampling of the labels is
+undone by weights. A text of over ``PART_WORDS`` words is looked up as a whole and in parts of about so many, as one vile passage says
+little in the whole, and each circle's largest vote of a part counts beside that of the whole. A logistic curve fitted to
+leave-one-out votes of the examples, parts included, makes them probabilities.
 
 Defined results: null and empty texts, and texts without a term of the vocabulary, get the score of no evidence; labels
-that are null, other than 0 and 1, or contradict each other for a document are not used; without examples of both labels
+that are null, other than 0 and 1, or contradict each other for a document are not used; of texts with one doc_id the smallest
+is learned from; without examples of both labels
 every score is the share of label 1 among the labels known, 0 without any; rows repeated get equal scores; columns other
 than doc_id and text (doc_id and toxic in labels) are not read, and doc_id only chooses what is learned from.
 """
@@ -33,15 +39,20 @@ from quarry.llm.decontaminate import words
 MAX_EXAMPLES = 2048
 MAX_TERM_BYTES = 64
 #: Lengths in bytes of the beginnings of words.
-STEMS = (4, 5, 6, 7, 8)
+STEMS = (4, 6)
 #: So many words' terms are remembered by a task.
 MEMORY = 100_000
-#: Terms with dense rows; texts that are scored at once.
-HEAD, GROUP = 2048, 64
-NEIGHBOURS = 25
+#: Terms with a row in each block; examples of a block; groups of like examples that are put side by side.
+HEAD, BLOCK, PIVOTS = 1024, 64, 32
+#: Added to bounds, for the error of single precision.
+SLACK = 1e-4
+NEIGHBOURS = 400
+#: So many of the neighbours vote together, nearest first.
+CIRCLES = (50, 150, 400)
 CUTOFF = 0.7
 #: Weight of the prior in a vote, in neighbours of cosine 1.
-PRIOR_WEIGHT = 0.5
+PRIOR_WEIGHT = 0.01
+PART_WORDS = 400
 
 
 def features(word: bytes) -> list[bytes]:
@@ -63,11 +74,15 @@ class Terms:
             found = self.seen[w] = tuple(i for f in features(w) if (i := self.terms.get(f)) is not None)
         return found
 
-    def counts(self, text: bytes) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for w, n in Counter(words(text)).items():
-            for i in self.of(w):
-                out[i] = out.get(i, 0) + n
+    def counts(self, text: bytes) -> list[dict[int, int]]:
+        """How often each part of the text has the terms; one part at least."""
+        every = words(text)
+        parts = max(1, -(-len(every) // PART_WORDS))
+        out: list[dict[int, int]] = [{} for _ in range(parts)]
+        for p, part in enumerate(out):
+            for w, n in Counter(every[p * len(every) // parts : (p + 1) * len(every) // parts]).items():
+                for i in self.of(w):
+                    part[i] = part.get(i, 0) + n
         return out
 
 
@@ -76,136 +91,132 @@ class Model:
     terms: dict[bytes, int]
     idf: np.ndarray
     row: np.ndarray  # of a term in head, or -1
-    head: np.ndarray  # (rows, examples) weights
-    start: np.ndarray  # where each term's part of place and value begins, an entry more at the end
+    head: np.ndarray  # (rows, blocks, BLOCK) weights
+    most: np.ndarray  # (rows, blocks) the largest of them
+    start: np.ndarray  # where each other term's part of place and value begins, an entry more at the end
     place: np.ndarray  # examples that have the term
     value: np.ndarray  # and its weight in them
     labels: np.ndarray  # of the examples, in the index' order
     ids: np.ndarray
     weight: np.ndarray  # of an example by its label, for the sampling
     prior: float
-    curve: tuple[float, float]
-
-    @property
-    def index(self) -> np.ndarray:
-        """All weights (terms, examples), for small models."""
-        out = np.zeros((len(self.row), len(self.labels)), np.float32)
-        out[self.row >= 0] = self.head[self.row[self.row >= 0]]
-        out[np.repeat(np.arange(len(self.row)), np.diff(self.start)), self.place] = self.value
-        return out
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit weights."""
-        t = np.fromiter(counts, np.int64, len(counts))
-        if not len(t):
-            return t, np.zeros(0, np.float32)
-        n = np.fromiter(counts.values(), np.float64, len(counts))
-        by = np.argsort(t)
-        t, n = t[by], n[by]
-        v = (1 + np.log(n)) * self.idf[t]
-        return t, (v / np.linalg.norm(v)).astype(np.float32)
-
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """(queries, examples), for up to ``GROUP`` queries (always computed as so many, so that a query's place matters less)."""
-        q = np.zeros((GROUP, len(self.head)), np.float32)
-        for i, (t, v) in enumerate(queries):
-            row = self.row[t]
-            q[i, row[row >= 0]] = v[row >= 0]
-        out = (q @ self.head)[: len(queries)]
-        for i, (t, v) in enumerate(queries):
-            rest = self.row[t] < 0
-            t, v = t[rest], v[rest]
-            n = self.start[t + 1] - self.start[t]
-            at = np.repeat(self.start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out[i] += np.bincount(self.place[at], self.value[at] * np.repeat(v, n), len(self.labels))
-        return np.round(out, 6)
-
-    def best(self, cos: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine, ties to the smaller place."""
-        ids = np.flatnonzero(cos > 0)
-        if len(ids) > k:
-            ids = ids[cos[ids] >= np.partition(cos[ids], len(ids) - k)[len(ids) - k]]
-        ids = ids[np.lexsort((ids, -cos[ids]))[:k]]
-        return ids, cos[ids]
-
-    def nearest(self, t: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        return self.best(self.cosines([(t, q)])[0], k)
-
-    def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
-        """Log-odds of label 1 from distance-weighted votes and the prior."""
+    curve: np.ndarray  # factors of the votes, and what is added
+
+    def vector(self, *parts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit weights of the parts together."""
+        t, n = (np.concatenate([np.fromiter(f(p), np.int64, len(p)) for p in parts]) for f in (iter, lambda p: p.values()))
+        t, at = np.unique(t, return_inverse=True)
+        v = (1 + np.log(np.bincount(at, n, len(t)))) * self.idf[t]
+        return t, (v / (np.linalg.norm(v) or 1)).astype(np.float32)
+
+    def nearest(self, t: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k examples of largest positive cosine, ties to the smaller id; one may be left out."""
+        row = self.row[t]
+        rows, w = row[row >= 0], v[row >= 0]
+        t, v = t[row < 0], v[row < 0]
+        n = self.start[t + 1] - self.start[t]
+        at = np.repeat(self.start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        blocks = self.head.shape[1]
+        cos = np.bincount(self.place[at], self.value[at] * np.repeat(v, n), blocks * BLOCK).reshape(blocks, BLOCK)
+        bound = cos.max(1) + w @ self.most[rows] + SLACK
+        order = np.argsort(-bound, kind="stable")
+        first = -(-2 * k // BLOCK)
+        found = [(np.zeros(0, np.int64), np.zeros(0))]
+        least = 0.0
+        for some in (order[:first], order[first:]):
+            some = some[bound[some] >= max(least, SLACK)]
+            if not len(some):
+                continue
+            exact = np.round(cos[some] + (w @ self.head[rows[:, None], some].reshape(len(rows), len(some) * BLOCK)).reshape(len(some), BLOCK), 6)
+            places, exact = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel(), exact.ravel()
+            here = (exact > 0) & (places != (-1 if without is None else without))
+            found.append((places[here], exact[here]))
+            if here.sum() >= k:
+                least = np.partition(exact[here], -k)[-k]
+        places, cosines = (np.concatenate(x) for x in zip(*found, strict=True))
+        best = np.lexsort((self.ids[places], -cosines))[:k]
+        return places[best], cosines[best]
+
+    def votes(self, ids: np.ndarray, cos: np.ndarray) -> np.ndarray:
+        """Log-odds of label 1 from distance-weighted votes of each circle of neighbours and the prior."""
         w = cos.astype(np.float64) ** 2 * self.weight[ids]
-        base = PRIOR_WEIGHT
-        one = float(w @ self.labels[ids]) + base * self.prior
-        return float(np.log(one / (w.sum() + base - one)))
-
-    def probability(self, logit: float) -> float:
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30))))
-
-
-class _Counts:
-    """Counts by term as two arrays, read like a dict."""
-
-    def __init__(self, terms: np.ndarray, tf: np.ndarray):
-        self.terms, self.tf = terms, tf
-
-    def __len__(self) -> int:
-        return len(self.terms)
-
-    def __iter__(self) -> Iterator[int]:
-        return iter(self.terms)
-
-    def values(self) -> np.ndarray:
-        return self.tf
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic fit with a slight pull towards the identity, by Newton steps."""
-    beta = np.array([1.0, 0.0])
-    X = np.stack([x, np.ones_like(x)], axis=1)
+        both = np.cumsum(np.append(0, w)), np.cumsum(np.append(0, w * self.labels[ids]))
+        every, ones = (x[np.minimum(CIRCLES, len(ids))] for x in both)
+        one = ones + PRIOR_WEIGHT * self.prior
+        return np.log(one / (every + PRIOR_WEIGHT - one))
+
+    def evidence(self, parts: list[dict[int, int]], without: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Votes of the whole and the largest of the parts; places and cosines of the whole's neighbours."""
+        ids, cos = self.nearest(*self.vector(*parts), without=without)
+        whole = self.votes(ids, cos)
+        largest = whole if len(parts) == 1 else np.max([self.votes(*self.nearest(*self.vector(p), without=without)) for p in parts], axis=0)
+        return np.concatenate([whole, largest]), ids, cos
+
+    def probability(self, votes: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(votes @ self.curve[:-1] + self.curve[-1], -30, 30))))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted logistic fit with a slight pull towards the votes' mean, by Newton steps."""
+    rest = np.append(np.full(x.shape[1], 1 / x.shape[1]), 0)
+    beta, X = rest.copy(), np.hstack([x, np.ones((len(x), 1))])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(X @ beta, -30, 30)))
-        grad = X.T @ (w * (p - y)) + 0.5 * (beta - [1, 0])
-        hess = (X * (w * p * (1 - p))[:, None]).T @ X + 0.5 * np.eye(2)
+        grad = X.T @ (w * (p - y)) + 0.5 * (beta - rest)
+        hess = (X * (w * p * (1 - p))[:, None]).T @ X + 0.5 * np.eye(len(beta))
         step = np.linalg.solve(hess, grad)
         beta = beta - np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-6:
             break
-    return max(float(beta[0]), 0.05), float(beta[1])
+    return beta
 
 
-def build(terms: list[bytes], df: np.ndarray, n_docs: int, examples: list[tuple[int, int, dict[int, int]]], shares: dict[int, float]) -> Model:
-    """Index of examples (id, label, counts by term). shares: of each label among all labels known."""
+def build(terms: list[bytes], df: np.ndarray, n_docs: int, examples: list[tuple[int, int, list[dict[int, int]]]], shares: dict[int, float]) -> Model:
+    """Index of examples (id, label, counts by term of each part). shares: of each label among all labels known."""
     idf = np.log((n_docs + 1) / (df + 1.0)) + 1
     examples = sorted(examples, key=lambda e: e[0])
-    labels = np.array([y for _, y, _ in examples])
-    seen = Counter(labels.tolist())
-    per = {y: shares[y] * len(examples) / seen[y] for y in seen}
-    model = Model({w: i for i, w in enumerate(terms)}, idf, *(np.zeros(0),) * 5, labels, np.array([i for i, _, _ in examples]), np.array([per[y] for y in labels.tolist()]), shares[1], (1.0, 0.0))
-    vectors = [model.vector(c) for _, _, c in examples]
+    model = Model({w: i for i, w in enumerate(terms)}, idf, *(np.zeros(0),) * 9, shares[1], np.zeros(0))
+    vectors = [model.vector(*c) for _, _, c in examples]
+    size = len(examples)
     term = np.concatenate([t for t, _ in vectors])
-    place = np.repeat(np.arange(len(examples), dtype=np.int32), [len(t) for t, _ in vectors])
+    place = np.repeat(np.arange(size), [len(t) for t, _ in vectors])
     value = np.concatenate([v for _, v in vectors])
-    held = np.bincount(term, minlength=len(terms))
-    top = np.argsort(-held, kind="stable")[:HEAD]
+    top = np.argsort(-np.bincount(term, minlength=len(terms)), kind="stable")[:HEAD]
     model.row = np.full(len(terms), -1, np.int32)
     model.row[top] = np.arange(len(top))
-    model.head = np.zeros((len(top), len(examples)), np.float32)
     dense = model.row[term] >= 0
-    model.head[model.row[term[dense]], place[dense]] = value[dense]
-    term, place, value = term[~dense], place[~dense], value[~dense]
+    head = np.zeros((len(top), -(-size // BLOCK) * BLOCK), np.float32)
+    head[model.row[term[dense]], place[dense]] = value[dense]
+    order = _like_by_like(head[:, :size])
+    head[:, :size] = head[:, order]
+    model.head = head.reshape(len(top), -(-size // BLOCK), BLOCK)
+    model.most = model.head.max(2)
+    examples = [examples[i] for i in order]
+    at = np.empty(size, np.int32)
+    at[order] = np.arange(size)
+    term, place, value = term[~dense], at[place[~dense]], value[~dense]
     by = np.argsort(term, kind="stable")
     model.place, model.value = place[by], value[by]
     model.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
-    logits = np.zeros(len(examples))
-    for at in range(0, len(examples), GROUP):
-        for i, cos in enumerate(model.cosines(vectors[at : at + GROUP]), at):
-            cos[i] = 0  # an example doesn't vote for itself
-            logits[i] = model.vote(*model.best(cos))
-    model.curve = _logistic(logits, labels.astype(float), model.weight)
+    model.labels, model.ids = np.array([y for _, y, _ in examples]), np.array([i for i, _, _ in examples])
+    seen = Counter(model.labels.tolist())
+    model.weight = np.array([shares[y] * size / seen[y] for y in model.labels.tolist()])
+    votes = np.array([model.evidence(c, without=i)[0] for i, (_, _, c) in enumerate(examples)])
+    model.curve = _logistic(votes, model.labels.astype(float), model.weight)
     return model
 
 
+def _like_by_like(head: np.ndarray) -> np.ndarray:
+    """An order of the examples (columns): by which of some that lie far apart they are most like."""
+    best, nearest, pivot = np.full(head.shape[1], -1.0), np.zeros(head.shape[1], np.int64), 0
+    for i in range(min(PIVOTS, head.shape[1])):
+        cos = head[:, pivot] @ head
+        nearest[cos > best] = i
+        best = np.maximum(best, cos)
+        pivot = int(best.argmin())
+    return np.lexsort((-best, nearest))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     """The model, or the one score of all texts where the labels don't allow one. ``labels``: (doc_id, toxic) to learn from."""
     spark = docs.sparkSession
@@ -219,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     shares = {y: n / sum(total.values()) for y, n in total.items()}
     picks = [known.where(F.col("y") == y).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(MAX_EXAMPLES).select("doc_id", "y").collect() for y in (0, 1)]
     sample = spark.createDataFrame([(r.doc_id, r.y) for p in picks for r in p], "id long, y int")  # at most 2 * MAX_EXAMPLES rows
-    rows = materialise(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", "y", F.col("text").cast("string").alias("text")).dropDuplicates(["id"]), "sample")
+    rows = materialise(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", "y", F.col("text").cast("string").alias("text")).groupBy("id", "y").agg(F.min("text").alias("text")), "sample")
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,11 +258,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
         known = Terms(place.value)
         for batch in batches:
             found = [known.counts(text) for text in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "y", "terms", "tf"])
+            n = [len(parts) for parts in found]
+            flat = [part for parts in found for part in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("id", "y")] + [pa.array([list(p) for p in flat], pa.list_(pa.int32())), pa.array([list(p.values()) for p in flat], pa.list_(pa.int32()))], ["id", "y", "terms", "tf"])
 
-    found = rows.mapInArrow(counted, "id long, y int, terms array<int>, tf array<int>").toArrow()  # at most 2 * MAX_EXAMPLES rows
-    examples = list(zip(found.column("id").to_pylist(), found.column("y").to_pylist(), (_Counts(t.values.to_numpy(), n.values.to_numpy()) for t, n in zip(found.column("terms"), found.column("tf"), strict=True)), strict=True))
-    return build(terms, df[:-1], int(df[-1]), examples, shares)
+    examples: dict[tuple[int, int], list[dict[int, int]]] = {}
+    for batch in rows.mapInArrow(counted, "id long, y int, terms array<int>, tf array<int>").toArrow().to_batches():  # parts of at most 2 * MAX_EXAMPLES texts
+        for i, y, t, n in zip(*(batch.column(c) for c in ("id", "y", "terms", "tf")), strict=True):
+            examples.setdefault((i.as_py(), y.as_py()), []).append(dict(zip(t.values.to_numpy(), n.values.to_numpy(), strict=True)))
+    return build(terms, df[:-1], int(df[-1]), [(*k, v) for k, v in examples.items()], shares)
 
 
 @keeps_columns("text")
@@ -267,18 +282,16 @@ def score(docs: DataFrame, model: Model | float, evidence: bool = False) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        none = m.probability(m.vote(np.zeros(0, np.int64), np.zeros(0)))
+        none = m.probability(np.tile(m.votes(np.zeros(0, np.int64), np.zeros(0)), 2))
         known = Terms(m.terms)
         for batch in released(batches):
             out, why = [], []
-            every = [m.vector(known.counts(text)) for text in texts(batch.column("text").cast(pa.string()))]
-            for at in range(0, len(every), GROUP):
-                group = every[at : at + GROUP]
-                for (t, _), row in zip(group, m.cosines(group), strict=True):
-                    ids, cos = m.best(row)
-                    out.append(m.probability(m.vote(ids, cos)) if len(t) else none)
-                    if evidence:
-                        why.append([{"id": int(m.ids[i]), "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(ids[:5], cos[:5], strict=True)])
+            for text in texts(batch.column("text").cast(pa.string())):
+                parts = known.counts(text)
+                votes, ids, cos = m.evidence(parts)
+                out.append(m.probability(votes) if any(parts) else none)
+                if evidence:
+                    why.append([{"id": int(m.ids[i]), "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(ids[:5], cos[:5], strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64()), *([pa.array(why, kind)] if evidence else [])], schema.fieldNames())
 
     return docs.mapInArrow(run, schema)

@@ -313,19 +313,45 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(e.label == 1 for e in got[0].tox_evidence[:1])
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("head", [0, 12, 1024])
+def test_nearest_examples_are_exact(monkeypatch, head):
+    monkeypatch.setattr(toxicity, "HEAD", head)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
     r = np.random.default_rng(0)
     terms = [f"t{i}".encode() for i in range(40)]
     df = r.integers(1, 200, 40).astype(float)
-    examples = [(i, int(r.random() < 0.3), {int(t): int(r.integers(1, 5)) for t in r.choice(40, r.integers(0, 6), replace=False)}) for i in range(300)]
+    examples = [(i, int(r.random() < 0.3), [{int(t): int(r.integers(1, 5)) for t in r.choice(40, r.integers(0, 6), replace=False)}]) for i in range(300)]
+    examples += [(300 + i, 1, examples[i][2]) for i in range(20)]  # ties
+    r.shuffle(examples)
     model = toxicity.build(terms, df, 300, examples, {0: 0.7, 1: 0.3})
-    flat = model.index.reshape(40, -1).astype(float)
+    idf = np.log(301 / (df + 1)) + 1
+
+    def unit(counts):
+        v = np.zeros(40)
+        for t, n in counts.items():
+            v[t] = (1 + math.log(n)) * idf[t]
+        return v / (np.linalg.norm(v) or 1)
+
+    flat = {i: unit(c) for i, _, (c,) in examples}
     for _ in range(50):
-        t, q = model.vector({int(x): int(r.integers(1, 4)) for x in r.choice(40, 4, replace=False)})
-        cos = q @ flat[t]
-        ids, found = model.nearest(t, q, k=9)
-        want = np.sort(cos[cos > 0])[::-1][:9]
-        assert np.allclose(found, want, atol=1e-5)
+        counts = {int(x): int(r.integers(1, 4)) for x in r.choice(40, 4, replace=False)}
+        q = unit(counts)
+        want = sorted(((-round(float(q @ v), 5), i) for i, v in flat.items() if q @ v > 0))[:9]
+        places, cos = model.nearest(*model.vector(counts), k=9)
+        assert np.allclose(cos, [-c for c, _ in want], atol=1e-4)
+        assert all(math.isclose(q @ flat[int(model.ids[p])], c, abs_tol=1e-4) for p, c in zip(places, cos))
+        assert len(model.nearest(*model.vector(counts), k=9, without=int(places[0]))[0]) and places[0] not in model.nearest(*model.vector(counts), k=9, without=int(places[0]))[0]
+
+
+def test_toxicity_of_repeated_long_and_tied_texts(spark):
+    docs, labels = labelled()
+    long = "plain words " * 60_000
+    docs += [(900, long + "scum nasty", "en", "s", 0), (901, long, "en", "s", 0), (0, docs[0][1], "en", "s", 0), (0, docs[0][1], "en", "s", 0)]
+    docs += [(1000 + i, docs[5][1], "en", "s", 0) for i in range(200)]  # more equal examples than neighbours
+    model = toxicity.fit(frame(spark, docs), spark.createDataFrame([*labels, *((1000 + i, 1) for i in range(200))], "doc_id long, toxic int"))
+    out = toxicity.score(frame(spark, docs), model).collect()
+    assert len({x.tox_score for x in out if x.doc_id == 0}) == 1 and sum(x.doc_id == 0 for x in out) == 3
+    assert len({x.tox_score for x in out if x.doc_id >= 1000}) == 1 and all(0 <= x.tox_score <= 1 for x in out)
 
 
 def test_toxicity_knows_rare_words_and_counts_all_documents(spark):
