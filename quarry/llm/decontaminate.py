@@ -2,10 +2,11 @@
 
 A task reads its documents as word ids, cuts them into shards of at most ``shard_words`` words and builds over each
 shard a suffix order, the Burrows-Wheeler transform in a wavelet matrix, and suffix positions sampled by text position.
-All benchmark windows are searched backward at once; occurrences are located by walking to a sampled position, and
-their spans are merged per document. A longer document spans several shards that overlap by a window less one word.
-Nothing is shuffled. Windows reach the tasks in blocks of at most ``block_windows`` windows, whose bytes are bounded
-too, one pass over the documents a block, so that the benchmark's size has no limit either.
+Benchmark windows are searched backward, a block of them at once; occurrences are located by walking to a sampled position,
+and their spans are merged per document. A longer document spans several shards that overlap by a window less one word.
+Nothing is shuffled. Windows reach the tasks in blocks of at most ``block_windows`` windows and ``block_bytes`` bytes, each a
+broadcast of its own. A shard is indexed once, with ids of its own for its words; then the task goes through the blocks and
+holds one of them at a time, so that the benchmark's size has no limit either.
 
 Defined results: a null or empty text has no words and is clean; an empty item, a null item text and an item without id
 have no windows; repeated items count by item_id once; repeated documents give a row each; columns beside doc_id and
@@ -19,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,24 +148,43 @@ class FMIndex:
 
 
 class Patterns:
-    """A block of windows as ids: 0 ends a shard, 1 parts its texts, 2 is any word that no window has."""
+    """A block of windows, as places in the list of their words."""
 
     def __init__(self, windows: list[tuple[tuple[bytes, ...], list[str]]], window: int):
-        self.vocab = {w: i + 3 for i, w in enumerate(sorted({w for k, _ in windows for w in k}))}
-        self.sigma = len(self.vocab) + 3
-        self.ids = np.zeros((len(windows), window), np.int32)
+        every = sorted({w for k, _ in windows for w in k})
+        at = {w: i for i, w in enumerate(every)}
+        self.words = pa.array(every, pa.large_binary())
+        self.places = np.full((len(windows), window), len(every), np.int32)  # right-aligned; beyond the words: nothing
         self.lengths = np.array([len(k) for k, _ in windows], np.int64)
         for i, (k, _) in enumerate(windows):
-            self.ids[i, window - len(k) :] = [self.vocab[w] for w in k]
-        self.items = [v for _, v in windows]
+            self.places[i, window - len(k) :] = [at[w] for w in k]
+        self.items = pa.array([v for _, v in windows], pa.large_list(pa.large_string()))
 
+    def of(self, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The windows whose words are all known, and their ids."""
+        ids = np.fromiter((vocabulary.get(w, -1) for w in (*self.words.to_pylist(), b"")), np.int64, len(self.words) + 1)
+        ids[-1] = 0
+        ids = ids[self.places]
+        live = np.flatnonzero((ids >= 0).all(1))
+        return live, ids[live]
 
-def _scan(column: pa.Array, patterns: Patterns, window: int, shard_words: int) -> tuple[list[int], list]:
-    """For each text its number of words and, where windows occur, the list of their (starts, ends, patterns)."""
-    get, overlap = patterns.vocab.get, window - 1
+
+def _each(blocks: list[Broadcast]) -> Iterator[Patterns]:
+    """The blocks' windows; of several blocks, none stays in memory."""
+    for held in blocks:
+        yield held.value
+        if len(blocks) > 1:
+            vars(held).pop("_value", None)
+
+
+def _scan(column: pa.Array, blocks: list[Broadcast], window: int, shard_words: int) -> tuple[list[int], list[list], list[set]]:
+    """For each text its number of words, the list of (starts, ends) of windows that occur, and their items."""
+    overlap = window - 1
     n_words: list[int] = []
-    hits: list = []
+    spans: list[list] = []
+    items: list[set] = []
     shard: list[tuple[int, int, np.ndarray]] = []
+    vocabulary: dict[bytes, int] = {}  # from 2 on; 0 ends a shard, 1 parts its texts
     filled = 0
 
     def flush():
@@ -172,10 +193,13 @@ def _scan(column: pa.Array, patterns: Patterns, window: int, shard_words: int) -
             starts.append(at)
             parts += [ids, apart]
             at += len(ids) + 1
-        index = FMIndex(np.concatenate([*parts, np.zeros(1, np.int32)]), patterns.sigma)
-        lo, hi = index.search(patterns.ids, patterns.lengths)
-        which = np.repeat(np.arange(len(lo)), hi - lo)
-        if len(which):
+        index = FMIndex(np.concatenate([*parts, np.zeros(1, np.int32)]), len(vocabulary) + 2)
+        for patterns in _each(blocks):
+            live, ids = patterns.of(vocabulary)
+            lo, hi = index.search(ids, patterns.lengths[live])
+            which = np.repeat(live, hi - lo)
+            if not len(which):
+                continue
             first = np.cumsum(hi - lo) - (hi - lo)
             pos = index.locate(np.arange(len(which)) - np.repeat(first, hi - lo) + np.repeat(lo, hi - lo))
             by = np.argsort(pos)
@@ -184,42 +208,41 @@ def _scan(column: pa.Array, patterns: Patterns, window: int, shard_words: int) -
             for p, s, w in zip(np.unique(piece), *(np.split(x, np.flatnonzero(np.diff(piece)) + 1) for x in (pos, which)), strict=True):
                 row, offset, _ = shard[p]
                 s = s - starts[p] + offset
-                hits[row] = [*(hits[row] or []), (s, s + patterns.lengths[w], w)]
+                spans[row].append((s, s + patterns.lengths[w]))
+                items[row].update(*patterns.items.take(pa.array(np.unique(w))).to_pylist())
         shard.clear()
 
     for row, text in enumerate(texts(column)):
         found = words(text)
         n_words.append(len(found))
-        hits.append(None)
-        ids = np.array([get(w, 2) for w in found], np.int32)
-        for begin in range(0, max(1, len(ids) - overlap), shard_words) if len(ids) else ():
-            part = ids[begin : begin + shard_words + overlap]
+        spans.append([])
+        items.append(set())
+        for begin in range(0, max(1, len(found) - overlap), shard_words) if found else ():
+            part = found[begin : begin + shard_words + overlap]
             if shard and filled + len(part) > shard_words:
                 flush()
                 filled = 0
-            shard.append((row, begin, part))
+                vocabulary.clear()
+            for w in set(part).difference(vocabulary):
+                vocabulary[w] = len(vocabulary) + 2
+            shard.append((row, begin, np.fromiter(map(vocabulary.__getitem__, part), np.int32, len(part))))
             filled += len(part)
     if shard:
         flush()
-    return n_words, hits
+    return n_words, spans, items
 
 
-def _annotate(batches: Iterator[pa.RecordBatch], patterns: Patterns, window: int, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """The rows with what this block of windows adds to fm_words, fm_starts, fm_ends and fm_items."""
+def _annotate(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast], window: int, shard_words: int) -> Iterator[pa.RecordBatch]:
+    """The rows with fm_words, fm_starts, fm_ends and fm_items in place of fm_text."""
     for batch in released(batches):
-        n_words, hits = _scan(batch.column("fm_text"), patterns, window, shard_words)
-        starts, ends, items = (batch.column(c).to_pylist() for c in ("fm_starts", "fm_ends", "fm_items"))
-        for row, found in enumerate(hits):
-            if found:
-                if starts[row]:
-                    found = [*found, (np.array(starts[row]), np.array(ends[row]), np.zeros(0, int))]
-                starts[row], ends[row] = _merge(found)
-                items[row] = sorted({*items[row], *(i for _, _, w in found for p in np.unique(w) for i in patterns.items[p])})
-        new = {"fm_words": pa.array(n_words, pa.int64()), "fm_starts": pa.array(starts, pa.list_(pa.int32())), "fm_ends": pa.array(ends, pa.list_(pa.int32())), "fm_items": pa.array(items, pa.list_(pa.string()))}
-        yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
-
-
-def _merge(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[int], list[int]]:
+        n_words, spans, items = _scan(batch.column("fm_text"), blocks, window, shard_words)
+        merged = [_merge(found) if found else ([], []) for found in spans]
+        new = {"fm_words": pa.array(n_words, pa.int64()), "fm_starts": pa.array([s for s, _ in merged], pa.list_(pa.int32())), "fm_ends": pa.array([e for _, e in merged], pa.list_(pa.int32())), "fm_items": pa.array([sorted(i) for i in items], pa.list_(pa.string()))}
+        own = [c for c in batch.schema.names if c != "fm_text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, own), *new.values()], [*own, *new])
+
+
+def _merge(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[int], list[int]]:
     """Union of half-open spans."""
     s, e = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
     by = np.argsort(s, kind="stable")
@@ -245,7 +268,7 @@ def _window_blocks(benchmark: DataFrame, window: int, block_windows: int, block_
     held = 0
     for row in rows.distinct().orderBy("k", "item").toLocalIterator():
         k = bytes(row.k)
-        if k not in block and (len(block) >= block_windows or held >= block_bytes):
+        if len(block) >= block_windows or held >= block_bytes:  # a window of many items goes on in the next block
             yield Patterns([(tuple(x.split()), v) for x, v in block.items()], window)
             block, held = {}, 0
         block.setdefault(k, []).append(row.item)
@@ -253,30 +276,21 @@ def _window_blocks(benchmark: DataFrame, window: int, block_windows: int, block_
     yield Patterns([(tuple(x.split()), v) for x, v in block.items()], window)
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int, block_windows: int, block_bytes: int, finish: Callable = iter) -> DataFrame:
-    """Each block of windows is one pass in the same stage: the rows carry their spans from pass to pass.
-
-    ``finish`` goes over the last pass's batches, in the same Python worker.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int, block_windows: int, block_bytes: int, finish: Callable = lambda batches, scan: batches) -> DataFrame:
+    """``docs`` with the columns that ``annotate`` names. ``finish`` goes over the batches in the same Python worker and may scan
+    other texts."""
     bounded_batches(docs.sparkSession)
-    out = docs.withColumns({"fm_text": F.col("text").cast("string"), "fm_words": F.lit(0).cast("long"), "fm_starts": F.expr("cast(array() as array<int>)"), "fm_ends": F.expr("cast(array() as array<int>)"), "fm_items": F.expr("cast(array() as array<string>)")})
-    schema = out.schema
+    schema = docs.withColumns({"fm_words": F.lit(0).cast("long"), "fm_starts": F.expr("cast(array() as array<int>)"), "fm_ends": F.expr("cast(array() as array<int>)"), "fm_items": F.expr("cast(array() as array<string>)")}).schema
     for f in schema.fields:
         f.nullable = True
-    blocks = _window_blocks(benchmark, window, block_windows, block_bytes)
-    now = next(blocks)
-    while now is not None:
-        after = next(blocks, None)
-        held, last = docs.sparkSession.sparkContext.broadcast(now), iter if after is not None else finish
-        out = out.mapInArrow(lambda b, held=held, last=last: last(_annotate(b, held.value, window, shard_words)), schema)
-        now = after
-    return out.drop("fm_text")
+    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in _window_blocks(benchmark, window, block_windows, block_bytes)]
+    return docs.withColumn("fm_text", F.col("text").cast("string")).mapInArrow(lambda b: finish(_annotate(b, blocks, window, shard_words), lambda column: _scan(column, blocks, window, shard_words)), schema)
 
 
 @keeps_columns("text")
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with fm_words (their number), fm_starts and fm_ends (merged word spans of the windows that occur) and fm_items."""
-    return _passes(docs, benchmark, window, shard_words, block_windows, block_bytes)
+    return _found(docs, benchmark, window, shard_words, block_windows, block_bytes)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -299,18 +313,26 @@ def without_spans(text: bytes, starts: list[int], ends: list[int]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], min_items: int) -> Iterator[pa.RecordBatch]:
-    """The rows with fewer items than that, without their spans."""
+def _cut(batches: Iterator[pa.RecordBatch], min_items: int, scan: Callable) -> Iterator[pa.RecordBatch]:
+    """The rows with fewer items than that, without their spans; and without those that arise where words met by a cut."""
     for batch in batches:
         batch = batch.filter(pa.array([len(x) < min_items for x in batch.column("fm_items").to_pylist()], pa.bool_()))
-        new = [without_spans(t.as_py().encode(), s, e).decode() if s else t.as_py() for t, s, e in zip(batch.column("text"), batch.column("fm_starts").to_pylist(), batch.column("fm_ends").to_pylist(), strict=True)]
+        new = batch.column("text").to_pylist()
+        found = {i: x for i, x in enumerate(zip(batch.column("fm_starts").to_pylist(), batch.column("fm_ends").to_pylist(), strict=True)) if x[0]}
+        while found:
+            for i, (starts, ends) in found.items():
+                new[i] = without_spans(new[i].encode(), starts, ends).decode()
+            rows = list(found)
+            _, spans, _ = scan(pa.array([new[i] for i in rows], pa.large_string()))
+            found = {i: _merge(x) for i, x in zip(rows, spans, strict=True) if x}
         yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names], batch.schema.names)
 
 
 @keeps_columns("text")
 def clean(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
-    """Documents with windows of ``min_items`` items or more go; from the others, the spans of the windows found are cut out."""
-    return _passes(docs, benchmark, WINDOW, SHARD_WORDS, BLOCK_WINDOWS, BLOCK_BYTES, lambda batches: _cut(batches, min_items)).select(docs.columns)
+    """Documents with windows of ``min_items`` items or more go; from the others, the spans of the windows found are cut
+    out, until none is left."""
+    return _found(docs, benchmark, WINDOW, SHARD_WORDS, BLOCK_WINDOWS, BLOCK_BYTES, lambda batches, scan: _cut(batches, min_items, scan)).select(docs.columns)
 
 
 SQL = r"""

@@ -66,7 +66,7 @@ def brute_hits(rows, bench):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 100}, {"block_windows": 7}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 100}, {"block_windows": 1}, {"block_bytes": 1, "shard_words": 300}])
 def test_decontamination_equals_brute_force(spark, options):
     rows = documents()
     bench = items(rows)
@@ -75,6 +75,18 @@ def test_decontamination_equals_brute_force(spark, options):
     assert got == brute_hits(rows, bench)
 
 
+def test_decontamination_is_one_pass_whatever_the_blocks(spark):
+    rows = documents()
+    same = " ".join(rows[0][1].split()[:8])
+    bench = [(i, same) for i in range(60)] + items(rows)  # one window of many items
+    found = decontaminate.annotate(frame(spark, [*rows, *rows[:3]]), spark.createDataFrame(bench, "item_id long, text string"), block_windows=3, block_bytes=100)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = found.collect()
+    want = brute_hits(rows, bench)
+    assert len(got) == len(rows) + 3
+    assert all((r.fm_words, sum(e - s for s, e in zip(r.fm_starts, r.fm_ends)), list(r.fm_items)) == want[r.doc_id] for r in got)
+
+
 def test_decontamination_cuts_and_drops(spark):
     rows = documents()
     bench = items(rows)
@@ -86,6 +98,15 @@ def test_decontamination_cuts_and_drops(spark):
     assert all(len(decontaminate.words(kept[d].encode())) == before[d][0] - before[d][1] for d in kept if before[d][2])
 
 
+def test_decontamination_cuts_what_a_cut_joins(spark):
+    w = [f"w{i}" for i in range(30)]
+    inner = " ".join(w[4:12])
+    rows = [(1, " ".join(["a", *w[:4], inner, *w[4:12], "z"]), "en", "s", 0), (2, " ".join(["b", *w[:6], inner, *w[6:12]]), "en", "s", 0)]
+    bench = spark.createDataFrame([(1, inner + " " + " ".join(w[12:15])), (1, " ".join(w[:12]))], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.clean(frame(spark, rows), bench).collect()}
+    assert got[1].split() == ["a", "z"] and got[2].split() == ["b"]
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.annotate(frame(spark, []), none).count() == 0
