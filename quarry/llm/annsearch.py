@@ -1,11 +1,13 @@
 """Largest inner products by collision-counting hashing (query-aware LSH).
 
 Vectors get one more component that makes their lengths equal, so the largest inner products are the nearest points. A
-task holds a block of at most ``BLOCK_ROWS`` vectors and their projections on ``PROJECTIONS`` random lines, each a sorted
+task holds a block of at most about ``BLOCK_ROWS`` vectors and their projections on ``PROJECTIONS`` random lines, each a sorted
 array. For a query, a window around its own projection grows on every line alike, each round by the next radius
-(virtual rehashing: no bucket is ever built); a vector collides on a line if it lies in the window. Vectors that collide on
-``THRESHOLD`` of the lines or more are verified by exact inner products. The search ends when so many vectors were verified
-and the k-th best of them lies within the radius, or when all lines are used up. Blocks' results meet in a top-k per query.
+(virtual rehashing: no bucket is ever built); a vector collides on a line if it lies in the window. As windows hold most of
+a line, what is counted is what lies outside of them. Vectors that collide on ``THRESHOLD`` of the lines or more are verified by
+exact inner products, once each. The search ends when the k-th best vector verified lies within the radius, which is the
+distance at which a vector passes the threshold with the probability ``CONFIDENCE``, or when all lines are used up. How many
+vectors are verified follows from that alone. Blocks' results meet in a top-k per query.
 
 Queries are read in blocks of ``QUERY_ROWS``, each against all blocks of vectors. Every row is indexed.
 
@@ -17,6 +19,7 @@ none; a query that is repeated is answered once per row; ties go to the smaller
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +30,20 @@ from quarry.llm.common import materialise, table
 
 K = 20
 QUERY_EVERY = 20
-PROJECTIONS = 64
+PROJECTIONS = 160
 #: Share of the lines on which a vector must collide to be verified.
-THRESHOLD = 0.6
-#: Share of a block that is verified before a search may end.
-VERIFIED = 0.3
+THRESHOLD = 0.8
+CONFIDENCE = 0.85
 #: Windows grow by this factor a round.
-GROWTH = 1.12
-#: The first half-width, in lengths of the lifted vectors; a block raises it as far as its first vectors allow as queries.
-START = 0.3
-TRIALS = 16
-BLOCK_ROWS = 16_384
-QUERY_ROWS = 4_096
+GROWTH = 1.06
+#: The first radius is this share of the distance at which so many of a block's own vectors, in the middle, have their k-th neighbour.
+START, TRIALS = 0.95, 32
+BLOCK_ROWS = 32_768
+QUERY_ROWS = 16_384
 SEED = 20240611
+_NORMAL = NormalDist()
+#: Half-width of the window in radii: a vector at the radius then collides on a line with the chance that CONFIDENCE asks for.
+REACH = _NORMAL.inv_cdf((1 + THRESHOLD + _NORMAL.inv_cdf(CONFIDENCE) * (THRESHOLD * (1 - THRESHOLD) / PROJECTIONS) ** 0.5) / 2)
 
 
 def lines(dim: int) -> np.ndarray:
@@ -53,60 +57,63 @@ class Block:
         by = np.argsort(ids, kind="stable")
         self.ids, self.vectors, self.longest = ids[by], vectors[by], longest
         lift = np.sqrt(np.maximum(longest - (self.vectors * self.vectors).sum(1), 0))
-        shadow = np.concatenate([self.vectors, lift[:, None]], axis=1).astype(np.float32) @ lines(vectors.shape[1])
-        self.order = np.ascontiguousarray(np.argsort(shadow, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.sort(shadow, axis=0, kind="stable").T)
-        self.need = int(np.ceil(THRESHOLD * PROJECTIONS))
-        self.start = START * float(np.sqrt(longest))
-        trial = self._shadow(self.vectors[:TRIALS])
-        self.start *= GROWTH ** max(0, min(r for _, _, r in self._collide(trial, min(len(ids), self._enough(K)))) - 1)
-
-    def _shadow(self, queries: np.ndarray) -> np.ndarray:
-        """Projections of queries scaled to the lifted vectors' length, which leaves the order of inner products as it is."""
-        lengths = np.sqrt((queries * queries).sum(1))
-        return (queries / lengths[:, None] * np.sqrt(self.longest)).astype(np.float32) @ lines(queries.shape[1])[:-1]
-
-    def _enough(self, k: int) -> int:
-        return min(len(self.ids), int(np.ceil(VERIFIED * len(self.ids))) + 10 * k)
+        shadow = np.ascontiguousarray((np.concatenate([self.vectors, lift[:, None]], axis=1).astype(np.float32) @ lines(vectors.shape[1])).T)
+        self.order = np.argsort(shadow, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(shadow, self.order, axis=1)
+        self.missed = PROJECTIONS - int(np.ceil(THRESHOLD * PROJECTIONS))
+        self.verified = 0
+
+    def _distance(self, score: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Between lifted vectors, from the inner product with a query of this length."""
+        return np.sqrt(np.maximum(2 * self.longest - 2 * score / length * np.sqrt(self.longest), 0))
+
+    def _start(self, k: int) -> float:
+        some = self.vectors[:: -(-len(self.ids) // TRIALS)]
+        k = min(k, len(self.ids) - 1)
+        score = some @ self.vectors.T
+        return START * float(np.median(self._distance(-np.partition(-score, k, axis=1)[:, k], np.sqrt((some * some).sum(1))))) or 1e-3 * float(np.sqrt(self.longest))
 
-    def _collide(self, shadow: np.ndarray, enough: int) -> Iterator[tuple[int, np.ndarray, int]]:
-        """For each query, the places of the vectors over the threshold in the first round that has enough, and the round."""
-        n, rounds = len(self.ids), []
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the query, ids, scores): the k best found for each query, its own id left out."""
+        lengths = np.sqrt((queries * queries).sum(1))
+        shadow = (queries / lengths[:, None] * np.sqrt(self.longest)).astype(np.float32) @ lines(queries.shape[1])[:-1]
+        n, start, rounds = len(self.ids), self._start(k), []
 
         def window(r: int) -> tuple[list[list[int]], list[list[int]]]:
+            """For all queries: on each line, where the window begins and ends in that round."""
             while len(rounds) <= r:
-                half = self.start * GROWTH ** len(rounds)
+                half = REACH * start * GROWTH ** len(rounds)
                 rounds.append([np.stack([self.sorted[j].searchsorted(shadow[:, j] + d, side=side) for j in range(PROJECTIONS)], axis=1).tolist() for d, side in ((-half, "left"), (half, "right"))])
             return rounds[r]
 
-        for i in range(len(shadow)):
-            hits, r = np.zeros(n, np.uint8), 0
-            lo = hi = None
+        for i in range(len(queries)):
+            outside, seen = np.zeros(n, np.uint8), self.ids == own[i]
+            places, scores = np.zeros(0, np.int64), np.zeros(0)
+            r, lo = 0, None
             while True:
                 a, b = (x[i] for x in window(r))
                 for j, order in enumerate(self.order):
                     if lo is None:
-                        hits[order[a[j] : b[j]]] += 1
+                        outside[order[: a[j]]] += 1
+                        outside[order[b[j] :]] += 1
                         continue
                     if a[j] < lo[j]:
-                        hits[order[a[j] : lo[j]]] += 1
+                        outside[order[a[j] : lo[j]]] -= 1
                     if b[j] > hi[j]:
-                        hits[order[hi[j] : b[j]]] += 1
-                lo, hi, r = a, b, r + 1
-                found = np.flatnonzero(hits >= self.need)
-                if len(found) >= enough or (not any(lo) and all(x == n for x in hi)):
+                        outside[order[hi[j] : b[j]]] -= 1
+                lo, hi = a, b
+                new = np.flatnonzero((outside <= self.missed) & ~seen)
+                seen[new] = True
+                self.verified += len(new)
+                places, scores = np.append(places, new), np.append(scores, self.vectors[new] @ queries[i])
+                if len(scores) >= k and self._distance(np.partition(scores, -k)[-k], lengths[i]) <= start * GROWTH**r or (not any(lo) and all(x == n for x in hi)):
                     break
-            yield i, found, r
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the query, ids, scores): the k best found for each query, its own id left out."""
-        for i, found, _ in self._collide(self._shadow(queries), self._enough(k)):
-            found = found[self.ids[found] != own[i]]
-            score = self.vectors[found] @ queries[i]
-            top = found[score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9 * self.longest] if len(score) > k else found
-            score = (self.vectors[top] * queries[i]).sum(1)
-            by = np.lexsort((self.ids[top], -score))[:k]
-            yield i, self.ids[top[by]], score[by]
+                r += 1
+            if len(scores) > k:
+                places = places[scores >= np.partition(scores, -k)[-k] - 1e-9 * self.longest]
+            score = (self.vectors[places] * queries[i]).sum(1)
+            by = np.lexsort((self.ids[places], -score))[:k]
+            yield i, self.ids[places[by]], score[by]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -134,7 +141,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     rows = rows.where(F.size("v") == facts.dim)
     dim, longest = facts.dim, facts.longest * (1 + 1e-9)
     blocks = max(1, -(-facts.n // BLOCK_ROWS))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))  # of a table, so that a task that runs again deals alike
     asked = rows.where(is_query).select("vec_id", "v").withColumn("query_row", F.monotonically_increasing_id())
     asked = materialise(asked, "queries")
     groups = max(1, -(-asked.count() // QUERY_ROWS))

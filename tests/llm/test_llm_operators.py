@@ -425,6 +425,26 @@ def test_few_vectors_and_ties(spark):
     assert annsearch.nearest(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_vector_search_stops_by_the_radius():
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(40, 24))
+    x = np.concatenate([c + 0.3 * r.normal(size=(100, 24)) for c in centres])
+    block = annsearch.Block(np.arange(len(x)), x, (x * x).sum(1).max())
+    queries = np.arange(0, len(x), 50)
+    right = 0
+    for i, found, _ in block.search(x[queries], queries):
+        s = x @ x[queries[i]]
+        s[queries[i]] = -np.inf
+        right += len(set(found.tolist()) & set(np.argsort(-s)[:20].tolist()))
+    assert right / len(queries) / 20 >= 0.9 and block.verified / len(queries) < 0.1 * len(x)
+
+
+def test_repeated_vectors_and_queries(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0])] * 3 + [(i, [1.0, 1.0]) for i in (5, 5, 4)] + [(40, [1.0, 1e-3])], "vec_id long, embedding array<double>")
+    got = Counter(map(tuple, annsearch.nearest(df, F.col("vec_id") == 20).collect()))
+    assert got == Counter({(20, 1, 4, 1.0): 3, (20, 2, 5, 1.0): 3, (20, 3, 5, 1.0): 3, (20, 4, 40, 1.0): 3})
+
+
 def test_vectors_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(annsearch, "BLOCK_ROWS", 100)
     monkeypatch.setattr(annsearch, "QUERY_ROWS", 7)
