@@ -7,16 +7,21 @@ temporary name and renames it when complete, so a task that runs again leaves th
 Reader: archives are cut into byte ranges. A task looks for gzip's magic bytes in its range, takes a place for a member
 only if the member's start decodes to a WARC header, and owns the records that start inside its range, reading the last
 one past the end. After a member it goes on at that member's end; where nothing valid starts there, it searches again.
+Records of every type and digest are read: a member counts by its header and length, and whether its digest is right is a
+column of its own.
 
 Archives lie in the shared folder and are opened by URI through pyarrow's file systems.
 
 Defined results: null html is an empty payload; a null url is written as an empty target; rows repeated with the same
 page_id and payload are responses both; rows with null page_id are written and read back with null, and take part in
-no sharing; an empty table writes no record and reads no row.
+no sharing; an empty table writes no record and reads no row. Of records read, payload_digest is the SHA-256 of the payload,
+and of revisits what they declare; digest_valid is null where no digest is declared or can be checked; page_id and
+refers_to are null where the record's ids are not this writer's.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -26,10 +31,10 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import scratch, table
+from quarry.llm.common import materialise, scratch, table
 
 MIN_REVISIT = 100
 SPLIT_BYTES = 8 << 20
@@ -38,7 +43,10 @@ MAX_HEADER = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+#: A read task goes through several ranges where there are more than so many.
+READ_TASKS = 20_000
+MEMBER_BYTES = 1 << 16
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, digest_valid boolean, payload binary"
 
 
 def plan(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -96,57 +104,78 @@ def write(rows: DataFrame, folder: str, level: int = 6) -> DataFrame:
     return rows.mapInArrow(put, "path string, bytes long, records long")
 
 
+_HEADER = re.compile(rb"WARC/\d")
+
+
+def _digest_valid(declared: str, payload: bytes) -> bool | None:
+    """Whether the payload has the digest, in hex or base32; None for an unknown algorithm."""
+    name, _, value = declared.partition(":")
+    if name.lower().replace("-", "") not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    found = hashlib.new(name.lower().replace("-", ""), payload)
+    return value.lower() == found.hexdigest() or value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=")
+
+
 def _parse(data: bytes) -> dict | None:
     """Fields of a decoded member, None unless it is a whole WARC record."""
     head, gap, rest = data.partition(b"\r\n\r\n")
-    if not gap or not head.startswith(b"WARC/1."):
+    if not gap or not _HEADER.match(head):
         return None
-    fields = dict(line.partition(": ")[::2] for line in head.decode("utf-8", "replace").split("\r\n")[1:])
-    if not fields.get("Content-Length", "").isdigit() or len(rest) < (length := int(fields["Content-Length"])):
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    if not fields.get("content-length", "").isdigit() or len(rest) < (length := int(fields["content-length"])):
         return None
-    http, _, payload = rest[:length].partition(b"\r\n\r\n")
-    declared = re.search(rb"(?im)^Content-Length: (\d+)", http)
+    kind, digest, payload, declared = fields.get("warc-type"), fields.get("warc-payload-digest", ""), rest[:length], None
+    if fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
+        declared = re.search(rb"(?im)^Content-Length: *(\d+)", http)
+    whole = kind != "revisit"
     number = lambda uri: int(m[1]) if (m := re.fullmatch(r"<urn:x-page:(-?\d+)>", uri)) else None
-    kind, digest = fields.get("WARC-Type"), fields.get("WARC-Payload-Digest", "").removeprefix("sha256:")
-    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-        return None
-    return {"page_id": number(fields.get("WARC-Record-ID", "")), "url": fields.get("WARC-Target-URI"), "payload_bytes": int(declared[1]) if declared else len(payload), "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To", "")), "payload": payload if kind == "response" else None}
+    return {
+        "page_id": number(fields.get("warc-record-id", "")), "url": fields.get("warc-target-uri"), "payload_bytes": len(payload) if whole or not declared else int(declared[1]),
+        "payload_digest": hashlib.sha256(payload).hexdigest() if whole else digest.removeprefix("sha256:"), "record_type": kind, "refers_to": number(fields.get("warc-refers-to", "")),
+        "record_id": fields.get("warc-record-id"), "digest_valid": _digest_valid(digest, payload) if whole and digest else None, "payload": payload if whole else None,
+    }
 
 
 class _Range:
     """Buffered reading of a file from a place on."""
 
     def __init__(self, file, at: int, size: int):
-        self.file, self.at, self.size, self.buf = file, at, size, b""
+        self.file, self.start, self.size, self.buf, self.pos = file, at, size, b"", 0
+
+    @property
+    def at(self) -> int:
+        return self.start + self.pos
 
     def fill(self, n: int) -> bool:
-        """Have n bytes in the buffer if the file has them."""
-        while len(self.buf) < n and self.at + len(self.buf) < self.size:
-            self.buf += self.file.read_at(min(READ_BYTES, self.size - self.at - len(self.buf)), self.at + len(self.buf))
-        return len(self.buf) >= n
+        """Have n bytes from the place on in the buffer if the file has them."""
+        while (have := len(self.buf) - self.pos) < n and self.start + len(self.buf) < self.size:
+            more = self.file.read_at(min(READ_BYTES, self.size - self.at - have), self.at + have)
+            self.start, self.buf, self.pos = self.at, self.buf[self.pos :] + more, 0
+        return len(self.buf) - self.pos >= n
+
+    def peek(self, skip: int, n: int) -> bytes:
+        return self.buf[self.pos + skip : self.pos + skip + n]
 
     def skip(self, n: int) -> None:
-        self.buf, self.at = self.buf[n:], self.at + n
+        self.pos += n
 
 
 def _member(src: _Range) -> tuple[bytes, int] | None:
-    """The decoded member at the buffer's start and its compressed size; None if none starts there."""
+    """The decoded member at the reader's place and its compressed size; None if none starts there."""
     d, out, used = zlib.decompressobj(31), [], 0
     try:
-        src.fill(3)
-        if not src.buf.startswith(MAGIC):
-            return None
         head = b""
         while not d.eof:
             if not src.fill(used + 1):
                 return None
-            block = src.buf[used : used + READ_BYTES]
+            block = src.peek(used, MEMBER_BYTES)
             part = d.decompress(block)
             used += len(block) - len(d.unused_data)
             out.append(part)
-            if len(head) < 7:
-                head += part[:7]
-                if not b"WARC/1.".startswith(head[:7]):
+            if len(head) < 5:
+                head += part[:5]
+                if not b"WARC/".startswith(head[:5]):
                     return None
     except zlib.error:
         return None
@@ -157,29 +186,31 @@ def read_range(file, start: int, end: int, size: int) -> Iterator[dict]:
     """Records that start in [start, end)."""
     src = _Range(file, start, size)
     while src.at < end:
-        src.fill(READ_BYTES)
-        if src.buf.startswith(MAGIC) and (found := _member(src)) and (row := _parse(found[0])):
+        src.fill(len(MAGIC))
+        if src.peek(0, len(MAGIC)) == MAGIC and (found := _member(src)) and (row := _parse(found[0])):
             src.skip(found[1])
             yield row
             continue
-        if not src.buf:
+        src.fill(MEMBER_BYTES)
+        at = src.buf.find(MAGIC, src.pos + 1)
+        left = len(src.buf) - src.pos
+        if not left:
             return
-        at = src.buf.find(MAGIC, 1)
-        src.skip(at if at >= 0 else max(1, len(src.buf) - len(MAGIC) + 1))
+        src.skip(at - src.pos if at >= 0 else max(1, left - len(MAGIC) + 1))
 
 
-def read(spark: SparkSession, files: list[tuple[str, int]], folder: str, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
+def read(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
     """One row per record of the archives (path, bytes), read in ranges of ``split_bytes``."""
-    splits = [(path, at, min(at + split_bytes, size), size) for path, size in files for at in range(0, size, split_bytes)]
     columns = [c.split()[0] for c in RECORD.split(", ")]
     columns = columns if payloads else columns[:-1]
     schema = RECORD if payloads else RECORD.rpartition(", ")[0]
-    if not splits:
-        return spark.createDataFrame([], schema)
+    starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
+    splits = files.where("bytes > 0").select("path", F.explode(starts).alias("start"), F.col("bytes").alias("size"))
+    splits = splits.select("path", "start", F.least(F.col("start") + split_bytes, "size").alias("stop"), "size")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(folder)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
         for batch in batches:
             for path, start, end, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
@@ -193,19 +224,18 @@ def read(spark: SparkSession, files: list[tuple[str, int]], folder: str, split_b
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(columns, kinds, strict=False)], columns)
 
-    frame = spark.createDataFrame(splits, "path string, start long, stop long, size long").repartition(len(splits))
-    return frame.mapInArrow(scan, schema)
+    return splits.repartition(max(1, min(splits.count(), READ_TASKS))).mapInArrow(scan, schema)
 
 
-def archive(pages: DataFrame, folder: str | None = None, min_revisit: int = MIN_REVISIT) -> tuple[str, list[tuple[str, int]]]:
-    """Writes the archives of ``pages``; the folder, and path and bytes of each file (one row a task)."""
+def archive(pages: DataFrame, folder: str | None = None, min_revisit: int = MIN_REVISIT) -> tuple[str, DataFrame]:
+    """Writes the archives of ``pages``; the folder, and (path, bytes, records) of each file, as a table beside them."""
     folder = folder or scratch(pages.sparkSession, "warc")
-    return folder, [(r.path, r.bytes) for r in write(plan(pages, min_revisit), folder).collect()]
+    return folder, materialise(write(plan(pages, min_revisit), folder), "manifest")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     folder, files = archive(table(spark, sf_dir, "pages"))
-    return read(spark, files, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(files, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = r"""

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import math
 import random
@@ -461,7 +462,7 @@ def test_vectors_in_several_blocks(spark, monkeypatch):
 
 def pages(spark):
     big = "<html>" + "x" * 200
-    rows = [(5, "http://a/\r\nb", big), (3, "http://c", big), (9, None, big), (1, "u", "small"), (2, "u", "small"), (7, "u", None), (8, "u", ""), (10, "ü", "é" * 60), (11, "u", "\x1f\x8b\x08" * 50), (12, "u", "a" * 300_000)]
+    rows = [(None, "v", big), (14, "w", "y" * 150), (14, "w", "y" * 150), (5, "http://a/\r\nb", big), (3, "http://c", big), (9, None, big), (1, "u", "small"), (2, "u", "small"), (7, "u", None), (8, "u", ""), (10, "ü", "é" * 60), (11, "u", "\x1f\x8b\x08" * 50), (12, "u", "a" * 300_000)]
     return spark.createDataFrame(rows, "page_id long, url string, html string"), rows
 
 
@@ -469,14 +470,34 @@ def pages(spark):
 def test_archives_read_back_at_any_split(spark, split):
     df, rows = pages(spark)
     folder, files = warc.archive(clashing(df).repartition(2))
-    got = {r.page_id: r for r in warc.read(spark, files, folder, split_bytes=split).collect()}
-    assert len(got) == len(rows)
+    every = warc.read(files, folder, split_bytes=split).collect()
+    got = {r.page_id: r for r in every}
+    assert Counter(r.page_id for r in every) == Counter(i for i, *_ in rows)
     for i, _, html in rows:
         payload = (html or "").encode()
         r = got[i]
         assert (r.payload_bytes, r.payload_digest) == (len(payload), hashlib.sha256(payload).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", 3) if i in (5, 9) else ("response", None))
-        assert r.payload == (None if i in (5, 9) else payload)
+        assert (r.payload, r.digest_valid) == ((None, None) if i in (5, 9) else (payload, True))
+
+
+def test_reader_takes_records_of_any_digest_and_type(tmp_path):
+    def member(kind, digest, body, more=()):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", *more, *([f"WARC-Payload-Digest: {digest}"] if digest else []), f"Content-Length: {len(body)}"]
+        c = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return c.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + c.flush()
+
+    http, page = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n", b"<p>page"
+    sha1 = base64.b32encode(hashlib.sha1(page).digest()).decode()
+    kind = ("Content-Type: application/http; msgtype=response",)
+    parts = [member("warcinfo", None, b"software: x"), member("response", f"sha1:{sha1}", http + page, kind), member("response", None, http + page, kind), member("response", "sha256:00", http + page, kind), member("request", "odd:1", b"GET", kind)]
+    data = b"".join(parts)
+    (tmp_path / "x").write_bytes(data)
+    with pa.OSFile(str(tmp_path / "x")) as f:
+        got = list(warc.read_range(f, 0, len(data), len(data)))
+    assert [(r["record_type"], r["digest_valid"]) for r in got] == [("warcinfo", None), ("response", True), ("response", None), ("response", False), ("request", None)]
+    assert [r["payload"] for r in got[:4]] == [b"software: x", page, page, page] and got[1]["payload_digest"] == hashlib.sha256(page).hexdigest()
+    assert {r["page_id"] for r in got} == {None} and {r["record_id"] for r in got} == {"<urn:uuid:1>"}
 
 
 def test_reader_passes_false_magic_and_damage(tmp_path):
@@ -494,7 +515,7 @@ def test_reader_passes_false_magic_and_damage(tmp_path):
 def test_empty_archive(spark):
     df, _ = pages(spark)
     folder, files = warc.archive(df.where("false"))
-    assert warc.read(spark, files, folder).count() == 0
+    assert warc.read(files, folder).count() == 0
 
 
 # 8 language
