@@ -6,10 +6,12 @@ assistant's text begins and -1 where it ends. Strings like <|im_end|> inside tex
 the rendered string unambiguous as well, '<|' with any number of '!' between gets one '!' more, which is undone on reading.
 
 Turns are encoded where they lie, a row each. What needs a conversation's order only streams over its sorted rows, so a
-conversation of any length takes bounded memory; its digest is sequential by definition.
+conversation of any length takes bounded memory; its digest is sequential by definition. Long texts are encoded in slices that
+end where the pattern always parts two pieces, so the ids are those of the whole.
 
 Defined results: null texts and roles are empty; turns with the same number go by role and text; null turns come first;
-rows with null conv_id form one conversation; repeated rows are turns each; other columns are not read.
+rows with null conv_id form one conversation; repeated rows are turns each; other columns are not read. Rows that already have
+the conv_id -1 of the query's own conversation are turns of it, too.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published splitting pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 RESERVED = ("<|im_start|>", "<|im_sep|>", "<|im_end|>")
-#: So many characters of a text are encoded at once at most, to bound the time that one unbroken run takes.
+#: About so many characters of a text are encoded at once; more only where nothing parts them.
 SLICE = 50_000
+#: Between a letter and a digit, and before punctuation or a space that follows one, a piece ends whatever surrounds it.
+_PARTED = regex.compile(r"(?<=\p{L})(?=[\p{N}\p{P} \n])|(?<=\p{N})(?=[\p{L}\p{P} \n])")
 
 
 def escape(text: str) -> str:
@@ -58,8 +63,12 @@ def _tokenizer(path: str):
 
 def encode_text(encoder, text: str) -> list[int]:
     out: list[int] = []
-    for at in range(0, len(text), SLICE):
-        out += encoder.encode_ordinary(text[at : at + SLICE])
+    at = 0
+    while at < len(text):
+        cut = _PARTED.search(text, at + SLICE) if len(text) - at > SLICE else None
+        end = cut.start() if cut else len(text)
+        out += encoder.encode_ordinary(text[at:end])
+        at = end
     return out
 
 

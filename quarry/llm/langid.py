@@ -1,7 +1,8 @@
 """Language of web pages by fusing evidence.
 
 1. Text: hashed byte trigrams per language, counted over all labelled documents by grouped aggregation, give a page's
-   visible text a log-likelihood per language, divided by ``DEPENDENCE`` because neighbouring trigrams aren't independent.
+   visible text a log-likelihood per language, divided by ``DEPENDENCE`` because neighbouring trigrams aren't independent,
+   nor are those of a long text, whose evidence grows with the root of their number in the end.
 2. Markup: how often pages that read like a language declare each language is counted too, so that a declaration counts
    for as much as declarations have proved to be worth.
 3. Address: host priors, smoothed towards the registered domain's, those towards the address suffix', and those towards
@@ -29,9 +30,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bounded_batches, materialise, pieces, released, table, texts
 
 BUCKETS = 1 << 15
-SLICE = 1 << 10
 DEPENDENCE = 3.0
-#: The log-likelihood of any text is scaled to so many trigrams at most, so that other evidence can still matter.
+#: From about so many trigrams on, the evidence of a text grows with the root of their number.
 FULL_WEIGHT = 400
 SMOOTHING = 0.5
 #: Pages' worth of the upper level in the smoothing of a suffix, domain or host.
@@ -39,25 +39,22 @@ UPPER_WEIGHT = 4.0
 PIECE_BYTES = 1 << 20
 NO_DECLARATION = "none"
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256)], np.uint32)
-_TAG = re.compile(rb"<(/?)([A-Za-z!][A-Za-z0-9-]*)?[^<>]*>")
+_MARKUP = re.compile(rb"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z!][A-Za-z0-9-]*)?[^<>]*>", re.S)
+_END = {k: re.compile(rb"</%b\b[^<>]*>" % k, re.I) for k in (b"script", b"style")}
 _DECLARED = re.compile(rb"<html\b[^<>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 _META = re.compile(rb"<meta\b[^<>]*?content-language[^<>]*?content\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 
 
 def visible(html: bytes) -> bytes:
     """Text outside of tags, comments, scripts and styles. Linear in the length."""
-    out, last, hidden = [], 0, None
-    for m in _TAG.finditer(html):
-        name = (m[2] or b"").lower()
-        if hidden is None:
-            out.append(html[last : m.start()])
-            if name in (b"script", b"style") and not m[1]:
-                hidden = name
-        elif m[1] and name == hidden:
-            hidden = None
-        last = m.end()
-    if hidden is None:
-        out.append(html[last:])
+    out, at = [], 0
+    while m := _MARKUP.search(html, at):
+        out.append(html[at : m.start()])
+        at = m.end()
+        if not m[1] and (end := _END.get((m[2] or b"").lower())):
+            m = end.search(html, at)
+            at = m.end() if m else len(html)
+    out.append(html[at:])
     return b" ".join(out)
 
 
@@ -89,7 +86,7 @@ class Model:
         n = np.diff(np.append(first, len(h)))
         out = np.add.reduceat(w, np.minimum(first, len(h)), axis=0)
         out[n == 0] = 0
-        return out / DEPENDENCE * np.minimum(1.0, FULL_WEIGHT / np.maximum(n, 1))[:, None], n
+        return out / DEPENDENCE / np.sqrt(1 + n / FULL_WEIGHT)[:, None], n
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -106,19 +103,15 @@ def fit(labelled: DataFrame) -> Model:
                 for a, b in pieces([len(t) for t in own], PIECE_BYTES):
                     total[lang] = total.get(lang, 0) + np.bincount(trigram_buckets(own[a:b])[0], minlength=BUCKETS)
         for lang, counts in total.items():
-            for s in range(0, BUCKETS, SLICE):
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([s], pa.int32()), pa.array([counts[s : s + SLICE].astype(np.int64).tobytes()], pa.binary())], ["lang", "slice", "counts"])
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(counts[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    def add(t: pa.Table) -> pa.Table:
-        counts = sum(np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist())
-        return pa.table({"lang": t.column("lang")[:1], "slice": t.column("slice")[:1], "counts": pa.array([counts.tobytes()], pa.binary())})
-
-    schema = "lang string, slice int, counts binary"
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count, schema).groupBy("lang", "slice").applyInArrow(add, schema).collect()
-    langs = sorted({r.lang for r in rows})
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
+    found = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # a row per language and bucket
+    names = np.array(found.column("lang").to_pylist(), object)
+    langs = sorted(set(names))
     counts = np.zeros((BUCKETS, len(langs)))
-    for r in rows:
-        counts[r.slice : r.slice + SLICE, langs.index(r.lang)] = np.frombuffer(r.counts, np.int64)
+    counts[found.column("bucket").to_numpy(), np.searchsorted(langs, names) if langs else np.zeros(0, np.int64)] = found.column("n").to_numpy()
     logs = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS))
     return Model(langs, logs - logs.mean(1, keepdims=True) if langs else logs)
 

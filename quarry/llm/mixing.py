@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keeps_columns, word_count
+from quarry.llm.common import keeps_columns, materialise, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
@@ -57,7 +57,8 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_
     """``docs`` with the columns mix_size, mix_source_size, mix_target and mix_copies."""
     sized = docs.withColumn("mix_size", word_count(F.col("text")))
     goal = targets(sized.select("source", F.col("mix_size").alias("size")), weights, max_rate).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    few = len(goal.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS
+    goal = materialise(goal, "goals")  # a row per source, from one pass over the texts
+    few = goal.count() <= BROADCAST_ROWS
     out = sized.join(F.broadcast(goal) if few else goal, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
     more = (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")

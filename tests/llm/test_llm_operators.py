@@ -145,6 +145,19 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.plan(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(1, "a b", None, None, 0), (2, None, None, None, 0)], [(1, "", "en", "a", 0), (2, None, "en", "b", 0)], [(1, "a b c", "en", "a", 0), (2, "d", "en", "b", 0), (2, "d", "en", "b", 0), (3, "e f", "en", None, 0)]])
+def test_mixing_of_few_documents(spark, rows):
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len((t or "").split())
+    want = water(sizes)
+    plan = mixing.plan(frame(spark, rows)).collect()
+    assert len(plan) == len(rows)
+    for r in plan:
+        assert r.mix_target == pytest.approx(want[r.source]) and 0 <= r.mix_copies <= 3
+        assert sizes[r.source] or r.mix_copies == 0
+
+
 def test_mixing_comes_near_its_targets(spark):
     r = random.Random(1)
     rows = [(i, prose(r, r.randrange(5, 60)), "en", f"s{i % 4}" if i % 3 else "hot", 0) for i in range(4000)]
@@ -548,6 +561,70 @@ def test_language_without_labels_or_pages(spark):
 
 def test_visible_text():
     assert langid.visible(b"a<b>c</b><script>x<y</script>d<!-- e -->f<style>g").split() == [b"a", b"c", b"d", b"f"]
+    assert langid.visible(b"p<!-- if x > 1 then <b>secret</b> words -->q<!-- <script> -->r<script><!-- </b> </SCRIPT >s<!--t").split() == [b"p", b"q", b"r", b"s"]
+
+
+def brute_language(docs, rows):
+    """The definition in plain Python: (language, probability, language of the text) by page."""
+
+    def grams(text):
+        low = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in b"  " + text + b"  ")
+        low = [low[i : i + 3] for i in range(1, len(low) - 3)]
+        return [((g[0] * 0x9E3779B1 & 0xFFFFFFFF ^ g[1] * 0x85EBCA77 & 0xFFFFFFFF ^ g[2] * 0xC2B2AE3D & 0xFFFFFFFF) >> 17) for g in low if g[:2] != b"  " and g[1:] != b"  "]
+
+    counts = {}
+    for _, t, lang in docs:
+        if t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(t.encode()))
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) for x in langs}
+    weigh = lambda x, g: math.log((counts[x][g] + 0.5) / (total[x] + 0.5 * langid.BUCKETS))
+    pages = []
+    for i, url, html in rows:
+        g = grams(langid.visible((html or "").encode()))
+        e = [sum(weigh(x, v) - sum(weigh(y, v) for y in langs) / len(langs) for v in g) / 3 / math.sqrt(1 + len(g) / 400) for x in langs]
+        host = (url or "").partition("://")[2].partition("/")[0].rpartition("@")[2].partition(":")[0].lower()
+        said = langid.declared((html or "").encode())
+        said = "none" if said is None else said if said in langs else "other"
+        soft = [math.exp(x - max(e)) for x in e]
+        pages.append((i, host, said, len(g), e, [x / sum(soft) for x in soft]))
+    k = len(langs)
+    add = lambda keep: [sum(p[5][i] for p in pages if keep(p)) for i in range(k)]
+    of = add(lambda p: True)
+    kinds = [*langs, "none", "other"]
+    out = {}
+    for i, host, said, n, e, own in pages:
+        upper = [(x + 0.5) / (sum(of) + 0.5 * k) for x in of]
+        for level in (-1, -2, None):
+            cut = lambda h: ".".join(h.split(".")[level:])  # noqa: E731, B023
+            mine = [max(a - b, 0) for a, b in zip(add(lambda p: cut(p[1]) == cut(host)), own)]  # noqa: B023
+            upper = [(m + 4 * u) / (sum(mine) + 4) for m, u in zip(mine, upper)]
+        told = add(lambda p: p[2] == said)  # noqa: B023
+        logs = [e[j] + math.log((told[j] + 0.5) / (of[j] + 0.5 * len(kinds))) + math.log(upper[j]) for j in range(k)]
+        soft = [math.exp(x - max(logs)) for x in logs]
+        best = max(range(k), key=lambda j: soft[j])
+        out[i] = (langs[best], soft[best] / sum(soft), langs[max(range(k), key=lambda j: own[j])] if n else None)  # noqa: B023
+    return out
+
+
+def test_language_equals_the_definition(spark):
+    r = random.Random(3)
+    talk = {"en": "the and ing tion".split(), "fr": "les eaux que oi".split(), "xx": "zz yy".split()}
+    text = lambda lang, n: " ".join("".join(r.choice(talk[lang]) for _ in range(2)) for _ in range(n))
+    docs = [(i, text(lang, 30), lang) for i in range(6) for lang in talk] + [(90, None, "en"), (91, "x", None)]
+    rows = [(i, f"http://h{i % 4}.d{i % 2}.{r.choice(['com', 'fr'])}/", f'<html lang="{r.choice(["en", "fr", "q", "de"])}"><p>{text(r.choice(list(talk)), r.randrange(0, 4))}<!-- {text("xx", 5)} --><p>{text(r.choice(list(talk)), r.randrange(3))}') for i in range(30)]
+    rows += [(50, None, None), (51, "no host", ""), (52, "http://h1.d1.fr/", text("fr", 900))]
+    want = brute_language(docs, rows)
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    got = langid.identify(spark.createDataFrame([*rows, *rows[:0]], "page_id long, url string, html string"), model).collect()
+    for x in got:
+        assert (x.lang, x.text_lang) == (want[x.page_id][0], want[x.page_id][2]) and x.probability == pytest.approx(want[x.page_id][1], rel=1e-6)
+
+
+def test_language_of_repeated_pages_and_ties(spark):
+    model = langid.fit(spark.createDataFrame([("b", "same text"), ("a", "same text")], "lang string, text string"))
+    got = langid.identify(spark.createDataFrame([(1, "http://h.x/", "<p>same")] * 3, "page_id long, url string, html string"), model).collect()
+    assert [(x.page_id, x.lang) for x in got] == [(1, "a")] * 3 and all(x.probability == pytest.approx(0.5) for x in got)
 
 
 # 9 chat
@@ -571,6 +648,16 @@ def test_conversations_read_back(spark):
     assert chat.read_back(chat.formatted(df.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 7, 50])
+def test_long_texts_have_the_ids_of_the_whole(monkeypatch, size):
+    encoder, _, _ = chat._tokenizer(chat.VOCABULARY)
+    r = random.Random(size)
+    texts = ["".join(r.choice(["a", "bc", "'s", "'ll", "1", "23", " ", "  ", "\n", "\t", ".", "!?", "é", "日本", "。", "'", "<", "|", "\u3000", "\x1c"]) for _ in range(300)) for _ in range(60)]
+    want = [encoder.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(chat, "SLICE", size)
+    assert [chat.encode_text(encoder, t) for t in texts] == want
+
+
 def test_masks_cover_the_assistant_only():
     ids, mask = chat.encode_turn("assistant", "<|im_end|><|im_start|>assistant ok")
     _, pieces, reserved = chat._tokenizer(chat.VOCABULARY)
