@@ -6,10 +6,11 @@ insertion only changes the chunks it touches. Where one word stands again and ag
 never cut, so a chunk also ends after a word that equals the word before it. Chunks are known by a 64-bit digest. The document with the smallest id that
 has a chunk keeps it, within a document its first place does; of the others, runs of neighbouring repeated chunks with
 ``MIN_WORDS`` words or more are cut out of the text. A repeated passage loses a part of a chunk at each end to its
-surroundings, so a run of this length stands for a passage that is about 13 words longer.
+surroundings, so a run of this length stands for a passage that is about 13 words longer. In words of over ``LONG_WORD`` bytes, every
+``LETTERS`` bytes beyond ASCII count as one more, for scripts without spaces.
 
-A row per distinct digest and document is aggregated with map-side combining, and only digests that occur again are
-joined back, so a chunk that a third of all documents share is split by Spark's handling of skewed joins.
+A row per distinct digest and document is written once and aggregated with map-side combining, and only digests that occur again
+are joined back, so a chunk that a third of all documents share is split by Spark's handling of skewed joins.
 
 Defined results: null and empty texts stay as they are; rows with null doc_id stay as they are and lend nothing; rows
 repeated with one doc_id are one document, and each keeps its chunks' first places; all columns but text are kept.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, keeps_columns, pieces, released, table, texts
+from quarry.llm.common import bounded_batches, keeps_columns, materialise, pieces, released, table, texts
 from quarry.llm.shingles import PIECE_BYTES, mix, powers
 
 SPAN = 16
@@ -32,6 +33,8 @@ CUT = (1 << 32) // 5
 RARE_CUT = (1 << 32) // 256
 MAX_CHUNK = 1024
 MIN_WORDS = 20
+LONG_WORD, LETTERS = 48, 12
+_ASCII = bytes(range(128))
 GEAR = np.random.default_rng(20240510).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -100,6 +103,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][w[first]].astype(np.int64)), pa.array(d[first].view(np.int64)), pa.array(n.astype(np.int64))], ["doc_id", "digest", "n"])
 
 
+def size_in_words(text: bytes) -> int:
+    return sum(1 + (len(w.translate(None, _ASCII)) // LETTERS if len(w) > LONG_WORD else 0) for w in text.split())
+
+
 def repeated_spans(text: bytes, starts: np.ndarray, ends: np.ndarray, digest: np.ndarray, foreign: np.ndarray, own: np.ndarray, min_words: int) -> list[tuple[int, int]]:
     """Byte spans to cut: runs of chunks that another document keeps (foreign) or that occurred before in this one (own)."""
     again = np.isin(digest, foreign)
@@ -111,7 +118,7 @@ def repeated_spans(text: bytes, starts: np.ndarray, ends: np.ndarray, digest: np
         return []
     edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
     spans = [(int(starts[a]), int(ends[b - 1])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-    return [(a, b) for a, b in spans if len(text[a:b].split()) >= min_words]
+    return [(a, b) for a, b in spans if size_in_words(text[a:b]) >= min_words]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -144,7 +151,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut out of text, and cdc_starts, cdc_ends (byte spans cut) and cdc_removed (bytes)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = rows.where("doc_id is not null and text <> ''").mapInArrow(_rows, "doc_id long, digest long, n long")
+    chunks = materialise(rows.where("doc_id is not null and text <> ''").mapInArrow(_rows, "doc_id long, digest long, n long"), "chunks")
     again = chunks.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.sum("n").alias("total")).where("total > 1").select("digest", "keeper")
     found = chunks.join(again, "digest").where("keeper <> doc_id or n > 1")
     lists = found.groupBy(F.col("doc_id").alias("cdc_id")).agg(F.collect_list(F.when(F.col("keeper") != F.col("doc_id"), F.col("digest"))).alias("cdc_foreign"), F.collect_list(F.when(F.col("keeper") == F.col("doc_id"), F.col("digest"))).alias("cdc_own"))

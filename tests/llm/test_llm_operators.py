@@ -737,6 +737,49 @@ def test_repeated_passages_go_and_others_stay(spark):
     assert chunkdedup.dedup(frame(spark, [])).count() == 0
 
 
+def brute_dedup(docs):
+    """The definition in plain Python: text by document."""
+    chunks = {d: [t[a:b] for a, b in sequential_chunks(t)] for d, t in docs.items()}
+    keeper = {}
+    for d in sorted(chunks):
+        for c in chunks[d]:
+            keeper.setdefault(c, d)
+    out = {}
+    for d, own in chunks.items():
+        seen, left, run = set(), [], []
+        for c in [*own, None]:
+            again = c is not None and (keeper[c] != d or c in seen)
+            seen.add(c)
+            if again:
+                run.append(c)
+                continue
+            if chunkdedup.size_in_words(b"".join(run)) < chunkdedup.MIN_WORDS:
+                left += run
+            run = []
+            left.append(c or b"")
+        out[d] = b"".join(left).decode()
+    return out
+
+
+def test_chunk_dedup_equals_the_definition(spark):
+    r = random.Random(12)
+    passage, line = prose(r, 90), prose(r, 25)
+    wide = "".join(r.choice("日本語文章圏外漢字仮名交") for _ in range(900))
+    rows = [[i, prose(r, r.randrange(5, 60)), "en", "s", 0] for i in range(24)]
+    for i in range(3, 9):
+        w = rows[i][1].split()
+        rows[i][1] = " ".join([*w[:i], passage, *w[i:]])
+    for i in range(9, 12):
+        rows[i][1] += "\n" + line + "\n" + line
+    rows[12][1] = rows[13][1] = "x" * 5000 + " " + rows[12][1]  # beyond forced cuts
+    rows[14][1], rows[15][1] = "一" + wide, "二二二" + wide
+    rows += [(24, passage * 40, "en", "s", 0), (2, rows[2][1], "en", "s", 0), (2, rows[2][1], "en", "s", 0)]  # a long text, rows repeated
+    got = [(x.doc_id, x.text) for x in chunkdedup.dedup(frame(spark, rows)).collect()]
+    want = brute_dedup({d: t.encode() for d, t, *_ in rows})
+    assert len(got) == len(rows) and all(t == want[d] for d, t in got)
+    assert len(want[15]) < 300 and len(want[24]) < len(passage) * 2
+
+
 def test_chunk_dedup_resists_insertions(spark):
     r = random.Random(8)
     passage = prose(r, 300)
