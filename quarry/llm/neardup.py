@@ -16,8 +16,8 @@
 5. Components by alternating stars, all in tables.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; rows with null doc_id
-are linked with nothing and kept; rows repeated with one doc_id are one document; columns beside doc_id and text are
-not read.
+are linked with nothing and kept; rows repeated with one doc_id are one document, whose text is that of the smallest hash
+if they differ (those without words stay empty rows of their own); columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -37,17 +37,15 @@ TREES, DEPTH = 16, 8
 PREFIXES = (3, 5, 8)
 #: Of each MinHash value the low 16 bits are kept, which differ if the values do but for one case in 65,536.
 BYTES = 2
-REGION = 2000
+REGION = 500
 #: The ids of candidates are broadcast, to pick their texts without a shuffle, up to so many (24 MB); else joined.
 BROADCAST_IDS = 1_000_000
 NEIGHBOURS = 4
 PERCENT = 85
-#: Two sketches of 128 2-bit values agree in (1+3J)/4 of them on average; at J = 0.85 this is over 5 standard deviations less.
-MIN_AGREE = 95
 _RANDOM = np.random.default_rng(20240229)
 _A = (_RANDOM.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
-_SIGNED = "doc_id long, n long, d1 long, d2 long, sig binary, s0 long, s1 long, s2 long, s3 long"
+_SIGNED = "doc_id long, x long, n long, d1 long, d2 long, sig binary, s0 long, s1 long, s2 long, s3 long"
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -80,7 +78,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = sig.astype(np.uint16).tobytes()
             width = TREES * DEPTH * BYTES
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array([first + i for i in full])), pa.array([len(s) for s in own], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([raw[i * width : (i + 1) * width] for i in range(len(own))], pa.binary()), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(4))],
+                [*(c.take(pa.array([first + i for i in full])) for c in (ids, batch.column("x"))), pa.array([len(s) for s in own], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([raw[i * width : (i + 1) * width] for i in range(len(own))], pa.binary()), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(4))],
                 [c.split()[0] for c in _SIGNED.split(", ")],
             )
 
@@ -94,6 +92,12 @@ def _agree() -> Column:
     return F.lit(TREES * DEPTH) - differ
 
 
+def least_agreement(percent: int) -> int:
+    """Two sketches of 128 2-bit values agree in (1+3J)/4 of them on average; this is 6 standard deviations less."""
+    share = (1 + 3 * percent / 100) / 4
+    return int(TREES * DEPTH * share - 6 * (TREES * DEPTH * share * (1 - share)) ** 0.5)
+
+
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs a < b of classes (rep, n, sig, sketch) that stand close in some tree; and (rep): the crowded classes, which share a
     region with some that they may not be paired with."""
@@ -135,7 +139,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first : first + len(sets)], n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "h"])
 
 
-def prefix_pairs(docs: DataFrame, parts: DataFrame) -> DataFrame:
+def prefix_pairs(docs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b of documents (id, text), in different components of ``parts`` (node, component), that can reach the similarity:
     all of them that do are among these.
 
@@ -143,23 +147,23 @@ def prefix_pairs(docs: DataFrame, parts: DataFrame) -> DataFrame:
     places i and j have at most min(x - i, y - j) in common, of which the similarity takes a share of x + y; so i + j is
     bounded too, and one of i and j by half.
     """
-    part = 100 + PERCENT
+    part = 100 + percent
     own = materialise(docs.mapInArrow(_shingles, "id long, n long, h long"), "shingles")
     shared = own.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     sets = own.join(shared, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
     #: What no other has comes first, in no row.
-    places = sets.select("id", "n", F.posexplode("s").alias("p", "s"), (F.col("n") - F.size("s")).alias("before")).select("id", "n", (F.col("p") + F.col("before")).alias("i"), F.col("s.h").alias("h")).where(100 * F.col("i") <= (100 - PERCENT) * F.col("n"))
+    places = sets.select("id", "n", F.posexplode("s").alias("p", "s"), (F.col("n") - F.size("s")).alias("before")).select("id", "n", (F.col("p") + F.col("before")).alias("i"), F.col("s.h").alias("h")).where(100 * F.col("i") <= (100 - percent) * F.col("n"))
     places = places.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     places = materialise(places, "places")
     mixed = places.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
     places = places.join(mixed, "h", "left_semi")
-    early = places.where(part * F.col("i") <= (100 - PERCENT) * F.col("n"))
+    early = places.where(part * F.col("i") <= (100 - percent) * F.col("n"))
     x, y = (f.select("h", *(F.col(c).alias(c + s) for c in ("id", "n", "i", "component"))) for f, s in ((early, "x"), (places, "y")))
-    met = x.join(y, "h").where("componentx <> componenty").where(part * F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= PERCENT * (F.col("nx") + F.col("ny")))
+    met = x.join(y, "h").where("componentx <> componenty").where(part * F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= percent * (F.col("nx") + F.col("ny")))
     return met.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose full sets reach the similarity."""
     for batch in released(batches):
         a, b = list(texts(batch.column("ta"))), list(texts(batch.column("tb")))
@@ -172,27 +176,27 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (x, y) in enumerate(zip(a, b, strict=True)):
             x, y = sets[x], sets[y]
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
+            if 100 * both >= percent * (len(x) + len(y) - both):
                 good.append(i)
         take = pa.array(good, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """``held``: (id, held_text)."""
     x = pairs.join(held.select(F.col("id").alias("b"), F.col("held_text").alias("tb")), "b")
     x = x.join(held.select(F.col("id").alias("a"), F.col("held_text").alias("ta")), "a")
-    return x.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
+    return x.select("a", "b", "ta", "tb").mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
 
 
 def _picked(rows: DataFrame, ids: DataFrame, text: str) -> DataFrame:
-    """(id, text): one row of ``rows`` for each of ``ids`` (id)."""
+    """(id, text) of each of ``ids`` (id)."""
     few = ids.count() <= BROADCAST_IDS
     picked = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
-    return picked.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("text").alias(text))
+    return picked.groupBy(F.col("doc_id").alias("id")).agg(F.min_by("text", "x").alias(text))
 
 
-def merge(pairs: DataFrame, rows: DataFrame, parts: DataFrame | None) -> DataFrame:
+def merge(pairs: DataFrame, rows: DataFrame, parts: DataFrame | None, percent: int) -> DataFrame:
     """``parts`` (node, component), joined by the links among ``pairs``: one pair per document is confirmed first, then those
     between components."""
     if parts is not None and pairs.isEmpty():
@@ -204,7 +208,7 @@ def merge(pairs: DataFrame, rows: DataFrame, parts: DataFrame | None) -> DataFra
         if parts is not None:
             some = some.join(parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
             some = materialise(some.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-        links = materialise(confirmed(some, held), "links")
+        links = materialise(confirmed(some, held, percent), "links")
         if parts is None:
             parts = components(links)
         elif not links.isEmpty():
@@ -212,33 +216,38 @@ def merge(pairs: DataFrame, rows: DataFrame, parts: DataFrame | None) -> DataFra
     return parts
 
 
-def label(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``."""
+def label(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``. Links: 100 * intersection >= ``percent`` * union."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(rows.where("doc_id is not null").mapInArrow(_sign, _SIGNED), "signed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("x", F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("text")))
+    empty = rows.where("doc_id is null or x is null").select("doc_id")
+    rows = rows.where("doc_id is not null and x is not null")
+    signed = materialise(rows.mapInArrow(_sign, _SIGNED), "signed")
+    doubled = signed.groupBy("doc_id").agg(F.min("x").alias("x"), F.max("x").alias("other")).where("x <> other").select("doc_id", "x")
+    if not doubled.isEmpty():
+        one = signed.join(doubled, ["doc_id", "x"]).dropDuplicates(["doc_id"])  # rows of one hash have equal signatures
+        signed = materialise(signed.join(doubled, "doc_id", "left_anti").unionByName(signed.select("doc_id").join(one, "doc_id")), "signed")
     classes = materialise(signed.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     heads = signed.join(classes.select("n", "d1", "d2", F.col("rep").alias("doc_id")), ["n", "d1", "d2", "doc_id"]).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     heads = materialise(heads.select("rep", "n", "sig", "s0", "s1", "s2", "s3"), "heads")
     side = lambda id_, n, s: heads.select(F.col("rep").alias(id_), F.col("n").alias(n), *(F.col(f"s{j}").alias(f"{s}{j}") for j in range(4)))
     near, crowded = candidates(heads)
     near, crowded = materialise(near, "near"), materialise(crowded.withColumnRenamed("rep", "id"), "crowded")
-    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (_agree() >= MIN_AGREE)
+    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_agree() >= least_agreement(percent))
     screened = lambda p: p.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").where(alike).select("a", "b")
-    parts = merge(materialise(screened(near), "pairs"), rows, None)
+    parts = merge(materialise(screened(near), "pairs"), rows, None, percent)
     full = _picked(rows, crowded, "text")
-    parts = merge(materialise(screened(prefix_pairs(full, parts).join(near, ["a", "b"], "left_anti")), "pairs"), rows, parts)
+    parts = merge(materialise(screened(prefix_pairs(full, parts, percent).join(near, ["a", "b"], "left_anti")), "pairs"), rows, parts, percent)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     linked = signed.select("doc_id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = rows.where("doc_id is null").select("doc_id").unionByName(rows.where("doc_id is not null").where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id"))
     alone = empty.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 @keeps_columns("doc_id", "text")
-def distinct_documents(docs: DataFrame) -> DataFrame:
+def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, in the columns of ``docs``."""
-    gone = label(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = label(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 

@@ -233,6 +233,34 @@ def test_near_duplicates_in_a_crowd_with_one_partner_each(spark, monkeypatch):
     assert got == want
 
 
+def test_near_duplicates_in_a_large_crowd(spark):
+    r = random.Random(14)
+    base, rows, pairs = prose(r, 300), [], 1500
+    for i in range(pairs):  # about 0.84 to all others, 0.87 to its partner
+        own = " ".join(f"own{i}x{j}" for j in range(6))
+        rows += [(2 * i + k, f"{base} {own} {' '.join(f'last{i}x{k}x{j}' for j in range(23))}", "en", "s", 0) for k in range(2)]
+    want = brute_components([*rows[:4], *rows[-2:]])
+    assert {c for _, c, _ in want.values()} == {0, 2, 2 * pairs - 2}
+    got = {x.doc_id: x.component_id for x in neardup.label(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(2 * pairs)}
+
+
+def test_near_duplicates_of_one_id_and_two_texts(spark):
+    r = random.Random(15)
+    x, y = prose(r, 60), prose(r, 60)
+    rows = [(5, x, "en", "s", 0), (5, y, "en", "s", 0), (5, " ", "en", "s", 0), (7, x, "en", "s", 0), (8, y, "en", "s", 0)]
+    seen = [sorted(map(tuple, neardup.label(frame(spark, some)).select("doc_id", "component_id").collect())) for some in (rows, rows[::-1])]
+    assert seen[0] == seen[1] and seen[0] in ([(5, 5), (5, 5), (5, 5), (7, 5), (8, 8)], [(5, 5), (5, 5), (5, 5), (7, 7), (8, 5)])
+
+
+def test_near_duplicates_at_another_similarity(spark):
+    r = random.Random(16)
+    w = prose(r, 100).split()
+    rows = [(1, " ".join(w), "en", "s", 0), (2, " ".join([*w[:88], *(f"n{i}" for i in range(12))]), "en", "s", 0)]
+    found = lambda percent: [x.component_id for x in neardup.label(frame(spark, rows), percent).collect()]
+    assert sorted(found(85)) == [1, 2] and sorted(found(75)) == [1, 1]
+
+
 def test_near_duplicates_without_ids_and_rows(spark):
     got = neardup.label(frame(spark, [(None, "a b c d e f", "en", "s", 0), (None, "a b c d e f", "en", "s", 0), (1, None, "en", "s", 0)])).collect()
     assert len(got) == 3 and all(x.kept for x in got)
