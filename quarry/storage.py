@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+#: Paths of the scratch tables that the innermost ``settled`` has to delete.
+_own: ContextVar[list[str] | None] = ContextVar("own", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where none is set, as in tests on one machine, a temporary folder is made and set.
+    Only where none is set and driver and executors are one process, as in tests, a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,6 +34,8 @@ def scratch(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    if (own := _own.get()) is not None:
+        own.append(path)
     return path
 
 
@@ -37,6 +46,25 @@ def materialise(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(build: Callable[[], DataFrame], kind: str = "table") -> DataFrame:
+    """What ``build`` returns, materialised; the scratch tables that were written for it go."""
+    own: list[str] = []
+    token = _own.set(own)
+    try:
+        df = build()
+        spark, schema = df.sparkSession, df.schema
+        path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+    finally:
+        _own.reset(token)
+    _written.append((spark, path))
+    if (outer := _own.get()) is not None:
+        outer.append(path)
+    for gone in own:
+        _delete(spark, gone)
+    return spark.read.schema(schema).parquet(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files below a table that ``materialise`` returned, once nothing reads it any more."""
     spark = df.sparkSession

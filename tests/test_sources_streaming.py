@@ -1,3 +1,6 @@
+import os
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +91,22 @@ def test_replayed_clusters(spark):
 
 def test_merge_is_exact_mean():
     assert clusters.merge_clusters([([0.0], 1), ([2.0], 3)], 1) == [(pytest.approx([1.5]), 4)]
+
+
+def test_settled_tables_leave_nothing_else(spark):
+    from quarry import storage
+
+    folder = storage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    inner = lambda: storage.settled(lambda: storage.materialise(spark.range(5), "deep"), "inner")
+    out = storage.settled(lambda: storage.materialise(spark.range(3)).join(inner(), "id"), "outer")
+    assert sorted(r.id for r in out.collect()) == [0, 1, 2]
+    assert [x.rpartition("-")[0] for x in set(os.listdir(folder)) - before] == ["outer"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from quarry import storage
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
+    with pytest.raises(ValueError):
+        storage.shared_dir(session)
