@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, keeps_columns, materialise, released, table, texts
+from quarry.llm.common import bounded_batches, keeps_columns, materialise, released, settled, table, texts
 from quarry.llm.components import components
 from quarry.llm.shingles import mix, sets_of
 
@@ -218,6 +218,10 @@ def merge(pairs: DataFrame, rows: DataFrame, parts: DataFrame | None, percent: i
 
 def label(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``. Links: 100 * intersection >= ``percent`` * union."""
+    return settled(lambda: _label(docs, percent), "labels")
+
+
+def _label(docs: DataFrame, percent: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("x", F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("text")))
     empty = rows.where("doc_id is null or x is null").select("doc_id")
