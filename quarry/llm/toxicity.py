@@ -46,9 +46,8 @@ MEMORY = 100_000
 HEAD, BLOCK, PIVOTS = 1024, 64, 32
 #: Added to bounds, for the error of single precision.
 SLACK = 1e-4
-NEIGHBOURS = 400
-#: So many of the neighbours vote together, nearest first.
-CIRCLES = (50, 150, 400)
+#: Neighbours that vote together, nearest first: at least so many, or one of so many examples.
+CIRCLES = ((5, 80), (10, 27), (25, 10))
 CUTOFF = 0.7
 #: Weight of the prior in a vote, in neighbours of cosine 1.
 PRIOR_WEIGHT = 0.01
@@ -109,8 +108,14 @@ class Model:
         v = (1 + np.log(np.bincount(at, n, len(t)))) * self.idf[t]
         return t, (v / (np.linalg.norm(v) or 1)).astype(np.float32)
 
-    def nearest(self, t: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k examples of largest positive cosine, ties to the smaller id; one may be left out."""
+    @property
+    def circles(self) -> list[int]:
+        return [max(least, len(self.ids) // part) for least, part in CIRCLES]
+
+    def nearest(self, t: np.ndarray, v: np.ndarray, k: int | None = None, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k examples (the largest circle) of largest positive cosine, ties to the smaller id; one may be
+        left out."""
+        k = k or self.circles[-1]
         row = self.row[t]
         rows, w = row[row >= 0], v[row >= 0]
         t, v = t[row < 0], v[row < 0]
@@ -141,7 +146,7 @@ class Model:
         """Log-odds of label 1 from distance-weighted votes of each circle of neighbours and the prior."""
         w = cos.astype(np.float64) ** 2 * self.weight[ids]
         both = np.cumsum(np.append(0, w)), np.cumsum(np.append(0, w * self.labels[ids]))
-        every, ones = (x[np.minimum(CIRCLES, len(ids))] for x in both)
+        every, ones = (x[np.minimum(self.circles, len(ids))] for x in both)
         one = ones + PRIOR_WEIGHT * self.prior
         return np.log(one / (every + PRIOR_WEIGHT - one))
 
