@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import chunkdedup, decontaminate, mixing, neardup, toxicity
-from quarry.llm.common import materialise, table
+from quarry.llm.common import discard, materialise, settled, table
 
 
 def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -56,6 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES):
+        last, docs = docs, settled(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            discard(last)  # the documents themselves aren't ours
     return docs
