@@ -33,11 +33,11 @@ BLOCK_BYTES = 64 << 20
 SAMPLE_EVERY = 8
 MIN_ITEMS = 2
 #: Bytes that are no part of a word become spaces, A-Z become a-z.
-_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
+SEPARATED = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
 
 def words(text: bytes) -> list[bytes]:
-    return text.translate(_WORDS).split()
+    return text.translate(SEPARATED).split()
 
 
 def item_windows(text: bytes, window: int = WINDOW) -> list[tuple[bytes, ...]]:

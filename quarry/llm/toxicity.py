@@ -9,11 +9,13 @@ examples' texts and not with the documents; it and the vocabulary are broadcast,
 The inverted index holds the examples in blocks of ``BLOCK``, like next to like. Postings of rare terms are lists of examples,
 and those of the ``HEAD`` terms that most examples have are a row of weights for each block, with the block's largest weight.
 A query adds up its rare terms; with the largest weights of the others, this bounds what any example of a block can reach.
-Blocks are then scored in the order of their bounds, and those whose bound is below the k-th best so far can't
-hold one of the k nearest, so these are exact. Votes of circles of them are weighted by closeness and the sampling of the labels is
+The blocks of the largest bounds are scored first, and those whose bound is below the k-th best so far can't hold one of the k
+nearest, so these are exact. Queries go together so that a block is one product with all of them that need it.
+
+Votes of circles of the nearest are weighted by closeness and the sampling of the labels is
 undone by weights. A text of over ``PART_WORDS`` words is looked up as a whole and in parts of about so many, as one vile passage says
 little in the whole, and each circle's largest vote of a part counts beside that of the whole. A logistic curve fitted to
-leave-one-out votes of the examples, parts included, makes them probabilities.
+leave-one-out votes of the examples, parts included, makes them probabilities. Terms are known by 64-bit hashes.
 
 Defined results: null and empty texts, and texts without a term of the vocabulary, get the score of no evidence; labels
 that are null, other than 0 and 1, or contradict each other for a document are not used; of texts with one doc_id the smallest
@@ -24,7 +26,6 @@ than doc_id and text (doc_id and toxic in labels) are not read, and doc_id only
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,17 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, fold, keeps_columns, materialise, released, table, texts
-from quarry.llm.decontaminate import words
+from quarry.llm.common import bounded_batches, fold, keeps_columns, materialise, pieces, released, table, texts
+from quarry.llm.decontaminate import SEPARATED
+from quarry.llm.shingles import PIECE_BYTES, mix, powers
 
 MAX_EXAMPLES = 2048
 MAX_TERM_BYTES = 64
 #: Lengths in bytes of the beginnings of words.
 STEMS = (4, 6)
-#: So many words' terms are remembered by a task.
-MEMORY = 100_000
 #: Terms with a row in each block; examples of a block; groups of like examples that are put side by side.
 HEAD, BLOCK, PIVOTS = 1024, 64, 32
+#: Queries that are looked up together.
+GROUP = 128
 #: Added to bounds, for the error of single precision.
 SLACK = 1e-4
 #: Neighbours that vote together, nearest first: at least so many, or one of so many examples.
@@ -51,46 +53,83 @@ CIRCLES = ((5, 80), (10, 27), (25, 10))
 CUTOFF = 0.7
 #: Weight of the prior in a vote, in neighbours of cosine 1.
 PRIOR_WEIGHT = 0.01
-PART_WORDS = 400
-
-
-def features(word: bytes) -> list[bytes]:
-    """The word if it isn't too long, and its beginnings, marked by a star."""
-    return [*([word] if len(word) <= MAX_TERM_BYTES else []), *(word[:k] + b"*" for k in STEMS if len(word) > k)]
-
-
-class Terms:
-    """Numbers of the terms of words, remembered per word."""
+PART_WORDS = 800
+
+
+def term_hashes(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(words, terms) hashes of each word and its beginnings, 0 where it has none, and where each text's words begin (an entry more
+    at the end)."""
+    data = np.frombuffer(b" ".join([*group, b""]).translate(SEPARATED), np.uint8)
+    edge = np.diff((data == 0x20).view(np.int8), prepend=np.int8(1))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    n, base = end - start, sums[start]
+    out = np.zeros((len(start), 1 + len(STEMS)), np.uint64)
+    for j, size in enumerate((MAX_TERM_BYTES, *STEMS)):
+        own = n > size if j else n <= size
+        at = start[own]
+        stop = at + size if j else end[own]
+        out[own, j] = mix((sums[stop] - base[own]) * down[at] + (stop - at).astype(np.uint64) + np.uint64(j << 32)) | np.uint64(1)
+    return out, np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in group])]))
+
+
+class Vocabulary:
+    """Places of hashes in a sorted list of distinct ones, by a table four times as large and open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, bits = keys, max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots, self.rounds, left = np.full(1 << bits, -1, np.int32), 0, np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            at = self._slot(keys[left], self.rounds)
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several, one
+            left, self.rounds = left[self.slots[at] != left], self.rounds + 1
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def _slot(self, keys: np.ndarray, r: int) -> np.ndarray:
+        return ((keys >> self.shift).astype(np.int64) + r) & self.mask
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places, -1 where there is none."""
+        out, live = np.full(len(hashes), -1, np.int32), np.flatnonzero(hashes)
+        for r in range(self.rounds):
+            at = self.slots[self._slot(hashes[live], r)]
+            live, at = live[at >= 0], at[at >= 0]
+            hit = self.keys[at] == hashes[live]
+            out[live[hit]] = at[hit]
+            live = live[~hit]
+        return out
 
-    def __init__(self, terms: dict[bytes, int]):
-        self.terms, self.seen = terms, {}
+    def count(self, group: list[bytes], size: int | None = None) -> tuple[np.ndarray, ...]:
+        """Of the texts' parts of about ``size`` words: the text of each (one part at least), and in order (part, term, count)."""
+        found, first = term_hashes(group)
+        n = np.diff(first)
+        parts = np.maximum(1, -(-n // size)) if size else np.ones(len(n), np.int64)
+        text = np.repeat(np.arange(len(n)), n)
+        part = (np.cumsum(parts) - parts)[text] + (np.arange(first[0], first[-1]) - first[text]) * parts[text] // np.maximum(n, 1)[text]
+        term = self.find(found.ravel())
+        held = term >= 0
+        key, count = np.unique(np.repeat(part, found.shape[1])[held] * len(self) + term[held], return_counts=True)
+        return np.repeat(np.arange(len(n)), parts), key // max(1, len(self)), key % max(1, len(self)), count
 
-    def of(self, w: bytes) -> tuple[int, ...]:
-        found = self.seen.get(w)
-        if found is None:
-            if len(self.seen) > MEMORY:
-                self.seen.clear()
-            found = self.seen[w] = tuple(i for f in features(w) if (i := self.terms.get(f)) is not None)
-        return found
 
-    def counts(self, text: bytes) -> list[dict[int, int]]:
-        """How often each part of the text has the terms; one part at least."""
-        every = words(text)
-        parts = max(1, -(-len(every) // PART_WORDS))
-        out: list[dict[int, int]] = [{} for _ in range(parts)]
-        for p, part in enumerate(out):
-            for w, n in Counter(every[p * len(every) // parts : (p + 1) * len(every) // parts]).items():
-                for i in self.of(w):
-                    part[i] = part.get(i, 0) + n
-        return out
+def joined(part: np.ndarray, term: np.ndarray, count: np.ndarray, to: np.ndarray, terms: int) -> tuple[np.ndarray, ...]:
+    """(text, term, count) from counts by part, each part's text given by ``to``."""
+    key, at = np.unique(to[part] * terms + term, return_inverse=True)
+    return key // max(1, terms), key % max(1, terms), np.bincount(at, count, len(key))
 
 
 @dataclass
 class Model:
-    terms: dict[bytes, int]
+    terms: Vocabulary
     idf: np.ndarray
     row: np.ndarray  # of a term in head, or -1
-    head: np.ndarray  # (rows, blocks, BLOCK) weights
+    head: np.ndarray  # (blocks, rows, BLOCK) weights
     most: np.ndarray  # (rows, blocks) the largest of them
     start: np.ndarray  # where each other term's part of place and value begins, an entry more at the end
     place: np.ndarray  # examples that have the term
@@ -101,46 +140,60 @@ class Model:
     prior: float
     curve: np.ndarray  # factors of the votes, and what is added
 
-    def vector(self, *parts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit weights of the parts together."""
-        t, n = (np.concatenate([np.fromiter(f(p), np.int64, len(p)) for p in parts]) for f in (iter, lambda p: p.values()))
-        t, at = np.unique(t, return_inverse=True)
-        v = (1 + np.log(np.bincount(at, n, len(t)))) * self.idf[t]
-        return t, (v / (np.linalg.norm(v) or 1)).astype(np.float32)
-
     @property
     def circles(self) -> list[int]:
         return [max(least, len(self.ids) // part) for least, part in CIRCLES]
 
-    def nearest(self, t: np.ndarray, v: np.ndarray, k: int | None = None, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k examples (the largest circle) of largest positive cosine, ties to the smaller id; one may be
-        left out."""
+    def weights(self, query: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """Of each (query, term, count) the weight in the query's unit vector; n queries."""
+        v = (1 + np.log(count)) * self.idf[term]
+        return (v / np.sqrt(np.bincount(query, v * v, n))[query]).astype(np.float32)
+
+    def nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int | None = None, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of n queries, places and cosines of the k examples (the largest circle) of largest positive cosine, ties to the
+        smaller id. Queries are given as rows (query, term, weight) in order; of each, one place may be left out."""
         k = k or self.circles[-1]
-        row = self.row[t]
-        rows, w = row[row >= 0], v[row >= 0]
-        t, v = t[row < 0], v[row < 0]
-        n = self.start[t + 1] - self.start[t]
-        at = np.repeat(self.start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        blocks = self.head.shape[1]
-        cos = np.bincount(self.place[at], self.value[at] * np.repeat(v, n), blocks * BLOCK).reshape(blocks, BLOCK)
-        bound = cos.max(1) + w @ self.most[rows] + SLACK
-        order = np.argsort(-bound, kind="stable")
-        first = -(-2 * k // BLOCK)
-        found = [(np.zeros(0, np.int64), np.zeros(0))]
-        least = 0.0
-        for some in (order[:first], order[first:]):
-            some = some[bound[some] >= max(least, SLACK)]
-            if not len(some):
-                continue
-            exact = np.round(cos[some] + (w @ self.head[rows[:, None], some].reshape(len(rows), len(some) * BLOCK)).reshape(len(some), BLOCK), 6)
-            places, exact = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel(), exact.ravel()
-            here = (exact > 0) & (places != (-1 if without is None else without))
-            found.append((places[here], exact[here]))
-            if here.sum() >= k:
-                least = np.partition(exact[here], -k)[-k]
-        places, cosines = (np.concatenate(x) for x in zip(*found, strict=True))
-        best = np.lexsort((self.ids[places], -cosines))[:k]
-        return places[best], cosines[best]
+        edge = np.searchsorted(query, np.arange(0, n + GROUP, GROUP))
+        for g, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            size = min(GROUP, n - g * GROUP)
+            yield from self._group(query[a:b] - g * GROUP, term[a:b], weight[a:b], size, k, None if without is None else without[g * GROUP : g * GROUP + size])
+
+    def _group(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, without: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        blocks = len(self.head)
+        row = self.row[term]
+        own = row >= 0
+        q = np.zeros((n, self.head.shape[1]), np.float32)
+        q[query[own], row[own]] = weight[own]
+        t = term[~own]
+        many = self.start[t + 1] - self.start[t]
+        at = np.repeat(self.start[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        cos = np.bincount(np.repeat(query[~own] * (blocks * BLOCK), many) + self.place[at], self.value[at] * np.repeat(weight[~own], many), n * blocks * BLOCK).reshape(n, blocks, BLOCK)
+        bound = cos.max(2) + q @ self.most + SLACK
+        done = np.zeros((n, blocks), bool)
+        exact = np.zeros((n, blocks, BLOCK))
+
+        def add(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)):
+                some = np.flatnonzero(wanted[:, b])
+                exact[some, b] = cos[some, b] + q[some] @ self.head[b]
+            done[wanted] = True
+
+        first = np.argsort(-bound, axis=1, kind="stable")[:, : -(-2 * k // BLOCK)]
+        wanted = np.zeros((n, blocks), bool)
+        np.put_along_axis(wanted, first, True, 1)
+        add(wanted)
+        if not done.all():
+            least = -np.partition(-exact.reshape(n, -1), k - 1, axis=1)[:, k - 1]
+            add((bound >= least[:, None]) & ~done)
+        exact = np.round(exact.reshape(n, -1), 6)
+        if without is not None:
+            exact[np.arange(n), without] = 0
+        kth = -np.partition(-exact, k - 1, axis=1)[:, k - 1] if k < exact.shape[1] else np.zeros(n)
+        for i in range(n):
+            places = np.flatnonzero(exact[i] >= max(kth[i], 1e-6))
+            found = exact[i, places]
+            best = np.lexsort((self.ids[places], -found))[:k]
+            yield places[best], found[best]
 
     def votes(self, ids: np.ndarray, cos: np.ndarray) -> np.ndarray:
         """Log-odds of label 1 from distance-weighted votes of each circle of neighbours and the prior."""
@@ -150,12 +203,23 @@ class Model:
         one = ones + PRIOR_WEIGHT * self.prior
         return np.log(one / (every + PRIOR_WEIGHT - one))
 
-    def evidence(self, parts: list[dict[int, int]], without: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Votes of the whole and the largest of the parts; places and cosines of the whole's neighbours."""
-        ids, cos = self.nearest(*self.vector(*parts), without=without)
-        whole = self.votes(ids, cos)
-        largest = whole if len(parts) == 1 else np.max([self.votes(*self.nearest(*self.vector(p), without=without)) for p in parts], axis=0)
-        return np.concatenate([whole, largest]), ids, cos
+    def evidence(self, text: np.ndarray, part: np.ndarray, term: np.ndarray, count: np.ndarray, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text, from what ``Vocabulary.count`` returns: votes of the whole and the largest of its parts; places and cosines
+        of the whole's neighbours. Of each text, one place may be left out."""
+        n = int(text[-1]) + 1 if len(text) else 0
+        whole = joined(part, term, count, text, len(self.terms))
+        several = np.bincount(text, minlength=n) > 1
+        mine = several[text][part] if len(part) else np.zeros(0, bool)
+        found = self.nearest(whole[0], whole[1], self.weights(*whole, n), n, without=without)
+        inner = np.flatnonzero(several[text])  # parts that are looked up
+        number = np.cumsum(several[text]) - 1
+        query = number[part[mine]]
+        sought = self.nearest(query, term[mine], self.weights(query, term[mine], count[mine], len(inner)), len(inner), without=None if without is None else without[text[inner]])
+        sizes = np.bincount(text, minlength=n)
+        for i, (ids, cos) in enumerate(found):
+            votes = self.votes(ids, cos)
+            largest = np.max([self.votes(*next(sought)) for _ in range(sizes[i])], axis=0) if several[i] else votes
+            yield np.concatenate([votes, largest]), ids, cos
 
     def probability(self, votes: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(votes @ self.curve[:-1] + self.curve[-1], -30, 30))))
@@ -176,38 +240,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return beta
 
 
-def build(terms: list[bytes], df: np.ndarray, n_docs: int, examples: list[tuple[int, int, list[dict[int, int]]]], shares: dict[int, float]) -> Model:
-    """Index of examples (id, label, counts by term of each part). shares: of each label among all labels known."""
-    idf = np.log((n_docs + 1) / (df + 1.0)) + 1
-    examples = sorted(examples, key=lambda e: e[0])
-    model = Model({w: i for i, w in enumerate(terms)}, idf, *(np.zeros(0),) * 9, shares[1], np.zeros(0))
-    vectors = [model.vector(*c) for _, _, c in examples]
-    size = len(examples)
-    term = np.concatenate([t for t, _ in vectors])
-    place = np.repeat(np.arange(size), [len(t) for t, _ in vectors])
-    value = np.concatenate([v for _, v in vectors])
-    top = np.argsort(-np.bincount(term, minlength=len(terms)), kind="stable")[:HEAD]
+def build(terms: Vocabulary, df: np.ndarray, n_docs: int, ids: np.ndarray, labels: np.ndarray, counts: tuple[np.ndarray, ...], shares: dict[int, float]) -> Model:
+    """Index of examples, from what ``Vocabulary.count`` says of their texts. shares: of each label among all labels known."""
+    model = Model(terms, np.log((n_docs + 1) / (df + 1.0)) + 1, *(np.zeros(0),) * 9, shares[1], np.zeros(0))
+    size, (text, part, term, count) = len(ids), counts
+    place, word, n = joined(part, term, count, text, len(terms))
+    value = model.weights(place, word, n, size)
+    top = np.argsort(-np.bincount(word, minlength=len(terms)), kind="stable")[:HEAD]
     model.row = np.full(len(terms), -1, np.int32)
     model.row[top] = np.arange(len(top))
-    dense = model.row[term] >= 0
-    head = np.zeros((len(top), -(-size // BLOCK) * BLOCK), np.float32)
-    head[model.row[term[dense]], place[dense]] = value[dense]
+    dense, blocks = model.row[word] >= 0, -(-size // BLOCK)
+    head = np.zeros((len(top), blocks * BLOCK), np.float32)
+    head[model.row[word[dense]], place[dense]] = value[dense]
     order = _like_by_like(head[:, :size])
     head[:, :size] = head[:, order]
-    model.head = head.reshape(len(top), -(-size // BLOCK), BLOCK)
-    model.most = model.head.max(2)
-    examples = [examples[i] for i in order]
+    model.head = np.ascontiguousarray(head.reshape(len(top), blocks, BLOCK).transpose(1, 0, 2))
+    model.most = head.reshape(len(top), blocks, BLOCK).max(2)
     at = np.empty(size, np.int32)
     at[order] = np.arange(size)
-    term, place, value = term[~dense], at[place[~dense]], value[~dense]
-    by = np.argsort(term, kind="stable")
-    model.place, model.value = place[by], value[by]
-    model.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
-    model.labels, model.ids = np.array([y for _, y, _ in examples]), np.array([i for i, _, _ in examples])
-    seen = Counter(model.labels.tolist())
-    model.weight = np.array([shares[y] * size / seen[y] for y in model.labels.tolist()])
-    votes = np.array([model.evidence(c, without=i)[0] for i, (_, _, c) in enumerate(examples)])
-    model.curve = _logistic(votes, model.labels.astype(float), model.weight)
+    by = np.argsort(word[~dense], kind="stable")
+    model.place, model.value = at[place[~dense]][by].astype(np.int64), value[~dense][by].astype(np.float64)
+    model.start = np.concatenate([[0], np.cumsum(np.bincount(word[~dense], minlength=len(terms)))])
+    model.labels, model.ids = labels[order], ids[order]
+    seen = np.bincount(labels, minlength=2)
+    model.weight = np.array([shares[y] * size / seen[y] if y in shares else 0.0 for y in (0, 1)])[model.labels]
+    votes = np.array([v for v, _, _ in model.evidence(text, part, term, count, without=at)])
+    model.curve = _logistic(votes, labels.astype(float), model.weight[at])
     return model
 
 
@@ -239,19 +297,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = {w for text in texts(batch.column("text")) for w in words(text)}
-            yield pa.RecordBatch.from_arrays([pa.array(list({f for w in every for f in features(w)}), pa.binary())], ["word"])
+            found = np.unique(term_hashes(list(texts(batch.column("text"))))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(found[found > 0].view(np.int64))], ["term"])
 
-    terms = sorted(rows.mapInArrow(terms_of, "word binary").distinct().toArrow().column("word").to_pylist())  # those of 2 * MAX_EXAMPLES texts
-    place = spark.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
+    keys = rows.mapInArrow(terms_of, "term long").distinct().toArrow().column("term").to_numpy().astype(np.int64)  # those of 2 * MAX_EXAMPLES texts
+    terms = Vocabulary(np.sort(keys.view(np.uint64)))
+    held = spark.sparkContext.broadcast(terms)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = Terms(place.value), np.zeros(len(place.value) + 1, np.int64)  # the last counts the texts
+        known, n = held.value, np.zeros(len(held.value) + 1, np.int64)  # the last counts the texts
         for batch in released(batches):
-            for text in texts(batch.column("text")):
-                found = {i for w in set(words(text)) for i in known.of(w)}
-                n[np.fromiter(found, np.int64, len(found))] += 1
-                n[-1] += 1
+            every = list(texts(batch.column("text")))
+            n[-1] += len(every)
+            for a, b in pieces([len(t) for t in every], PIECE_BYTES):
+                n[:-1] += np.bincount(known.count(every[a:b])[2], minlength=len(known))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
 
@@ -260,18 +319,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Terms(place.value)
         for batch in batches:
-            found = [known.counts(text) for text in texts(batch.column("text"))]
-            n = [len(parts) for parts in found]
-            flat = [part for parts in found for part in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("id", "y")] + [pa.array([list(p) for p in flat], pa.list_(pa.int32())), pa.array([list(p.values()) for p in flat], pa.list_(pa.int32()))], ["id", "y", "terms", "tf"])
+            for i, y, text in zip(batch.column("id").to_pylist(), batch.column("y").to_pylist(), texts(batch.column("text")), strict=True):
+                of, part, term, n = held.value.count([text], PART_WORDS)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((i, pa.int64()), (y, pa.int32()), (len(of), pa.int32()), (part, pa.list_(pa.int32())), (term, pa.list_(pa.int32())), (n, pa.list_(pa.int32())))], ["id", "y", "parts", "part", "term", "n"])
 
-    examples: dict[tuple[int, int], list[dict[int, int]]] = {}
-    for batch in rows.mapInArrow(counted, "id long, y int, terms array<int>, tf array<int>").toArrow().to_batches():  # parts of at most 2 * MAX_EXAMPLES texts
-        for i, y, t, n in zip(*(batch.column(c) for c in ("id", "y", "terms", "tf")), strict=True):
-            examples.setdefault((i.as_py(), y.as_py()), []).append(dict(zip(t.values.to_numpy(), n.values.to_numpy(), strict=True)))
-    return build(terms, df[:-1], int(df[-1]), [(*k, v) for k, v in examples.items()], shares)
+    found = rows.mapInArrow(counted, "id long, y int, parts int, part array<int>, term array<int>, n array<int>").toArrow().sort_by("id").combine_chunks()  # at most 2 * MAX_EXAMPLES rows
+    parts = found.column("parts").to_numpy()
+    lists = {c: found.column(c).combine_chunks() for c in ("part", "term", "n")}
+    part, term, n = (x.flatten().to_numpy().astype(np.int64) for x in lists.values())
+    part = part + np.repeat(np.cumsum(parts) - parts, np.diff(lists["part"].offsets.to_numpy()))
+    return build(terms, df[:-1], int(df[-1]), found.column("id").to_numpy(), found.column("y").to_numpy(), (np.repeat(np.arange(len(parts)), parts), part, term, n), shares)
 
 
 @keeps_columns("text")
@@ -288,15 +346,16 @@ def score(docs: DataFrame, model: Model | float, evidence: bool = False) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         none = m.probability(np.tile(m.votes(np.zeros(0, np.int64), np.zeros(0)), 2))
-        known = Terms(m.terms)
         for batch in released(batches):
             out, why = [], []
-            for text in texts(batch.column("text").cast(pa.string())):
-                parts = known.counts(text)
-                votes, ids, cos = m.evidence(parts)
-                out.append(m.probability(votes) if any(parts) else none)
-                if evidence:
-                    why.append([{"id": int(m.ids[i]), "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(ids[:5], cos[:5], strict=True)])
+            every = list(texts(batch.column("text").cast(pa.string())))
+            for a, b in pieces([len(t) for t in every], PIECE_BYTES):
+                counts = m.terms.count(every[a:b], PART_WORDS)
+                known = np.bincount(counts[0][counts[1]], minlength=b - a) > 0
+                for i, (votes, ids, cos) in enumerate(m.evidence(*counts)):
+                    out.append(m.probability(votes) if known[i] else none)
+                    if evidence:
+                        why.append([{"id": int(m.ids[i]), "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(ids[:5], cos[:5], strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64()), *([pa.array(why, kind)] if evidence else [])], schema.fieldNames())
 
     return docs.mapInArrow(run, schema)

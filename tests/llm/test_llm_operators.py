@@ -380,30 +380,48 @@ def test_toxicity_on_held_out_rows(spark):
 def test_nearest_examples_are_exact(monkeypatch, head):
     monkeypatch.setattr(toxicity, "HEAD", head)
     monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "GROUP", 7)
     r = np.random.default_rng(0)
-    terms = [f"t{i}".encode() for i in range(40)]
+    names = [f"t{i}".encode() for i in range(40)]
+    texts = [b" ".join(r.choice(names, r.integers(0, 9))) for _ in range(300)]
+    texts += texts[:20]  # ties
+    vocabulary = toxicity.Vocabulary(np.unique(toxicity.term_hashes(names)[0][:, 0]))
+    place = {w: int(vocabulary.find(toxicity.term_hashes([w])[0][:, 0])[0]) for w in names}
+    assert sorted(place.values()) == list(range(40))
     df = r.integers(1, 200, 40).astype(float)
-    examples = [(i, int(r.random() < 0.3), [{int(t): int(r.integers(1, 5)) for t in r.choice(40, r.integers(0, 6), replace=False)}]) for i in range(300)]
-    examples += [(300 + i, 1, examples[i][2]) for i in range(20)]  # ties
-    r.shuffle(examples)
-    model = toxicity.build(terms, df, 300, examples, {0: 0.7, 1: 0.3})
+    ids, labels = r.permutation(len(texts)), (r.random(len(texts)) < 0.3).astype(int)
+    model = toxicity.build(vocabulary, df, 300, ids, labels, vocabulary.count(texts), {0: 0.7, 1: 0.3})
     idf = np.log(301 / (df + 1)) + 1
 
-    def unit(counts):
+    def unit(text):
         v = np.zeros(40)
-        for t, n in counts.items():
-            v[t] = (1 + math.log(n)) * idf[t]
+        for w, n in Counter(text.split()).items():
+            v[place[w]] = (1 + math.log(n)) * idf[place[w]]
         return v / (np.linalg.norm(v) or 1)
 
-    flat = {i: unit(c) for i, _, (c,) in examples}
-    for _ in range(50):
-        counts = {int(x): int(r.integers(1, 4)) for x in r.choice(40, 4, replace=False)}
-        q = unit(counts)
-        want = sorted(((-round(float(q @ v), 5), i) for i, v in flat.items() if q @ v > 0))[:9]
-        places, cos = model.nearest(*model.vector(counts), k=9)
-        assert np.allclose(cos, [-c for c, _ in want], atol=1e-4)
-        assert all(math.isclose(q @ flat[int(model.ids[p])], c, abs_tol=1e-4) for p, c in zip(places, cos))
-        assert len(model.nearest(*model.vector(counts), k=9, without=int(places[0]))[0]) and places[0] not in model.nearest(*model.vector(counts), k=9, without=int(places[0]))[0]
+    flat = {int(i): unit(t) for i, t in zip(ids, texts)}
+    asked = [b" ".join(r.choice(names, r.integers(0, 7))) for _ in range(50)] + [b""]
+    _, query, term, count = vocabulary.count(asked)
+    weights = model.weights(query, term, count, len(asked))
+    for k in (1, 9, 60):
+        found = list(model.nearest(query, term, weights, len(asked), k))
+        less = list(model.nearest(query, term, weights, len(asked), k, np.array([int(p[0]) if len(p) else 0 for p, _ in found])))
+        assert len(found) == len(asked)
+        for text, (places, cos), (others, _) in zip(asked, found, less):
+            q = unit(text)
+            want = sorted(((-float(q @ v), i) for i, v in flat.items() if q @ v > 1e-9))[:k]
+            assert np.allclose(cos, [-c for c, _ in want], atol=1e-5)
+            assert all(math.isclose(q @ flat[int(model.ids[p])], c, abs_tol=1e-5) for p, c in zip(places, cos))
+            assert not len(places) or places[0] not in others
+
+
+def test_counts_of_parts():
+    texts = [b"a b c d e f g", b"", b"nothing here", b"longword longwords a"]
+    vocabulary = toxicity.Vocabulary(np.unique(toxicity.term_hashes([b"a b c d e f g longword"])[0])[1:])
+    text, part, term, n = vocabulary.count(texts, 3)
+    assert text.tolist() == [0, 0, 0, 1, 2, 3] and np.bincount(part, n, 6).tolist() == [3, 2, 2, 0, 0, 6]
+    whole = toxicity.joined(part, term, n, text, len(vocabulary))
+    assert np.bincount(whole[0], whole[2]).tolist() == [7, 0, 0, 6] and sorted(whole[2][whole[0] == 3]) == [1, 1, 2, 2]
 
 
 def test_toxicity_of_repeated_long_and_tied_texts(spark):
@@ -425,7 +443,7 @@ def test_toxicity_knows_rare_words_and_counts_all_documents(spark):
     model = toxicity.fit(frame(spark, docs), spark.createDataFrame([*labels, (700, 1)], "doc_id long, toxic int"))
     got = {x.doc_id: x for x in toxicity.score(frame(spark, docs), model, evidence=True).collect()}
     assert got[701].tox_evidence[0].id == 700 and got[701].tox_evidence[0].cosine > 0.8
-    idf = lambda w: model.idf[model.terms[w]]
+    idf = lambda w: model.idf[model.terms.find(toxicity.term_hashes([w])[0][:, 0])[0]]
     assert math.isclose(idf(b"odd0thing"), math.log((len(docs) + 1) / 33) + 1)
     assert math.isclose(idf(b"odd19thing"), math.log((len(docs) + 1) / 2) + 1)
 
