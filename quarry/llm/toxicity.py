@@ -31,14 +31,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_batches, fold, keeps_columns, materialise, pieces, released, table, texts
 from quarry.llm.decontaminate import SEPARATED
 from quarry.llm.shingles import PIECE_BYTES, mix, powers
+from quarry.operators.order import spread
 
-MAX_EXAMPLES = 2048
+MAX_EXAMPLES = 1536
 MAX_TERM_BYTES = 64
 #: Lengths in bytes of the beginnings of words.
 STEMS = (4, 6)
@@ -53,7 +55,7 @@ CIRCLES = ((5, 80), (10, 27), (25, 10))
 CUTOFF = 0.7
 #: Weight of the prior in a vote, in neighbours of cosine 1.
 PRIOR_WEIGHT = 0.01
-PART_WORDS = 800
+PART_WORDS = 550
 
 
 def term_hashes(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +141,7 @@ class Model:
     weight: np.ndarray  # of an example by its label, for the sampling
     prior: float
     curve: np.ndarray  # factors of the votes, and what is added
+    shared: Broadcast | None = None  # the index, without the curve
 
     @property
     def circles(self) -> list[int]:
@@ -221,8 +224,14 @@ class Model:
             largest = np.max([self.votes(*next(sought)) for _ in range(sizes[i])], axis=0) if several[i] else votes
             yield np.concatenate([votes, largest]), ids, cos
 
-    def probability(self, votes: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(votes @ self.curve[:-1] + self.curve[-1], -30, 30))))
+    def share(self, spark: SparkSession) -> Broadcast:
+        if self.shared is None:
+            self.shared = spark.sparkContext.broadcast(self)
+        return self.shared
+
+
+def probability(votes: np.ndarray, curve: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(votes @ curve[:-1] + curve[-1], -30, 30))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -241,10 +250,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def build(terms: Vocabulary, df: np.ndarray, n_docs: int, ids: np.ndarray, labels: np.ndarray, counts: tuple[np.ndarray, ...], shares: dict[int, float]) -> Model:
-    """Index of examples, from what ``Vocabulary.count`` says of their texts. shares: of each label among all labels known."""
+    """Index of examples, from counts (example, term, count) in order. shares: of each label among all labels known."""
     model = Model(terms, np.log((n_docs + 1) / (df + 1.0)) + 1, *(np.zeros(0),) * 9, shares[1], np.zeros(0))
-    size, (text, part, term, count) = len(ids), counts
-    place, word, n = joined(part, term, count, text, len(terms))
+    size, (place, word, n) = len(ids), counts
     value = model.weights(place, word, n, size)
     top = np.argsort(-np.bincount(word, minlength=len(terms)), kind="stable")[:HEAD]
     model.row = np.full(len(terms), -1, np.int32)
@@ -264,11 +272,27 @@ def build(terms: Vocabulary, df: np.ndarray, n_docs: int, ids: np.ndarray, label
     model.labels, model.ids = labels[order], ids[order]
     seen = np.bincount(labels, minlength=2)
     model.weight = np.array([shares[y] * size / seen[y] if y in shares else 0.0 for y in (0, 1)])[model.labels]
-    votes = np.array([v for v, _, _ in model.evidence(text, part, term, count, without=at)])
-    model.curve = _logistic(votes, labels.astype(float), model.weight[at])
     return model
 
 
+def calibrate(model: Model, rows: DataFrame) -> None:
+    """Fits the curve to the votes on the examples (id, text), each without itself."""
+    held = model.share(rows.sparkSession)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        place = {int(i): at for at, i in enumerate(m.ids)}
+        for batch in released(batches):
+            every, at = list(texts(batch.column("text"))), np.array([place[i] for i in batch.column("id").to_pylist()])
+            for a, b in pieces([len(t) for t in every], PIECE_BYTES):
+                found = [v for v, _, _ in m.evidence(*m.terms.count(every[a:b], PART_WORDS), without=at[a:b])]
+                yield pa.RecordBatch.from_arrays([pa.array(at[a:b]), pa.array(found, pa.list_(pa.float64()))], ["place", "votes"])
+
+    found = spread(rows).mapInArrow(votes, "place long, votes array<double>").toArrow().sort_by("place")  # at most 2 * MAX_EXAMPLES rows
+    at = found.column("place").to_numpy()
+    model.curve = _logistic(np.array(found.column("votes").to_pylist()), model.labels[at].astype(float), model.weight[at])
+
+
 def _like_by_like(head: np.ndarray) -> np.ndarray:
     """An order of the examples (columns): by which of some that lie far apart they are most like."""
     best, nearest, pivot = np.full(head.shape[1], -1.0), np.zeros(head.shape[1], np.int64), 0
@@ -321,15 +345,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, y, text in zip(batch.column("id").to_pylist(), batch.column("y").to_pylist(), texts(batch.column("text")), strict=True):
-                of, part, term, n = held.value.count([text], PART_WORDS)
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((i, pa.int64()), (y, pa.int32()), (len(of), pa.int32()), (part, pa.list_(pa.int32())), (term, pa.list_(pa.int32())), (n, pa.list_(pa.int32())))], ["id", "y", "parts", "part", "term", "n"])
-
-    found = rows.mapInArrow(counted, "id long, y int, parts int, part array<int>, term array<int>, n array<int>").toArrow().sort_by("id").combine_chunks()  # at most 2 * MAX_EXAMPLES rows
-    parts = found.column("parts").to_numpy()
-    lists = {c: found.column(c).combine_chunks() for c in ("part", "term", "n")}
-    part, term, n = (x.flatten().to_numpy().astype(np.int64) for x in lists.values())
-    part = part + np.repeat(np.cumsum(parts) - parts, np.diff(lists["part"].offsets.to_numpy()))
-    return build(terms, df[:-1], int(df[-1]), found.column("id").to_numpy(), found.column("y").to_numpy(), (np.repeat(np.arange(len(parts)), parts), part, term, n), shares)
+                _, _, term, n = held.value.count([text])
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((i, pa.int64()), (y, pa.int32()), (term, pa.list_(pa.int32())), (n, pa.list_(pa.int32())))], ["id", "y", "term", "n"])
+
+    found = rows.mapInArrow(counted, "id long, y int, term array<int>, n array<int>").toArrow().sort_by("id").combine_chunks()  # at most 2 * MAX_EXAMPLES rows
+    term, n = (found.column(c).combine_chunks() for c in ("term", "n"))
+    example = np.repeat(np.arange(len(term)), np.diff(term.offsets.to_numpy()))
+    model = build(terms, df[:-1], int(df[-1]), found.column("id").to_numpy(), found.column("y").to_numpy(), (example, term.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy()), shares)
+    calibrate(model, rows)
+    return model
 
 
 @keeps_columns("text")
@@ -338,14 +362,14 @@ def score(docs: DataFrame, model: Model | float, evidence: bool = False) -> Data
     schema = docs.withColumns({"tox_score": F.lit(0.0), **({"tox_evidence": F.expr("cast(null as array<struct<id:bigint,cosine:double,label:int>>)")} if evidence else {})}).schema
     if isinstance(model, float):
         return docs.withColumns({f.name: F.lit(model if f.name == "tox_score" else None).cast(f.dataType) for f in schema.fields[len(docs.columns) :]})
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, curve = model.share(docs.sparkSession), model.curve
     for f in schema.fields:
         f.nullable = True
     kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        none = m.probability(np.tile(m.votes(np.zeros(0, np.int64), np.zeros(0)), 2))
+        none = probability(np.tile(m.votes(np.zeros(0, np.int64), np.zeros(0)), 2), curve)
         for batch in released(batches):
             out, why = [], []
             every = list(texts(batch.column("text").cast(pa.string())))
@@ -353,7 +377,7 @@ def score(docs: DataFrame, model: Model | float, evidence: bool = False) -> Data
                 counts = m.terms.count(every[a:b], PART_WORDS)
                 known = np.bincount(counts[0][counts[1]], minlength=b - a) > 0
                 for i, (votes, ids, cos) in enumerate(m.evidence(*counts)):
-                    out.append(m.probability(votes) if known[i] else none)
+                    out.append(probability(votes, curve) if known[i] else none)
                     if evidence:
                         why.append([{"id": int(m.ids[i]), "cosine": float(c), "label": int(m.labels[i])} for i, c in zip(ids[:5], cos[:5], strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64()), *([pa.array(why, kind)] if evidence else [])], schema.fieldNames())
