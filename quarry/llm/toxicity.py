@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, fold, keeps_columns, materialise, pieces, released, table, texts
+from quarry.llm.common import bounded_batches, fold, give_back, keeps_columns, materialise, pieces, released, table, texts
 from quarry.llm.decontaminate import SEPARATED
 from quarry.llm.shingles import PIECE_BYTES, mix, powers
 from quarry.operators.order import spread
@@ -278,6 +278,7 @@ def build(terms: Vocabulary, df: np.ndarray, n_docs: int, ids: np.ndarray, label
 def calibrate(model: Model, rows: DataFrame) -> None:
     """Fits the curve to the votes on the examples (id, text), each without itself."""
     held = model.share(rows.sparkSession)
+    give_back()
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -352,7 +353,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     term, n = (found.column(c).combine_chunks() for c in ("term", "n"))
     example = np.repeat(np.arange(len(term)), np.diff(term.offsets.to_numpy()))
     model = build(terms, df[:-1], int(df[-1]), found.column("id").to_numpy(), found.column("y").to_numpy(), (example, term.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy()), shares)
+    del found, term, n, example, counts, df
     calibrate(model, rows)
+    give_back()
     return model
 
 
