@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.similarity import paired
 from quarry.storage import materialise
 
 #: Steps of an iteration between tables written to cut lineage.
 CUT_EVERY = 8
+#: Friends of a user that are paired in one go.
+HUB = 2000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -18,9 +21,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def mutual_friends(friends: DataFrame) -> DataFrame:
-    """(a, b, mutual) for pairs a < b with common friends who are no friends themselves."""
-    x, y = friends.select(F.col("friend").alias("middle"), F.col("user").alias("a")), friends.select(F.col("friend").alias("middle"), F.col("user").alias("b"))
-    pairs = x.join(y, "middle").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("mutual"))
+    """(a, b, mutual) for pairs a < b with common friends who are no friends themselves. A hub's pairs are made in blocks."""
+    pairs = paired(friends.select(F.col("friend").alias("middle"), F.col("user").alias("doc_id")), ["middle"], HUB).groupBy(F.col("i").alias("a"), F.col("j").alias("b")).agg(F.count(F.lit(1)).alias("mutual"))
     return pairs.join(friends.select(F.col("user").alias("a"), F.col("friend").alias("b")), ["a", "b"], "left_anti")
 
 
@@ -70,8 +72,9 @@ def pagerank(edges: DataFrame, beta: float = 0.8, iterations: int = 40, redistri
         if redistribute:
             lost = rank.agg(((1 - F.sum("score")) / n).alias("lost"))
             rank = rank.crossJoin(F.broadcast(lost)).select("node", (F.col("score") + F.col("lost")).alias("score"))  # one row
-        if step % CUT_EVERY == CUT_EVERY - 1:
+        if step % CUT_EVERY == CUT_EVERY - 1 or step == iterations - 1:
             rank = materialise(rank, "rank")
+    out.unpersist()
     return rank
 
 
@@ -99,6 +102,7 @@ def hits(edges: DataFrame, iterations: int = 40) -> DataFrame:
         hub = step(authority, "dst", "src")
         if i % CUT_EVERY == CUT_EVERY - 1 or i == iterations - 1:
             hub = materialise(scaled(hub), "hub")
+    edges.unpersist()
     every = nodes.join(hub.withColumnRenamed("x", "hub"), "node", "left").join(authority.withColumnRenamed("x", "authority"), "node", "left")
     return every.select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority"))
 

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.order import numbered
 from quarry.storage import materialise
 
-
+#: A bitmap of so many buckets at most (8 MB) is broadcast.
+BROADCAST_BUCKETS = 1_000_000
 
 def basket_count(baskets: DataFrame) -> int:
     return baskets.select("basket").distinct().count()
@@ -36,9 +38,11 @@ def top_items(baskets: DataFrame, k: int = 10) -> DataFrame:
     return item_counts(baskets).withColumn("support", F.col("count") / n).orderBy(F.desc("count"), "item").limit(k)
 
 
-def search_space(items: int, max_k: int = 6) -> list[tuple[int, int]]:
-    """How many itemsets of each size there are."""
-    return [(k, math.comb(items, k)) for k in range(1, max_k + 1)]
+def extrapolated(baskets: DataFrame, max_k: int = 6) -> DataFrame:
+    """(k, itemsets, checks): how many itemsets of each size brute force would count, and checks of one against a basket."""
+    n = basket_count(baskets)
+    items = baskets.select("item").distinct().count()
+    return baskets.sparkSession.createDataFrame([(k, math.comb(items, k), math.comb(items, k) * n) for k in range(1, max_k + 1)], "k int, itemsets long, checks long")
 
 
 def pair_counts(baskets: DataFrame) -> DataFrame:
@@ -143,25 +147,41 @@ def top_rules(rules: DataFrame, k: int = 5) -> DataFrame:
 
 
 def item_ids(baskets: DataFrame) -> DataFrame:
-    """(item, id): ranks from 0 in the order of names. The distinct items meet in one task, the baskets don't."""
-    return baskets.select("item").distinct().withColumn("id", (F.row_number().over(Window.orderBy("item")) - 1).cast("long"))
+    """(item, id): ranks from 0 in the order of names."""
+    return numbered(baskets.select("item").distinct(), ["item"], "place").select("item", (F.col("place") - 1).alias("id"))
 
 
-def hashed_pairs(baskets: DataFrame) -> tuple[DataFrame, int]:
-    """(a, b, key, count) of all occurring pairs with the key that the bucket functions take; how many items there are."""
+def keyed(baskets: DataFrame) -> tuple[DataFrame, int]:
+    """(basket, item, id); how many items there are."""
     ids = materialise(item_ids(baskets), "ids")
-    n = ids.count()
-    pairs = pair_counts(baskets).join(ids.select(F.col("item").alias("a"), F.col("id").alias("ia")), "a").join(ids.select(F.col("item").alias("b"), F.col("id").alias("ib")), "b")
-    return materialise(pairs.select("a", "b", (F.col("ia") * n + F.col("ib")).alias("key"), "count"), "pairs"), n
+    return materialise(baskets.join(ids, "item").select("basket", "item", "id"), "keyed"), ids.count()
+
+
+def pair_rows(rows: DataFrame, n: int) -> DataFrame:
+    """(a, b, key) for each two items a < b of a basket, with the key that the bucket functions take. Nothing is grouped."""
+    x, y = (rows.select("basket", F.col("item").alias(c), F.col("id").alias(f"i{c}")) for c in "ab")
+    return x.join(y, "basket").where("a < b").select("a", "b", (F.col("ia") * n + F.col("ib")).alias("key"))
+
+
+def hashed_pairs(baskets: DataFrame) -> tuple[DataFrame, int]:
+    """(a, b, key, count) of all occurring pairs, counted exactly, for comparing table sizes; how many items there are."""
+    rows, n = keyed(baskets)
+    return materialise(pair_rows(rows, n).groupBy("a", "b", "key").agg(F.count("*").alias("count")), "pairs"), n
+
 
+def _bitmap(pairs: DataFrame, bucket: Column, min_count: float) -> tuple[DataFrame, int]:
+    """(bucket) of the frequent buckets, from rows of pairs that are only counted by bucket; and how many pairs were hashed."""
+    counts = materialise(pairs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), "buckets")
+    return counts.where(F.col("n") >= F.lit(float(min_count))).select("bucket"), counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
-def _buckets(pairs: DataFrame, bucket: Column, min_count: float) -> DataFrame:
-    """Frequent buckets: the bitmap."""
-    return pairs.groupBy(bucket.alias("bucket")).agg(F.sum("count").alias("n")).where(F.col("n") >= F.lit(float(min_count))).select("bucket")
 
+def _marked(pairs: DataFrame, bucket: Column, bitmap: DataFrame, n_buckets: int) -> DataFrame:
+    held = F.broadcast(bitmap) if n_buckets <= BROADCAST_BUCKETS else bitmap
+    return pairs.withColumn("bucket", bucket).join(held, "bucket", "left_semi").drop("bucket")
 
-def _marked(pairs: DataFrame, bucket: Column, bitmap: DataFrame) -> DataFrame:
-    return pairs.withColumn("bucket", bucket).join(bitmap, "bucket", "left_semi").drop("bucket")
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("count"))
 
 
 def _both_frequent(pairs: DataFrame, singles: DataFrame) -> DataFrame:
@@ -173,16 +193,18 @@ def _found(singles: DataFrame, candidates: DataFrame, min_count: float) -> DataF
     return singles.select(F.array("item").alias("itemset"), F.lit(1).alias("size"), "count").unionByName(two)
 
 
-def pcy(baskets: DataFrame, min_count: float, n_buckets: int = 2000) -> tuple[DataFrame, dict[str, int]]:
-    """Frequent items and pairs by one hash table of pairs, and the funnel's counts."""
-    pairs, n = hashed_pairs(baskets)
+def pcy(baskets: DataFrame, min_count: float, n_buckets: int = 2000, funnel: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """Frequent items and pairs by one hash table of pairs, and the funnel's counts if asked for.
+
+    The first pass counts pairs by bucket only. The second makes pairs of frequent items, and counts those in frequent buckets.
+    """
+    rows, n = keyed(baskets)
     bucket = F.col("key") % n_buckets
-    bitmap = materialise(_buckets(pairs, bucket, min_count), "bitmap")
+    bitmap, hashed = _bitmap(pair_rows(rows, n), bucket, min_count)
     singles = materialise(frequent_items(baskets, min_count), "singles")
-    occurring = _both_frequent(pairs, singles)
-    kept = materialise(_marked(occurring, bucket, bitmap), "kept")
-    hashed = pairs.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first().n
-    stat = {"hashed": hashed, "frequent_buckets": bitmap.count(), "frequent_items": singles.count(), "occurring": occurring.count(), "candidate_pairs": kept.count()}
+    pairs = pair_rows(rows.join(singles, "item", "left_semi"), n)
+    kept = materialise(_counted(_marked(pairs, bucket, bitmap, n_buckets)), "kept")
+    stat = {"hashed": hashed, "frequent_buckets": bitmap.count(), "frequent_items": singles.count(), "occurring": _counted(pairs).count(), "candidate_pairs": kept.count()} if funnel else {}
     return _found(singles, kept, min_count), stat
 
 
@@ -198,36 +220,27 @@ def bucket_sweep(baskets: DataFrame, min_count: float, sizes: tuple[int, ...] =
     return every.join(share, "buckets", "left").join(kept, "buckets", "left").select("buckets", F.coalesce("frequent_share", F.lit(0.0)).alias("frequent_share"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
 
-def multistage(baskets: DataFrame, min_count: float, first: int = 2000, second: int = 1999, factor: int = 7919) -> tuple[DataFrame, dict[str, int]]:
-    """Frequent items and pairs by two hash tables, the second over what the first lets through, and the funnel's counts."""
-    pairs, _ = hashed_pairs(baskets)
-    singles = materialise(frequent_items(baskets, min_count), "singles")
+def multistage(baskets: DataFrame, min_count: float, first: int = 2000, second: int = 1999, factor: int = 7919, funnel: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """Frequent items and pairs by two hash tables, the second over what the first lets through, and the funnel's counts if asked
+    for. Each pass makes the pairs anew, and only the last counts them one by one."""
+    rows, n = keyed(baskets)
     one, two = F.col("key") % first, (F.col("key") * factor) % second
-    bitmap1 = materialise(_buckets(pairs, one, min_count), "bitmap")
-    after1 = materialise(_marked(_both_frequent(pairs, singles), one, bitmap1), "after1")
-    bitmap2 = materialise(_buckets(after1, two, min_count), "bitmap")
-    kept = materialise(_marked(after1, two, bitmap2), "kept")
-    stat = {"frequent1": bitmap1.count(), "frequent2": bitmap2.count(), "after1": after1.count(), "candidate_pairs": kept.count()}
+    bitmap1, _ = _bitmap(pair_rows(rows, n), one, min_count)
+    singles = materialise(frequent_items(baskets, min_count), "singles")
+    after1 = _marked(pair_rows(rows.join(singles, "item", "left_semi"), n), one, bitmap1, first)
+    bitmap2, _ = _bitmap(after1, two, min_count)
+    kept = materialise(_counted(_marked(after1, two, bitmap2, second)), "kept")
+    stat = {"frequent1": bitmap1.count(), "frequent2": bitmap2.count(), "after1": _counted(after1).count(), "candidate_pairs": kept.count()} if funnel else {}
     return _found(singles, kept, min_count), stat
 
 
 def chunked(baskets: DataFrame, n_chunks: int = 10) -> DataFrame:
     """(chunk, basket, item): baskets by id in contiguous chunks of equal size, the last may be smaller."""
-    from quarry.operators.order import numbered
-
     ids = materialise(numbered(baskets.select("basket").distinct(), ["basket"], "place"), "places")
     size = -(-ids.count() // n_chunks)
     return baskets.join(ids, "basket").select(F.floor((F.col("place") - 1) / max(1, size)).cast("int").alias("chunk"), "basket", "item")
 
 
-def _itemsets(baskets: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """All sets of k items in each basket."""
-    out = baskets.select(*keys, "basket", F.array("item").alias("itemset"))
-    for _ in range(k - 1):
-        out = out.join(baskets.select(*keys, "basket", "item"), [*keys, "basket"]).where(F.col("item") > F.element_at("itemset", -1)).select(*keys, "basket", F.concat("itemset", F.array("item")).alias("itemset"))
-    return out
-
-
 def son(baskets: DataFrame, min_support: float, n_chunks: int = 10, max_k: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Frequent itemsets by mining all chunks at once, then counting the union of what is frequent in some chunk; and
     (chunk, rows, local_frequent, max_k). Levels are mined for all chunks together: the chunk is a part of every key.

@@ -29,17 +29,6 @@ def singular_values(rows: DataFrame) -> list[tuple[int, float, float]]:
     return [(i + 1, float(np.sqrt(max(v, 0))), float(v)) for i, v in enumerate(values)]
 
 
-def right_vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues, largest first, and eigenvectors of M^T M in columns."""
-    cells = gram(rows).collect()
-    n = max(r.j for r in cells) + 1
-    m = np.zeros((n, n))
-    for r in cells:
-        m[r.i, r.j] = m[r.j, r.i] = r.x
-    values, vectors = np.linalg.eigh(m)
-    return values[::-1], vectors[:, ::-1]
-
-
 def _margin(w: list[float], b: float) -> Column:
     return F.col("y") * (dot(F.col("x"), F.array(*map(F.lit, w))) + F.lit(b))
 

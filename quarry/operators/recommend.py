@@ -46,25 +46,27 @@ def initial_factors(n: int, k: int, seed: int, name: str) -> np.ndarray:
     return np.array([[r.uniform(0, (5 / k) ** 0.5) for _ in range(k)] for _ in range(n)])
 
 
-def sgd_factors(ratings: DataFrame, k: int = 20, lam: float = 0.1, eta: float = 0.02, epochs: int = 40, seed: int = 0) -> DataFrame:
+def sgd_factors(ratings: DataFrame, k: int = 20, lam: float = 0.1, eta: float = 0.02, epochs: int = 40, seed: int = 0, users: int = 0, items: int = 0) -> DataFrame:
     """(epoch, error): the objective after each epoch of stochastic gradient descent in the order of (user, item).
 
+    Of ``users`` and ``items`` in all, those without ratings keep their first factors, which count in the objective, too.
+
     The result depends on the order of rows, so by definition one task works through all of them; for factors at scale
     use ``als_factors``.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["user", "item"])
-        users, items = pdf.user.factorize(sort=True)[0], pdf.item.factorize(sort=True)[0]
-        p, q = initial_factors(users.max() + 1, k, seed, "users"), initial_factors(items.max() + 1, k, seed, "items")
+        us, its = pdf.user.factorize(sort=True)[0], pdf.item.factorize(sort=True)[0]
+        p, q = initial_factors(max(users, us.max() + 1), k, seed, "users"), initial_factors(max(items, its.max() + 1), k, seed, "items")
         r, errors = pdf.rating.to_numpy(), []
         for _ in range(epochs):
-            for u, i, x in zip(users, items, r, strict=True):
+            for u, i, x in zip(us, its, r, strict=True):
                 e = 2 * (x - q[i] @ p[u])
                 before = q[i].copy()
                 q[i] += eta * (e * p[u] - 2 * lam * q[i])
                 p[u] += eta * (e * before - 2 * lam * p[u])
-            errors.append(((r - (q[items] * p[users]).sum(1)) ** 2).sum() + lam * ((p * p).sum() + (q * q).sum()))
+            errors.append(((r - (q[its] * p[us]).sum(1)) ** 2).sum() + lam * ((p * p).sum() + (q * q).sum()))
         return pd.DataFrame({"epoch": range(1, epochs + 1), "error": errors})
 
     return ratings.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "epoch int, error double")

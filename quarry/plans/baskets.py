@@ -29,7 +29,7 @@ def _apriori(spark, sf_dir, levels=False):
 def _hashed(spark, sf_dir, run, stat=False):
     b = baskets(spark, sf_dir)
     n = _n(b)
-    found, counts = run(b, MIN_SUPPORT * n)
+    found, counts = run(b, MIN_SUPPORT * n, funnel=stat)
     return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts)) if stat else it.with_support(found, n)
 
 
@@ -65,6 +65,7 @@ QUERIES = {
     "itemsets_bruteforce_pairs": lambda s, d: it.brute_force_pairs(baskets(s, d)),
     "itemsets_apriori": _apriori,
     "apriori_levels": lambda s, d: _apriori(s, d, levels=True),
+    "bruteforce_extrapolation": lambda s, d: it.extrapolated(baskets(s, d)),
     "frequent_items": lambda s, d: it.frequent_items(baskets(s, d), MIN_COUNT),
     "frequent_pairs": lambda s, d: it.frequent_pairs(baskets(s, d), MIN_COUNT),
     "frequent_triples": lambda s, d: it.frequent_triples(baskets(s, d), it.frequent_pairs(baskets(s, d), MIN_COUNT), MIN_COUNT),
@@ -144,6 +145,7 @@ SQL = {
     "itemsets_bruteforce_pairs": f"WITH {_SETS} SELECT x.a, y.a AS b, coalesce(t.count, 0) AS count FROM ones x JOIN ones y ON x.a < y.a LEFT JOIN twos t ON t.a = x.a AND t.b = y.a",
     "itemsets_apriori": f"WITH {_SETS} {_FREQ}",
     "apriori_levels": f"WITH {_SETS}{_F1}{_C}, l AS (SELECT 1 AS level, (SELECT count(*) FROM ones) AS candidates, (SELECT count(*) FROM f1) AS frequent{''.join(f' UNION ALL SELECT {k}, (SELECT count(*) FROM c{k}), (SELECT count(*) FROM f{k}) WHERE EXISTS (FROM f{k - 1})' for k in range(2, _MOST + 1))}) SELECT CAST(level AS INT) AS level, candidates, frequent FROM l",
+    "bruteforce_extrapolation": f"WITH {_N}, m AS (SELECT count(DISTINCT item) AS m FROM baskets), c AS (SELECT CAST(k AS INT) AS k, CAST(round(factorial(CAST(m AS INT)) / factorial(CAST(k AS INT)) / factorial(CAST(m - k AS INT))) AS BIGINT) AS itemsets FROM m, (SELECT unnest(range(1, 7)) AS k)) SELECT k, itemsets, itemsets * n AS checks FROM c, n",
     "frequent_items": f"WITH {_ABS} SELECT * FROM items",
     "frequent_pairs": f"WITH {_ABS} SELECT * FROM pairs",
     "frequent_triples": f"WITH {_ABS} SELECT * FROM triples",

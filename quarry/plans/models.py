@@ -125,10 +125,11 @@ QUERIES = {
     "clustroids": lambda s, d: _round(cl.clustroids(_assigned(s, d)), 6, "rowsum"),
     "cf_user_user_top5": lambda s, d: _round(rec.top_items(rec.user_user(utility(s, d), USER, ITEMS)), 8, "score"),
     "cf_item_item_top5": lambda s, d: _round(rec.top_items(rec.item_item(utility(s, d), USER, ITEMS)), 8, "score"),
-    "mf_sgd_errors": lambda s, d: _round(rec.sgd_factors(ratings(s, d), FACTORS, LAMBDA), 6, "error"),
+    "mf_sgd_errors": lambda s, d: _round(rec.sgd_factors(ratings(s, d), FACTORS, LAMBDA, users=table(s, d, "customer").count(), items=table(s, d, "supplier").count()), 6, "error"),
     "mf_objective": _objective,
     "gram_matrix": lambda s, d: _round(learn.gram(_gram(s, d)), 8, "x"),
     "svd_singular_values": lambda s, d: _round(s.createDataFrame(learn.singular_values(_gram(s, d)), "rank int, singular_value double, eigenvalue double"), 6, "singular_value", "eigenvalue"),
+    "svd_power_sums": lambda s, d: s.createDataFrame([(k, round(sum(e**k for _, _, e in found), 3)) for found in [learn.singular_values(_gram(s, d))] for k in range(1, 5)], "k int, power_sum double"),
     "svm_cost": lambda s, d: _round(learn.svm_cost(svm_rows(s, d), W, B), 4, "cost"),
     "svm_gradient": lambda s, d: _round(learn.svm_gradient(svm_rows(s, d), W, B), 4, "g"),
     "svm_batch_costs": lambda s, d: _descent(s, d, eta=ETA, epsilon=EPSILON, most=STEPS),
@@ -198,6 +199,7 @@ SQL = {
     "cf_item_item_top5": f"WITH {UTILITY}, q AS (SELECT i, 1 / sqrt(count(*)) AS q FROM utility GROUP BY 1), w AS (SELECT y.u, sum(q) AS w FROM utility x JOIN utility y USING (i) JOIN q USING (i) WHERE x.u = {USER} GROUP BY 1), s AS (SELECT i, sum(w) * any_value(q) AS score FROM utility JOIN w USING (u) JOIN q USING (i) WHERE i <= {ITEMS} GROUP BY 1) SELECT i, round(score, 8) AS score FROM s ORDER BY round(s.score, 9) DESC, i LIMIT 5",
     "mf_objective": f"""WITH {RATINGS}, p AS (SELECT c_custkey AS id, {_FACTOR('c_custkey')} AS f FROM customer), q AS (SELECT s_suppkey AS id, {_FACTOR('-1 - s_suppkey')} AS f FROM supplier), e AS (SELECT sum(power(rating - list_dot_product(p.f, q.f), 2)) AS e FROM ratings JOIN p ON p.id = "user" JOIN q ON q.id = item), w AS (SELECT sum(list_dot_product(f, f)) AS w FROM (FROM p UNION ALL FROM q)) SELECT round(e + {LAMBDA} * w, 3) AS error FROM e, w""",
     "gram_matrix": f"WITH {DIMS} SELECT CAST(p.d - 1 AS INT) AS i, CAST(q.d - 1 AS INT) AS j, round(sum(p.x * q.x), 8) AS x FROM dims p JOIN dims q ON p.id = q.id AND p.d <= q.d GROUP BY p.d, q.d",
+    "svd_power_sums": f"WITH {DIMS}, g1 AS MATERIALIZED (SELECT p.d AS i, q.d AS j, sum(p.x * q.x) AS x FROM dims p JOIN dims q ON p.id = q.id GROUP BY 1, 2), g2 AS MATERIALIZED (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM g1 a JOIN g1 b ON a.j = b.i GROUP BY 1, 2) SELECT 1 AS k, round(sum(x), 3) AS power_sum FROM g1 WHERE i = j UNION ALL SELECT 2, round(sum(x), 3) FROM g2 WHERE i = j UNION ALL SELECT 3, round(sum(a.x * b.x), 3) FROM g1 a JOIN g2 b ON a.i = b.j AND a.j = b.i UNION ALL SELECT 4, round(sum(a.x * b.x), 3) FROM g2 a JOIN g2 b ON a.i = b.j AND a.j = b.i",
     "svm_cost": f"WITH {_GIVEN} SELECT round(cost, 4) AS cost FROM cost",
     "svm_gradient": f"WITH {_GIVEN} SELECT CAST(d AS INT) AS d, round(g, 4) AS g FROM g",
     "svm_batch_costs": f"WITH {_DESCENT}, steps AS (" + " UNION ALL ".join(f"SELECT {i} AS step, cost FROM cost{i}" for i in range(STEPS + 1)) + f"), changes AS (SELECT *, 100 * abs(lag(cost) OVER (ORDER BY step) - cost) / lag(cost) OVER (ORDER BY step) AS change FROM steps) SELECT step, round(cost, 4) AS cost FROM changes WHERE step <= (SELECT coalesce(min(step), {STEPS}) FROM changes WHERE change < {EPSILON})",

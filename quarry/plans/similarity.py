@@ -11,8 +11,8 @@ from quarry.plans.tables import POINTS, points, table
 THRESHOLD, HASHES, WORDS = 0.8, 128, 5
 BANDS, ROWS = sim.choose_bands(HASHES, THRESHOLD)
 BITS, TABLES, DIMENSIONS, LOW, HIGH, K = 8, 10, 64, -0.3, 0.3, 3
-#: The queries that the operator's batch runner is defined for: every hundredth row of the first thousand.
-QUERY_IDS = list(range(99, 1000, 100))
+#: Searches ask for every row whose id is divisible by this, against all rows.
+EVERY = 50
 FUNCTIONS = vs.hash_functions(BITS, TABLES, DIMENSIONS, LOW, HIGH)
 SWEEP = [(BITS, t) for t in (10, 12, 14, 16, 18, 20)] + [(b, TABLES) for b in (4, 6, 10, 12)]
 
@@ -26,7 +26,7 @@ def _sets(spark, sf_dir):
 
 
 def _signatures(spark, sf_dir):
-    return sim.minhash(_sets(spark, sf_dir).select("doc_id", sim.shingle_hash(F.col("shingle")).alias("h")), sim.hash_params(HASHES))
+    return sim.minhash(_sets(spark, sf_dir).select("doc_id", sim.shingle_hash(F.col("shingle")).alias("h")), sim.hash_params(HASHES), _docs(spark, sf_dir))
 
 
 def _joined(df):
@@ -37,17 +37,17 @@ def _similar(spark, sf_dir, exact):
     return sim.find_similar(_docs(spark, sf_dir), THRESHOLD, HASHES, WORDS, word_level=True, exact=exact)
 
 
-def _q(spark):
-    return spark.createDataFrame([(i,) for i in QUERY_IDS], "q long")
+def _q(spark, sf_dir):
+    return points(spark, sf_dir).where(F.col("id") % EVERY == 0).select(F.col("id").alias("q"))
 
 
 def _found(spark, sf_dir, bits=BITS, tables=TABLES, k=K):
     v = points(spark, sf_dir)
-    return vs.lsh_search(v, vs.keys(v, vs.hash_functions(bits, tables, DIMENSIONS, LOW, HIGH)), _q(spark), k)
+    return vs.lsh_search(v, vs.keys(v, vs.hash_functions(bits, tables, DIMENSIONS, LOW, HIGH)), _q(spark, sf_dir), k)
 
 
 def _sweep(spark, sf_dir):
-    exact, out = vs.linear_search(points(spark, sf_dir), _q(spark), K), None
+    exact, out = vs.linear_search(points(spark, sf_dir), _q(spark, sf_dir), K), None
     for bits, tables in SWEEP:
         e = vs.error_measure(_found(spark, sf_dir, bits, tables), exact).select(F.lit(bits).alias("bits"), F.lit(tables).alias("tables"), F.round("error", 8).alias("error"))
         out = e if out is None else out.unionByName(e)
@@ -68,13 +68,13 @@ QUERIES = {
     "jaccard_pairs": lambda s, d: sim.overlapping_pairs(_sets(s, d)),
     "similar_docs": lambda s, d: _similar(s, d, True),
     "similar_docs_estimated": lambda s, d: _similar(s, d, False),
-    "l1_distances": lambda s, d: _rounded(vs.linear_search(points(s, d), _q(s), 1_000_000_000).select("q", "id", "dist")),
+    "l1_distances": lambda s, d: _rounded(vs.linear_search(points(s, d), _q(s, d), 1_000_000_000).select("q", "id", "dist")),
     "vector_lsh_keys": lambda s, d: vs.keys(points(s, d), FUNCTIONS),
-    "vector_lsh_candidates": lambda s, d: vs.candidates(vs.keys(points(s, d), FUNCTIONS), _q(s)),
+    "vector_lsh_candidates": lambda s, d: vs.candidates(vs.keys(points(s, d), FUNCTIONS), _q(s, d)),
     "vector_lsh_knn": lambda s, d: _rounded(_found(s, d)),
-    "vector_exact_knn": lambda s, d: _rounded(vs.linear_search(points(s, d), _q(s), K)),
-    "vector_lsh_knn_robust": lambda s, d: _rounded(vs.robust_search(points(s, d), points(s, d).select(F.col("id").alias("q")).join(_q(s), "q", "left_semi"), K, BITS, TABLES, DIMENSIONS, LOW, HIGH)),
-    "vector_lsh_error": lambda s, d: vs.error_measure(_found(s, d), vs.linear_search(points(s, d), _q(s), K)).withColumn("error", F.round("error", 8)),
+    "vector_exact_knn": lambda s, d: _rounded(vs.linear_search(points(s, d), _q(s, d), K)),
+    "vector_lsh_knn_robust": lambda s, d: _rounded(vs.robust_search(points(s, d), _q(s, d), K, BITS, TABLES, DIMENSIONS, LOW, HIGH)),
+    "vector_lsh_error": lambda s, d: vs.error_measure(_found(s, d), vs.linear_search(points(s, d), _q(s, d), K)).withColumn("error", F.round("error", 8)),
     "vector_lsh_sweep": _sweep,
 }
 
@@ -82,14 +82,14 @@ _WORDS = r"""w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesc
 sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w)),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1)"""
 _SIGS = _WORDS + f""", h AS (SELECT doc_id, ('0x' || substr(md5(shingle), 1, 15))::BIGINT % {sim.PRIME} AS h FROM sets),
-sigs AS (SELECT doc_id, [{", ".join(f"min((h * {a} + {b}) % {sim.PRIME})" for a, b in sim.hash_params(HASHES))}] AS signature FROM h GROUP BY 1)"""
+sigs AS (SELECT doc_id, [{", ".join(f"min((h * {a} + {b}) % {sim.PRIME})" for a, b in sim.hash_params(HASHES))}] AS signature FROM h GROUP BY 1 UNION ALL SELECT doc_id, list_resize([]::BIGINT[], {HASHES}, {sim.PRIME}) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM sets))"""
 _CANDIDATES = _SIGS + f""", bands AS (SELECT doc_id, band, array_to_string(signature[band * {ROWS} + 1:(band + 1) * {ROWS}], ',') AS key FROM sigs, (SELECT unnest(range({BANDS})) AS band)),
 good AS (SELECT band, key FROM bands GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND {sim.BUCKET_LIMIT}),
 held AS (SELECT * FROM bands SEMI JOIN good USING (band, key)),
 pairs AS (SELECT DISTINCT x.doc_id AS i, y.doc_id AS j FROM held x JOIN held y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id)"""
 _OVERLAP = _WORDS + """, common AS (SELECT x.doc_id AS i, y.doc_id AS j, count(*) AS c FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
 sims AS (SELECT i, j, c / (a.n + b.n - c) AS sim FROM common JOIN sizes a ON a.doc_id = i JOIN sizes b ON b.doc_id = j)"""
-_L1 = POINTS + f""", q AS (SELECT id AS q, v AS qv FROM points WHERE id IN ({", ".join(map(str, QUERY_IDS))})),
+_L1 = POINTS + f""", q AS (SELECT id AS q, v AS qv FROM points WHERE id % {EVERY} = 0),
 dists AS (SELECT q, id, list_sum(list_transform(list_zip(v, qv), lambda z: abs(z[1] - z[2]))) AS dist FROM points, q WHERE id <> q)"""
 
 
@@ -112,7 +112,7 @@ SQL = {
     "detection_prob": f"SELECT s, round(1 - power(1 - power(s, {ROWS}), {BANDS}), 8) AS p FROM (SELECT unnest(range(1, 11)) / 10 AS s)",
     "lsh_candidates": f"WITH {_CANDIDATES} SELECT * FROM pairs",
     "jaccard_pairs": f"WITH {_OVERLAP} SELECT * FROM sims",
-    "similar_docs": f"WITH {_CANDIDATES}, c AS (SELECT i, j, count(*) AS c FROM pairs JOIN sets x ON x.doc_id = i JOIN sets y ON y.doc_id = j AND y.shingle = x.shingle GROUP BY 1, 2) SELECT i, j, c / (a.n + b.n - c) AS sim FROM c JOIN sizes a ON a.doc_id = i JOIN sizes b ON b.doc_id = j WHERE c / (a.n + b.n - c) >= {THRESHOLD}",
+    "similar_docs": f"WITH {_CANDIDATES}, c AS (SELECT i, j, count(*) AS c FROM pairs JOIN sets x ON x.doc_id = i JOIN sets y ON y.doc_id = j AND y.shingle = x.shingle GROUP BY 1, 2) SELECT i, j, c / (a.n + b.n - c) AS sim FROM c JOIN sizes a ON a.doc_id = i JOIN sizes b ON b.doc_id = j WHERE c / (a.n + b.n - c) >= {THRESHOLD} UNION ALL SELECT i, j, 1 FROM pairs WHERE i NOT IN (SELECT doc_id FROM sets) AND j NOT IN (SELECT doc_id FROM sets)",
     "similar_docs_estimated": f"WITH {_CANDIDATES}, s AS (SELECT i, j, len(list_filter(list_zip(x.signature, y.signature), lambda z: z[1] = z[2])) / {HASHES} AS sim FROM pairs JOIN sigs x ON x.doc_id = i JOIN sigs y ON y.doc_id = j) SELECT * FROM s WHERE sim >= {THRESHOLD}",
     "l1_distances": f"WITH {_L1} SELECT q, id, round(dist, 8) AS dist FROM dists",
     "vector_lsh_keys": f"WITH {POINTS} {_keys_sql(FUNCTIONS)}",

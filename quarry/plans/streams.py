@@ -15,7 +15,8 @@ from quarry.streaming import clusters, sketch
 
 
 def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """The stream's whole result after its input is used up, by way of a table of its own."""
+    """The stream's whole result after its input is used up, by way of a table of its own; with the number of the batch in
+    update mode."""
     out, latest = scratch(spark, "stream-out"), {}
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -24,12 +25,14 @@ def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
 
     run = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch(spark, "stream-state")).queryName(f"drain-{uuid.uuid4().hex[:8]}").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(latest["path"] if mode == "complete" else f"{out}/*")
+    if mode == "complete":
+        return spark.read.parquet(latest["path"])
+    return spark.read.parquet(f"{out}/*").withColumn("batch", F.regexp_extract(F.input_file_name(), r"/(\d+)/[^/]*$", 1).cast("long"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     static = table(spark, sf_dir, "events")
-    return spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet*")
+    return spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def _sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +41,9 @@ def _sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    per_hour = events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return _drained(spark, per_hour.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), "complete")
+    per_hour = sketch.windowed_counts(events)
+    last = _drained(spark, per_hour, "update").groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("r"))
+    return last.select("start", "event_type", "r.n", F.round("r.total", 4).alias("total"))
 
 
 def _bdmo(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import baskets, graphs, models, similarity, streams
+from quarry.plans import baskets, graphs, models, similarity, sources, streams
 
-_FAMILIES = (graphs, baskets, similarity, models, streams)
+_FAMILIES = (graphs, baskets, similarity, models, streams, sources)
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 SQL = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}
