@@ -30,14 +30,14 @@ from quarry.llm.common import materialise, table
 
 K = 20
 QUERY_EVERY = 20
-PROJECTIONS = 160
+PROJECTIONS = 80
 #: Share of the lines on which a vector must collide to be verified.
-THRESHOLD = 0.8
-CONFIDENCE = 0.85
+THRESHOLD = 0.85
+CONFIDENCE = 0.8
 #: Windows grow by this factor a round.
 GROWTH = 1.06
 #: The first radius is this share of the distance at which so many of a block's own vectors, in the middle, have their k-th neighbour.
-START, TRIALS = 0.95, 32
+START, TRIALS = 1.0, 32
 BLOCK_ROWS = 32_768
 QUERY_ROWS = 16_384
 SEED = 20240611
