@@ -10,6 +10,8 @@ from quarry.functions.vectors import dot
 
 #: A descent without a number of steps fails after so many, rather than to end early.
 GUARD = 100_000
+#: Rows of a descent's partition at least, as its passes are many and light.
+PARTITION_ROWS = 20_000
 
 
 def gram(rows: DataFrame) -> DataFrame:
@@ -51,20 +53,26 @@ def descend(rows: DataFrame, dim: int, eta: float, epsilon: float, c: float = 10
 
     Batches are cyclic slices of rows (place, x, y), place from 0 in a fixed order; None takes all rows. Stops when the
     change of cost in percent, halved with the one before if ``averaged``, is under ``epsilon``, or after ``most`` steps; without ``most``, an error says so if it hasn't after ``GUARD`` steps.
-    A full step is one pass with one aggregate.
+    A step is one pass with one aggregate: the cost over all rows, and over the next slice the gradient at the same weights.
+    Weights and slices go in as constant arrays, so that all steps share their generated code.
     """
-    rows = rows.cache()
     n = rows.count()
-    w, b, change = [0.0] * dim, 0.0, 0.0
-    cost = svm_cost(rows, w, b, c).first().cost
+    size = max(1, n if batch_size is None else batch_size)
+    slices = max(1, -(-n // size))
+    held = rows.select("y", F.concat("x", F.array(F.lit(1.0))).alias("x"), F.floor(F.col("place") / size).alias("slice")).coalesce(max(1, -(-n // PARTITION_ROWS))).cache()
+
+    def over(w: list[float], part: int) -> tuple[float, list[float]]:
+        margin = F.col("y") * dot(F.col("x"), F.array(*map(F.lit, w)))
+        mine = F.when((margin < 1) & F.array_contains(F.array(F.lit(part).cast("long")), F.col("slice")), -F.col("y"))
+        sums = held.agg(F.coalesce(F.sum(F.greatest(F.lit(0.0), 1 - margin)), F.lit(0.0)), *(F.coalesce(F.sum(mine * F.col("x")[d]), F.lit(0.0)) for d in range(dim + 1))).first()
+        return sum(v * v for v in w[:-1]) / 2 + c * sums[0], [c * g + (w[d] if d < dim else 0.0) for d, g in enumerate(sums[1:])]
+
+    w, change = [0.0] * (dim + 1), 0.0
+    cost, gradient = over(w, 0)
     costs = [cost]
-    size = n if batch_size is None else batch_size
-    slices = max(1, -(-n // max(1, size)))
     for step in range(GUARD if most is None else most):
-        part = rows if slices == 1 else rows.where((F.col("place") >= step % slices * size) & (F.col("place") < (step % slices + 1) * size))
-        g = {r.d: r.g for r in svm_gradient(part, w, b, c).collect()}
-        w, b = [x - eta * g[i] for i, x in enumerate(w)], b - eta * g[-1]
-        last, cost = cost, svm_cost(rows, w, b, c).first().cost
+        w = [x - eta * g for x, g in zip(w, gradient, strict=True)]
+        last, (cost, gradient) = cost, over(w, (step + 1) % slices)
         costs.append(cost)
         now = 100 * abs(last - cost) / last if last else 0.0
         change = (change + now) / 2 if averaged else now
@@ -73,5 +81,5 @@ def descend(rows: DataFrame, dim: int, eta: float, epsilon: float, c: float = 10
     else:
         if most is None:
             raise RuntimeError(f"the descent did not settle in {GUARD} steps")
-    rows.unpersist()
-    return costs, w, b
+    held.unpersist()
+    return costs, w[:-1], w[-1]

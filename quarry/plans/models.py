@@ -21,8 +21,8 @@ FACTORS, LAMBDA = 20, 0.1
 #: Five rows of 10,000 buckets by the bounds e^-5 and e/10,000; and of few, so that words collide.
 _, WIDE = sk.sizes(math.exp(-5), math.e * 1e-4)
 NARROW = 271
-#: The SQL of the batch descent is unrolled to STEPS, where its query ends too; the other descents go on to their stop rule.
-ETA, EPSILON, STEPS = 3e-7, 0.25, 10
+#: Of each descent: step, stop rule, rows of a batch (None: all), and whether changes are averaged.
+DESCENTS = {"svm_batch_costs": (3e-7, 0.25, None, False), "svm_minibatch_costs": (1e-5, 0.01, 20, True), "svm_stochastic_costs": (1e-4, 0.001, 1, True)}
 #: Standardised text-shape features of labelled documents.
 SHAPES = {"n_chars": None, "digits": "[^0-9]", "spaces": "[^ ]", "upper": "[^A-Z]", "punctuation": "[^.,;:!?]"}
 W, B = [0.05, -0.1, 0.2, 0.0, 0.1], 0.5
@@ -74,8 +74,9 @@ def svm_rows(spark, sf_dir):
     return numbered(shuffled, ["h", "doc_id"], "place").select((F.col("place") - 1).alias("place"), "x", "y")
 
 
-def _descent(spark, sf_dir, **options):
-    costs, _, _ = learn.descend(svm_rows(spark, sf_dir), len(SHAPES), **options)
+def _descent(spark, sf_dir, name):
+    eta, epsilon, batch, averaged = DESCENTS[name]
+    costs, _, _ = learn.descend(svm_rows(spark, sf_dir), len(SHAPES), eta, epsilon, batch_size=batch, averaged=averaged, most=None)
     return spark.createDataFrame([(i, round(c, 4)) for i, c in enumerate(costs)], "step int, cost double")
 
 
@@ -132,9 +133,7 @@ QUERIES = {
     "svd_power_sums": lambda s, d: s.createDataFrame([(k, round(sum(e**k for _, _, e in found), 3)) for found in [learn.singular_values(_gram(s, d))] for k in range(1, 5)], "k int, power_sum double"),
     "svm_cost": lambda s, d: _round(learn.svm_cost(svm_rows(s, d), W, B), 4, "cost"),
     "svm_gradient": lambda s, d: _round(learn.svm_gradient(svm_rows(s, d), W, B), 4, "g"),
-    "svm_batch_costs": lambda s, d: _descent(s, d, eta=ETA, epsilon=EPSILON, most=STEPS),
-    "svm_minibatch_costs": lambda s, d: _descent(s, d, eta=1e-5, epsilon=0.01, batch_size=20, averaged=True, most=None),
-    "svm_stochastic_costs": lambda s, d: _descent(s, d, eta=1e-4, epsilon=0.001, batch_size=1, averaged=True, most=None),
+    **{name: lambda s, d, name=name: _descent(s, d, name) for name in DESCENTS},
     "cms_table": lambda s, d: sk.build(words(s, d), WIDE),
     "cms_estimate": lambda s, d: _estimates(s, d, NARROW),
     "cms_error": lambda s, d: _round(sk.errors(words(s, d), NARROW), 8, "error", "share"),
@@ -176,7 +175,30 @@ g{i} AS MATERIALIZED (SELECT d, CASE WHEN d >= 0 THEN any_value(w) ELSE 0 END +
 
 
 _GIVEN = _X + ", w AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {v}::DOUBLE)" for i, v in [(-1, B), *enumerate(W)]) + ") t(d, w))" + _svm("w", "")
-_DESCENT = _X + ", w0 AS (SELECT unnest(range(-1, 5)) AS d, 0.0::DOUBLE AS w)" + "".join(_svm(f"w{i}", i) + f", w{i + 1} AS MATERIALIZED (SELECT d, w - {ETA!r}::DOUBLE * g AS w FROM w{i} JOIN g{i} USING (d))" for i in range(STEPS)) + _svm(f"w{STEPS}", STEPS)
+
+
+def _descent_sql(eta: float, epsilon: float, batch: int | None, averaged: bool) -> str:
+    """A row per step by recursion: the gradient over the step's slice, the new weights, and then their cost over all rows."""
+    dims = range(-1, len(SHAPES))  # -1 is the bias, whose feature is 1
+    f = {d: "1.0::DOUBLE" if d < 0 else f"x{d}" for d in dims}
+    margin = lambda w: "y * (" + " + ".join(f"{f[d]} * {w}{d + 1}" for d in dims) + ")"
+    part = "" if batch is None else f" AND place // {batch} = step % ((SELECT count(*) FROM rows) // {batch} + CAST((SELECT count(*) FROM rows) % {batch} > 0 AS INT))"
+    new = ", ".join(f"w{d + 1} - {eta!r}::DOUBLE * ({f'w{d + 1} + ' if d >= 0 else ''}100 * sum(CASE WHEN {margin('w')} < 1{part} THEN -y * {f[d]} ELSE 0 END)) AS v{d + 1}" for d in dims)
+    ws, vs = (", ".join(f"{c}{d + 1}" for d in dims) for c in "wv")
+    squares = " + ".join(f"v{d + 1} * v{d + 1}" for d in dims if d >= 0)
+    change = "100 * abs(last - cost) / last"
+    columns = "".join(f", ({c} - (SELECT avg({c}) FROM raw)) / (SELECT stddev_pop({c}) FROM raw) AS x{i}" for i, c in enumerate(SHAPES))
+    return f"""WITH RECURSIVE {_RAW}, rows AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS place, y{columns} FROM raw),
+d(step, cost, change, {ws}) AS (
+  SELECT 0, 100.0::DOUBLE * count(*), {epsilon!r}::DOUBLE{", 0.0::DOUBLE" * len(dims)} FROM rows
+  UNION ALL
+  SELECT step + 1, cost, {f"(CASE WHEN step = 0 THEN 0 ELSE change END + {change}) / 2" if averaged else change}, {vs} FROM (
+    SELECT step, last, change, {vs}, ({squares}) / 2 + 100 * sum(greatest(0, 1 - {margin("v")})) AS cost FROM (
+      SELECT step, cost AS last, change, {new} FROM d, rows WHERE change >= {epsilon!r}::DOUBLE GROUP BY step, cost, change, {ws}), rows
+    GROUP BY step, last, change, {vs}))
+SELECT CAST(step AS INT) AS step, round(cost, 4) AS cost FROM d"""
+
+
 _FACTOR = lambda key: "[" + ", ".join(f"('0x' || substr(md5(({key})::VARCHAR || ':{j}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * {(5 / FACTORS) ** 0.5!r}::DOUBLE" for j in range(1, FACTORS + 1)) + "]"
 _CMS = lambda n: WORDS + f""", exact AS (SELECT word, count(*) AS f FROM words GROUP BY 1),
 hashed AS (SELECT word, f, CAST(j AS INT) AS j, ((word % 123457) * a + b) % 123457 % {n} AS bucket FROM exact, (VALUES {", ".join(f"({j}, {a}, {b})" for j, (a, b) in enumerate(sk.HASH_PARAMS))}) p(j, a, b)),
@@ -202,7 +224,7 @@ SQL = {
     "svd_power_sums": f"WITH {DIMS}, g1 AS MATERIALIZED (SELECT p.d AS i, q.d AS j, sum(p.x * q.x) AS x FROM dims p JOIN dims q ON p.id = q.id GROUP BY 1, 2), g2 AS MATERIALIZED (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM g1 a JOIN g1 b ON a.j = b.i GROUP BY 1, 2) SELECT 1 AS k, round(sum(x), 3) AS power_sum FROM g1 WHERE i = j UNION ALL SELECT 2, round(sum(x), 3) FROM g2 WHERE i = j UNION ALL SELECT 3, round(sum(a.x * b.x), 3) FROM g1 a JOIN g2 b ON a.i = b.j AND a.j = b.i UNION ALL SELECT 4, round(sum(a.x * b.x), 3) FROM g2 a JOIN g2 b ON a.i = b.j AND a.j = b.i",
     "svm_cost": f"WITH {_GIVEN} SELECT round(cost, 4) AS cost FROM cost",
     "svm_gradient": f"WITH {_GIVEN} SELECT CAST(d AS INT) AS d, round(g, 4) AS g FROM g",
-    "svm_batch_costs": f"WITH {_DESCENT}, steps AS (" + " UNION ALL ".join(f"SELECT {i} AS step, cost FROM cost{i}" for i in range(STEPS + 1)) + f"), changes AS (SELECT *, 100 * abs(lag(cost) OVER (ORDER BY step) - cost) / lag(cost) OVER (ORDER BY step) AS change FROM steps) SELECT step, round(cost, 4) AS cost FROM changes WHERE step <= (SELECT coalesce(min(step), {STEPS}) FROM changes WHERE change < {EPSILON})",
+    **{name: _descent_sql(*options) for name, options in DESCENTS.items()},
     "cms_table": f"WITH {_CMS(WIDE)} SELECT * FROM sketch",
     "cms_estimate": f"WITH {_CMS(NARROW)} SELECT word, estimate FROM estimates",
     "cms_error": f"WITH {_CMS(NARROW)} SELECT word, f, estimate, round(error, 8) AS error, round(share, 8) AS share FROM errors",

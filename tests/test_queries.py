@@ -14,7 +14,7 @@ def test_query_equals_sql(spark, name):
     same(spark, QUERIES[name], SQL[name], LARGER.get(name, SMALL))
 
 
-@pytest.mark.parametrize("name", ["cure_assign", "mf_sgd_errors", "svd_singular_values", "svm_minibatch_costs", "svm_stochastic_costs", "bdmo_clusters", "kmeans_choose_k", "bfr_clusters", "cure_clusters", "grgpf_clusters"])
+@pytest.mark.parametrize("name", ["cure_assign", "mf_sgd_errors", "svd_singular_values", "bdmo_clusters", "kmeans_choose_k", "bfr_clusters", "cure_clusters", "grgpf_clusters"])
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
