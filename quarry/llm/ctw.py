@@ -11,6 +11,8 @@ How it is distributed: a task packs the texts that it reads into blocks of about
 grams are regrouped by their last two context bytes, below which the trees are independent; what is above has at most
 65,280 nodes and is the only part that meets on the driver. Each block then gets back the log-probabilities of just its
 own grams (in half precision) and the counts of its own words. No table of the whole model is ever held in one place.
+A task deals into at most ``FAN`` parts; more take further levels, digit by digit of the part's number, between which the
+rows of some ``FAN`` senders become those of one. So a block's worth of text makes a bounded number of rows at any size.
 
 Defined results: a null or empty text is the end token alone; rows with null doc_id fall into the fold of the empty
 id and are scored like others; repeated rows are trained on and scored each; other columns are not read. Without
@@ -36,6 +38,8 @@ DEPTH = 6
 BLOCK_BYTES = 32 << 20
 #: Bytes of text per part that grams and words are dealt into.
 PART_BYTES = 24 << 20
+#: Parts that one task deals into.
+FAN = 256
 PIECE_BYTES = 1 << 20
 END = b"\n"
 #: Key of the end token among the words' hashes.
@@ -125,14 +129,31 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(_flat(data, np.uint64), dtype=np.uint64)
 
 
-def _deal(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, places of its keys in order)."""
-    part = (mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(parts)).astype(np.int64)
-    by = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[by], np.arange(parts + 1))
-    for p in range(parts):
-        if edges[p] < edges[p + 1]:
-            yield p, by[edges[p] : edges[p + 1]]
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(parts)).astype(np.int64)
+
+
+def _group_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a gram's last two context bytes."""
+    return (mix((grams >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(parts)).astype(np.int64)
+
+
+def _digits(parts: int) -> tuple[int, int]:
+    """(base, levels): the least levels, then the least base of at most ``FAN``, that number so many parts."""
+    levels = base = 1
+    while FAN**levels < parts:
+        levels += 1
+    while base**levels < parts:
+        base += 1
+    return base, levels
+
+
+def _deal(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places that fall into it in order), for the buckets that occur."""
+    by = np.argsort(bucket, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)) if len(by) else []
+    for a, b in zip(first, [*first[1:], len(by)], strict=True):
+        yield int(bucket[by[a]]), by[a:b]
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -293,7 +314,12 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold(F.col("doc_id"), folds) == held_out).alias("held_out"))
     bounded_batches(docs.sparkSession)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 50), F.lit(0)).alias("s")).first().s
-    parts = max(1, -(-size // PART_BYTES))
+    base_of_parts, levels = _digits(max(1, -(-size // PART_BYTES)))
+    parts = base_of_parts**levels
+
+    def dealt(bucket: np.ndarray, level: int) -> Iterator[tuple[int, np.ndarray]]:
+        """By the first ``level`` digits of the part's number."""
+        return _deal(bucket // base_of_parts ** (levels - level))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's rows: one with its documents, compressed, and one for each part with its keys and counts."""
@@ -303,7 +329,7 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
             name = uuid.uuid4().hex
             t = pa.Table.from_batches(kept)
             found = _block_keys([x for c in t.column("text").chunks for x in texts(c)], ~np.array(t.column("held_out").to_pylist(), bool))
-            out = [(name, kind, p, _pack(k[at]), _planes(c[at].astype(np.int32)), None) for kind, (k, c) in found.items() for p, at in _deal(k, parts)]
+            out = [(name, kind, p, _pack(k[at]), _planes(c[at].astype(np.int32)), None) for kind, (k, c) in found.items() for p, at in dealt(_part_of(k, parts), 1)]
             out.append((name, None, None, None, None, _packed(t)))
             for row in out:
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "kind", "part", "keys", "counts", "packed"])
@@ -320,39 +346,76 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
             yield from block()
 
     asked = materialise(rows.mapInArrow(collect, "block string, kind int, part int, keys binary, counts binary, packed binary"), "asked")
-    wanted_keys = asked.where("kind is not null")
+    wanted = [asked.where("kind is not null").select("block", "kind", "part", "keys", "counts")]
+
+    def merged(level: int):
+        def merge(t: pa.Table) -> pa.Table:
+            """Some senders' rows of the same digits as one sender's, by one digit more."""
+            kind, width = t.column("kind")[0].as_py(), np.int32 if level == 1 else np.int64
+            keys, counts = _distinct([(_unpack(k), _flat(c, width).astype(np.int64)) for k, c in zip(*_table(t, ["keys", "counts"]), strict=True)])
+            out = [(t.column("into")[0].as_py(), kind, p, _pack(keys[at]), _planes(counts[at])) for p, at in dealt(_part_of(keys, parts), level + 1)]
+            return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "kind", "part", "keys", "counts"), zip(*out, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+
+        return merge
+
+    senders = asked.where("kind is null").count() if levels > 1 else 0
+    for level in range(1, levels):
+        senders = -(-senders // base_of_parts)
+        wanted[-1] = wanted[-1].withColumn("into", F.concat_ws("/", "kind", "part", F.pmod(F.xxhash64("block"), F.lit(senders))))
+        wanted.append(materialise(wanted[-1].groupBy("into").applyInArrow(merged(level), "block string, kind int, part int, keys binary, counts binary"), "asked"))
+
+    def split(level: int, bucket_of, width: type):
+        def deal_on(t: pa.Table) -> pa.Table:
+            keys = np.concatenate([_unpack(k) for k in t.column("keys").to_pylist()])
+            values = np.concatenate([_flat(v, width) for v in t.column("vals").to_pylist()])
+            by = np.argsort(keys)
+            keys, values = keys[by], values[by]
+            out = [(t.column("src")[0].as_py(), p, _pack(keys[at]), _planes(values[at])) for p, at in dealt(bucket_of(keys, parts), level + 1)]
+            return pa.table({n: pa.array(c, k) for n, c, k in zip(("src", "part", "keys", "vals"), zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+
+        return deal_on
+
+    def routed(rows: DataFrame, bucket_of, width: type) -> DataFrame:
+        """Rows (src, part, keys, vals) with distinct keys, dealt by one digit so far, by all digits."""
+        sources = parts
+        for level in range(1, levels):
+            sources = -(-sources // base_of_parts)
+            rows = rows.withColumn("src", F.pmod(F.xxhash64("src"), F.lit(sources))).groupBy("part", "src").applyInArrow(split(level, bucket_of, width), "src long, part int, keys binary, vals binary")
+        return rows
 
     def total(t: pa.Table) -> pa.Table:
         """Sums of a part; grams are dealt anew by their last two context bytes."""
         kind, part = t.column("kind")[0].as_py(), t.column("part")[0].as_py()
-        keys, counts = _distinct([(_unpack(k), _flat(c, np.int32).astype(np.int64)) for k, c in zip(*_table(t, ["keys", "counts"]), strict=True)])
-        group = mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(parts) if kind == GRAMS else np.full(len(keys), part, np.uint64)
-        by = np.argsort(group, kind="stable")
-        edges = np.flatnonzero(np.append(True, np.diff(group[by]) != 0)).tolist() + [len(by)]
-        out = [(kind, int(group[by[a]]), _pack(keys[by[a:b]]), _planes(counts[by[a:b]].astype(np.int64)), int(counts[by[a:b]].sum()), int((counts[by[a:b]] > 0).sum())) for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("kind", "grp", "keys", "counts", "total", "seen"), zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)})
-
-    summed = materialise(wanted_keys.select("kind", "part", "keys", "counts").groupBy("kind", "part").applyInArrow(total, "kind int, grp int, keys binary, counts binary, total long, seen long"), "summed")
+        width = np.int32 if levels == 1 else np.int64
+        keys, counts = _distinct([(_unpack(k), _flat(c, width).astype(np.int64)) for k, c in zip(*_table(t, ["keys", "counts"]), strict=True)])
+        shares = dealt(_group_of(keys, parts), 1) if kind == GRAMS else [(part, slice(None))]
+        out = [(kind, part, p, _pack(keys[at]), _planes(counts[at]), int(counts[at].sum()), int((counts[at] > 0).sum())) for p, at in shares]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("kind", "src", "part", "keys", "vals", "total", "seen"), zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)})
+
+    summed = materialise(wanted[-1].select("kind", "part", "keys", "counts").groupBy("kind", "part").applyInArrow(total, "kind int, src long, part int, keys binary, vals binary, total long, seen long"), "summed")
     n = summed.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("seen"), F.lit(0)).alias("v")).first()
 
     def grams_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return _distinct([(_unpack(k), _flat(c, np.int64)) for k, c in zip(*_table(t, ["keys", "counts"]), strict=True)])
+        return _distinct([(_unpack(k), _flat(c, np.int64)) for k, c in zip(*_table(t, ["keys", "vals"]), strict=True)])
 
     def top_of(t: pa.Table) -> pa.Table:
         return pa.Table.from_batches(top_rows(Tree(*grams_of(t))))
 
-    grams = summed.where(F.col("kind") == GRAMS)
-    nodes = grams.groupBy("grp").applyInArrow(top_of, _TOP).groupBy("ctx", "j", "node").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"), F.sum("weighted").alias("weighted"))
+    grams = routed(summed.where(F.col("kind") == GRAMS).select("src", "part", "keys", "vals"), _group_of, np.int64)
+    if levels > 1:
+        grams = materialise(grams, "grams")  # read twice
+    nodes = grams.groupBy("part").applyInArrow(top_of, _TOP).groupBy("ctx", "j", "node").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"), F.sum("weighted").alias("weighted"))
     top = docs.sparkSession.sparkContext.broadcast(Top(nodes.collect()))  # 256 contexts with 255 nodes at most
 
     def price(t: pa.Table) -> pa.Table:
         keys, counts = grams_of(t)
         value = log2_probabilities(Tree(keys, counts), top.value).astype(np.float16)
-        out = [(GRAMS, p, _pack(keys[at]), _planes(value[at])) for p, at in _deal(keys, parts)]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("kind", "part", "keys", "values"), zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+        out = [(t.column("part")[0].as_py(), p, _pack(keys[at]), _planes(value[at])) for p, at in dealt(_part_of(keys, parts), 1)]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("src", "part", "keys", "vals"), zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
-    priced = grams.groupBy("grp").applyInArrow(price, "kind int, part int, keys binary, values binary")
-    known = summed.where(F.col("kind") == WORDS).select("kind", F.col("grp").alias("part"), "keys", F.col("counts").alias("values"))
+    priced = routed(grams.groupBy("part").applyInArrow(price, "src long, part int, keys binary, vals binary"), _part_of, np.float16)
+    priced = priced.select(F.lit(GRAMS).alias("kind"), "part", "keys", F.col("vals").alias("values"))
+    known = summed.where(F.col("kind") == WORDS).select("kind", "part", "keys", F.col("vals").alias("values"))
 
     def answer(wanted: pa.Table, model: pa.Table) -> pa.Table:
         """For each block that asks, the values of its keys, in its order."""
@@ -364,7 +427,22 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
         out = [_planes(values[np.searchsorted(keys, _unpack(k))]) for k in wanted.column("keys").to_pylist()]
         return pa.table({"block": wanted.column("block"), "kind": wanted.column("kind"), "part": wanted.column("part"), "values": pa.array(out, pa.binary())})
 
-    answers = wanted_keys.select("block", "kind", "part", "keys").groupBy("kind", "part").cogroup(priced.unionByName(known).groupBy("kind", "part")).applyInArrow(answer, "block string, kind int, part int, values binary")
+    answers = wanted[-1].select("block", "kind", "part", "keys").groupBy("kind", "part").cogroup(priced.unionByName(known).groupBy("kind", "part")).applyInArrow(answer, "block string, kind int, part int, values binary")
+
+    def handed(level: int):
+        def hand(askers: pa.Table, got: pa.Table) -> pa.Table:
+            """For each sender whose rows were merged, the values of its keys out of the values of all."""
+            kind, own = askers.column("kind")[0].as_py(), [_unpack(k) for k in askers.column("keys").to_pylist()]
+            keys = np.unique(np.concatenate(own))
+            values, replies = np.zeros(len(keys), np.float16 if kind == GRAMS else np.int64), dict(zip(*_table(got, ["part", "values"]), strict=True))
+            for p, at in dealt(_part_of(keys, parts), level + 1):
+                values[at] = _flat(replies[p], values.dtype)
+            return pa.table({"block": askers.column("block"), "kind": askers.column("kind"), "part": askers.column("part"), "values": pa.array([_planes(values[np.searchsorted(keys, k)]) for k in own], pa.binary())})
+
+        return hand
+
+    for level in range(levels - 1, 0, -1):
+        answers = wanted[level - 1].select("into", "block", "kind", "part", "keys").groupBy("into").cogroup(answers.groupBy("block")).applyInArrow(handed(level), "block string, kind int, part int, values binary")
     n_train, v_train = int(n.n), int(n.v)
 
     def apply(packed: pa.Table, got: pa.Table) -> pa.Table:
@@ -375,7 +453,7 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
         replies = {(k, p): v for k, p, v in zip(*_table(got, ["kind", "part", "values"]), strict=True)}
         for kind, dtype in ((GRAMS, np.float16), (WORDS, np.int64)):
             values[kind] = np.zeros(len(keys[kind]), dtype)
-            for p, at in _deal(keys[kind], parts):
+            for p, at in dealt(_part_of(keys[kind], parts), 1):
                 values[kind][at] = _flat(replies[kind, p], dtype)
         bits, base, tokens, seen, n_bytes = [], [], [], [], []
         for a, b in pieces([len(t) for t in all_texts], PIECE_BYTES):

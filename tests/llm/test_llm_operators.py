@@ -343,6 +343,36 @@ def test_context_trees_over_several_blocks(spark, monkeypatch):
     assert ctw.score(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("fan", [5, 2])
+def test_context_trees_over_several_levels(spark, monkeypatch, fan):
+    r = random.Random(9)
+    rows = [(i, prose(r, 60), "en", "s", 0) for i in range(60)]
+    one = {x.doc_id: (x.score, x.base_score, x.n_known) for x in ctw.score(frame(spark, rows)).collect()}
+    written, plain = [], ctw.materialise
+    monkeypatch.setattr(ctw, "materialise", lambda df, name: written.append((name, plain(df, name))) or written[-1][1])
+    for name, value in (("FAN", fan), ("BLOCK_BYTES", 1000), ("PART_BYTES", 2000), ("PIECE_BYTES", 700)):
+        monkeypatch.setattr(ctw, name, value)
+    many = {x.doc_id: (x.score, x.base_score, x.n_known) for x in ctw.score(frame(spark, rows).repartition(3)).collect()}
+    assert all(np.allclose(one[d], many[d], rtol=1e-9) for d in one)
+    asked = [t for name, t in written if name == "asked"]
+    blocks = asked[0].where("kind is null").count()
+    assert blocks > 10 and len(asked) > 1
+    for t in asked:  # not blocks times parts
+        assert t.where("kind is not null").count() <= 2 * fan * (blocks + fan ** len(asked))
+
+
+def test_context_trees_of_long_and_repeated_texts(spark):
+    r = random.Random(10)
+    text = prose(r, 60_000)
+    rows = [(1, text, "en", "s", 0), (1, text, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (5, text[:400], "en", "s", 0)]
+    out = ctw.score(frame(spark, rows)).collect()
+    assert sorted(x.doc_id for x in out) == [1, 1, 2, 2, 5]
+    by = {d: [(x.score, x.base_score, x.n_tokens, x.n_known) for x in out if x.doc_id == d] for d in (1, 2, 5)}
+    assert len(set(by[1])) == len(set(by[2])) == 1
+    learned = sum(len(t.split()) + 1 for d, t, *_ in rows if zlib.crc32(str(d).encode()) % 5 != 1)
+    assert {x.train_tokens for x in out} == {learned} and by[1][0][2] == len(text.split()) + 1
+
+
 def test_lgamma():
     x = np.array([0.5, 1, 1.5, 7.9, 8, 100, 1e6])
     assert np.allclose(ctw.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-9)
