@@ -139,6 +139,20 @@ c AS (SELECT CAST((place - 1) // CAST(ceil(n / 10) AS BIGINT) AS INT) AS chunk,
 sizes AS (SELECT chunk, count(DISTINCT basket) AS rows FROM c GROUP BY 1),
 l AS (""" + " UNION ALL ".join(f"SELECT chunk, {k} AS size, count AS cnt FROM ({_sets('c', k, 'x0.chunk, ')})" for k in range(1, _MOST + 1)) + ")"
 
+
+def _attempts(most: int = 6, decay: float = 0.8) -> str:
+    """All attempts at a sample with its frequent sets and their border, up to the first whose border holds no frequent set."""
+    border = "SELECT a AS itemset, count FROM ones WHERE a NOT IN (FROM f1)" + "".join(f" UNION ALL SELECT {_comma(k)}, coalesce(count, 0) FROM (FROM c{k} EXCEPT FROM f{k}) LEFT JOIN {_NAMES[k]} USING ({', '.join(_LETTERS[:k])})" for k in range(2, _MOST + 1))
+    factor, tries = TOIVONEN["lower"], []
+    for i in range(most):
+        own = f"sample AS MATERIALIZED (SELECT * FROM baskets WHERE ('0x' || substr(md5('toivonen-{i}:' || basket), 1, 13))::BIGINT / {2.0**52} < {TOIVONEN['fraction']}), rows AS (SELECT count(DISTINCT basket) AS rows FROM sample)"
+        own += "".join(f", f{k} AS MATERIALIZED (SELECT {', '.join(_LETTERS[:k])} FROM ({_sets('sample', k)}), rows WHERE count >= {factor!r}::DOUBLE * 0.003::DOUBLE * rows)" for k in _NAMES)
+        found = " + ".join(f"(SELECT count(*) FROM f{k})" for k in _NAMES)
+        tries.append(f"SELECT * FROM (WITH {own}{_C}, border AS ({border}) SELECT CAST({i + 1} AS INT) AS attempt, {factor!r}::DOUBLE AS factor, (FROM rows) AS sample, {found} AS sample_frequent, count(*) AS border, count(*) FILTER (border.count >= 0.003::DOUBLE * n) AS border_hits FROM border, n)")
+        factor *= decay
+    return f"WITH {_SETS}, tries AS MATERIALIZED ({' UNION ALL '.join(tries)}) SELECT * FROM tries WHERE attempt <= coalesce((SELECT min(attempt) FROM tries WHERE border_hits = 0), {most})"
+
+
 SQL = {
     "basket_profile": f"WITH {BASKETS}, s AS (SELECT basket, count(*) AS size FROM baskets GROUP BY 1) SELECT count(*) AS baskets, CAST(sum(size) AS BIGINT) AS sold, min(size) AS min_size, avg(size) AS avg_size, max(size) AS max_size, (SELECT count(DISTINCT item) FROM baskets) AS items, avg(size) / (SELECT count(DISTINCT item) FROM baskets) AS density FROM s",
     "top_items": f"WITH {_N} SELECT item, count(*) AS count, count(*) / any_value(n) AS support FROM baskets, n GROUP BY item ORDER BY count DESC, item LIMIT 10",
@@ -162,4 +176,5 @@ SQL = {
     "son_chunks": f"WITH {_CHUNKS} SELECT chunk, rows, count(*) AS local_frequent, CAST(max(size) AS INT) AS max_k FROM l JOIN sizes USING (chunk) WHERE cnt >= 0.003::DOUBLE * rows GROUP BY 1, 2",
     "negative_border": f"WITH {_SETS}{_F1}{_C} SELECT itemset, CAST(size AS INT) AS size FROM (SELECT a AS itemset, 1 AS size FROM ones WHERE a NOT IN (FROM f1){''.join(f' UNION ALL SELECT {_comma(k)}, {k} FROM (FROM c{k} EXCEPT FROM f{k})' for k in range(2, _MOST + 1))})",
     "itemsets_toivonen": f"WITH {_SETS} {_FREQ}",
+    "toivonen_attempts": _attempts(),
 }

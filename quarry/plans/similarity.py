@@ -14,6 +14,8 @@ BITS, TABLES, DIMENSIONS, LOW, HIGH, K = 8, 10, 64, -0.3, 0.3, 3
 #: Searches ask for every row whose id is divisible by this, against all rows.
 EVERY = 50
 FUNCTIONS = vs.hash_functions(BITS, TABLES, DIMENSIONS, LOW, HIGH)
+#: Sets of functions that the robust search tries.
+ATTEMPTS = 20
 SWEEP = [(BITS, t) for t in (10, 12, 14, 16, 18, 20)] + [(b, TABLES) for b in (4, 6, 10, 12)]
 
 
@@ -73,7 +75,7 @@ QUERIES = {
     "vector_lsh_candidates": lambda s, d: vs.candidates(vs.keys(points(s, d), FUNCTIONS), _q(s, d)),
     "vector_lsh_knn": lambda s, d: _rounded(_found(s, d)),
     "vector_exact_knn": lambda s, d: _rounded(vs.linear_search(points(s, d), _q(s, d), K)),
-    "vector_lsh_knn_robust": lambda s, d: _rounded(vs.robust_search(points(s, d), _q(s, d), K, BITS, TABLES, DIMENSIONS, LOW, HIGH)),
+    "vector_lsh_knn_robust": lambda s, d: _rounded(vs.robust_search(points(s, d), _q(s, d), K, BITS, TABLES, DIMENSIONS, LOW, HIGH, ATTEMPTS)),
     "vector_lsh_error": lambda s, d: vs.error_measure(_found(s, d), vs.linear_search(points(s, d), _q(s, d), K)).withColumn("error", F.round("error", 8)),
     "vector_lsh_sweep": _sweep,
 }
@@ -84,7 +86,7 @@ sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1)"""
 _SIGS = _WORDS + f""", h AS (SELECT doc_id, ('0x' || substr(md5(shingle), 1, 15))::BIGINT % {sim.PRIME} AS h FROM sets),
 sigs AS (SELECT doc_id, [{", ".join(f"min((h * {a} + {b}) % {sim.PRIME})" for a, b in sim.hash_params(HASHES))}] AS signature FROM h GROUP BY 1 UNION ALL SELECT doc_id, list_resize([]::BIGINT[], {HASHES}, {sim.PRIME}) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM sets))"""
 _CANDIDATES = _SIGS + f""", bands AS (SELECT doc_id, band, array_to_string(signature[band * {ROWS} + 1:(band + 1) * {ROWS}], ',') AS key FROM sigs, (SELECT unnest(range({BANDS})) AS band)),
-good AS (SELECT band, key FROM bands GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND {sim.BUCKET_LIMIT}),
+good AS (SELECT band, key FROM bands GROUP BY 1, 2 HAVING count(*) >= 2),
 held AS (SELECT * FROM bands SEMI JOIN good USING (band, key)),
 pairs AS (SELECT DISTINCT x.doc_id AS i, y.doc_id AS j FROM held x JOIN held y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id)"""
 _OVERLAP = _WORDS + """, common AS (SELECT x.doc_id AS i, y.doc_id AS j, count(*) AS c FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
@@ -102,7 +104,17 @@ _CANDS = lambda f: f"keys AS ({_keys_sql(f)}), cands AS (SELECT DISTINCT x.id AS
 _TOP = f"SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY dist, id) AS INT) AS rank FROM {{}} QUALIFY rank <= {K}"
 _KNN = f"{_L1}, {_CANDS(FUNCTIONS)}, found AS ({_TOP.format('(SELECT * FROM dists SEMI JOIN cands USING (q, id))')}), exact AS ({_TOP.format('dists')})"
 _ERROR = "SELECT {extra} round(avg(a / b), 8) AS error FROM (SELECT q, sum(dist) AS a FROM {found} GROUP BY q) JOIN (SELECT q, sum(dist) AS b FROM exact GROUP BY q) USING (q)"
-_SWEEP = f"WITH {_L1}, exact AS ({_TOP.format('dists')})" + "".join(f", {_CANDS(vs.hash_functions(b, t, DIMENSIONS, LOW, HIGH)).replace('keys AS', f'keys{n} AS').replace('keys x', f'keys{n} x').replace('keys y', f'keys{n} y').replace('cands AS', f'cands{n} AS')}, found{n} AS ({_TOP.format(f'(SELECT * FROM dists SEMI JOIN cands{n} USING (q, id))')})" for n, (b, t) in enumerate(SWEEP)) + " UNION ALL ".join(" " + _ERROR.format(extra=f"{b} AS bits, {t} AS tables,", found=f"found{n}") for n, (b, t) in enumerate(SWEEP))
+
+
+def _numbered(n: int, bits: int, tables: int, seed: int = 0) -> str:
+    """The search by a set of functions, its tables named by a number."""
+    cands = _CANDS(vs.hash_functions(bits, tables, DIMENSIONS, LOW, HIGH, seed)).replace("keys AS", f"keys{n} AS").replace("keys x", f"keys{n} x").replace("keys y", f"keys{n} y").replace("cands AS", f"cands{n} AS")
+    return f", {cands}, found{n} AS ({_TOP.format(f'(SELECT * FROM dists SEMI JOIN cands{n} USING (q, id))')})"
+
+
+_SWEEP = f"WITH {_L1}, exact AS ({_TOP.format('dists')})" + "".join(_numbered(n, b, t) for n, (b, t) in enumerate(SWEEP)) + " UNION ALL ".join(" " + _ERROR.format(extra=f"{b} AS bits, {t} AS tables,", found=f"found{n}") for n, (b, t) in enumerate(SWEEP))
+_TRIES = " UNION ALL ".join(f"SELECT {n} AS n, * FROM found{n}" for n in range(ATTEMPTS))
+_ROBUST = f"WITH {_L1}" + "".join(_numbered(n, BITS, TABLES, n) for n in range(ATTEMPTS)) + f", tries AS ({_TRIES}), first AS (SELECT min(n) AS n FROM (SELECT n FROM tries GROUP BY n HAVING count(*) = {K} * (SELECT count(*) FROM q))) SELECT q, id, round(dist, 8) AS dist, rank FROM tries SEMI JOIN first USING (n)"
 
 SQL = {
     "shingle_counts": f"WITH {_WORDS} SELECT * FROM sizes",
@@ -120,5 +132,6 @@ SQL = {
     "vector_lsh_knn": f"WITH {_KNN} SELECT q, id, round(dist, 8) AS dist, rank FROM found",
     "vector_exact_knn": f"WITH {_KNN} SELECT q, id, round(dist, 8) AS dist, rank FROM exact",
     "vector_lsh_error": f"WITH {_KNN} {_ERROR.format(extra='', found='found')}",
+    "vector_lsh_knn_robust": _ROBUST,
     "vector_lsh_sweep": _SWEEP,
 }
