@@ -25,15 +25,17 @@ def assign(points: DataFrame, centroids: Centroids, metric: str = "l2") -> DataF
     return _nearest_broadcast(points, centroids, metric).select("id", "c", "dist")
 
 
-def kmeans(points: DataFrame, centroids: Centroids, metric: str = "l2", iterations: int = 20) -> tuple[list[float], Centroids]:
+def kmeans(points: DataFrame, centroids: Centroids, metric: str = "l2", iterations: int | None = 20) -> tuple[list[float], Centroids]:
     """Cost of each iteration, taken with the centroids before its update, and the last centroids.
 
+    Without a number of iterations it goes on until the cost stands still.
+
     The update is the mean for both metrics; a cluster without points keeps its centroid. An iteration is one pass with
     one aggregate: sums, sizes and cost by cluster and dimension; k times the dimension rows reach the driver.
     """
     points = points.cache()
     costs, now = [], [list(map(float, c)) for c in centroids]
-    for _ in range(iterations):
+    while len(costs) != iterations and (iterations is not None or len(costs) < 2 or costs[-2] - costs[-1] > 1e-9 * costs[-2]):
         near = _nearest_broadcast(points, now, metric)
         totals = near.select("c", "dist", F.posexplode("v").alias("d", "x")).groupBy("c", "d").agg(F.avg("x").alias("mean"), F.sum("dist").alias("cost")).collect()
         costs.append(sum(sorted(r.cost for r in totals if r.d == 0)))
@@ -53,31 +55,47 @@ def first_points(points: DataFrame, k: int) -> Centroids:
 
 def farthest_first(points: DataFrame, k: int, start: int = 0) -> tuple[list[int], Centroids]:
     """Ids and vectors: each next one is the point farthest from those chosen, ties to the smaller id."""
-    points = points.cache()
-    chosen = [points.where(F.col("id") == start).first()]
-    for _ in range(k - 1):
-        near = _nearest_broadcast(points, [r.v for r in chosen], "l2")
-        chosen.append(near.orderBy(F.desc("dist"), "id").first())
+    chosen = _farther(points, [], k, start)
+    return [i for i, _ in chosen], [v for _, v in chosen]
+
+
+def _farther(points: DataFrame, chosen: list[tuple[int, list[float]]], k: int, start: int = 0) -> list[tuple[int, list[float]]]:
+    """The first ``k`` points of the order, of which some are known. A pass a point; one row reaches the driver."""
+    points, chosen = points.cache(), list(chosen)
+    while len(chosen) < k:
+        far = _nearest_broadcast(points, [v for _, v in chosen], "l2").orderBy(F.desc("dist"), "id") if chosen else points.where(F.col("id") == start)
+        r = far.first()
+        chosen.append((r.id, r.v))
     points.unpersist()
-    return [r.id for r in chosen], [r.v for r in chosen]
+    return chosen
+
 
+def choose_k(points: DataFrame, tolerance: float = 0.1, start: int = 0) -> tuple[int, dict[int, float]]:
+    """The smallest k, by doubling and then bisection, beyond which the mean distance to the centroid falls by less than ``tolerance``.
 
-def choose_k(points: DataFrame, most: int, tolerance: float = 0.1) -> tuple[int, dict[int, float]]:
-    """The smallest k, by doubling and then bisection, beyond which the mean distance falls by less than ``tolerance``."""
+    Each k is clustered from its farthest-first points until the cost stands still; k ends at the number of points. No points: 0.
+    """
+    most = points.count()
+    if most < 2:
+        return most, {}
     seen: dict[int, float] = {}
+    chosen: list[tuple[int, list[float]]] = []
 
     def spread(k: int) -> float:
+        nonlocal chosen
         if k not in seen:
-            _, c = kmeans(points, farthest_first(points, k)[1], iterations=5)
+            chosen = _farther(points, chosen, k, start)
+            _, c = kmeans(points, [v for _, v in chosen[:k]], iterations=None)
             seen[k] = assign(points, c).agg(F.avg(F.sqrt("dist"))).first()[0]
         return seen[k]
 
-    low, high = 1, 2
-    while high < most and spread(low) - spread(high) > tolerance * spread(low):
+    falls = lambda a, b: spread(a) - spread(b) > tolerance * spread(a)
+    low, high = 0, 1
+    while high < most and falls(high, min(2 * high, most)):
         low, high = high, min(2 * high, most)
-    while high - low > 1:
+    while high - low > 1:  # twice ``high`` is no better, while ``low`` is worse
         mid = (low + high) // 2
-        low, high = (mid, high) if spread(mid) - spread(high) > tolerance * spread(mid) else (low, mid)
+        low, high = (mid, high) if falls(mid, high) else (low, mid)
     return high, seen
 
 

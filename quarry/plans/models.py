@@ -116,7 +116,7 @@ QUERIES = {
     "kmeans_centroids": _centroids,
     "kmeans_pct_change": _change,
     "kmeans_farthest_init": _farthest,
-    "kmeans_choose_k": lambda s, d: s.createDataFrame(sorted((k, round(v, 6), k == best) for best, seen in [cl.choose_k(points(s, d), 16, 0.02)] for k, v in seen.items()), "k int, mean_distance double, chosen boolean"),
+    "kmeans_choose_k": lambda s, d: s.createDataFrame(sorted((k, round(v, 6), k == best) for best, seen in [cl.choose_k(points(s, d), 0.02)] for k, v in seen.items()), "k int, mean_distance double, chosen boolean"),
     "bfr_summary": lambda s, d: _round(cl.bfr_summary(_assigned(s, d)), 8, "sum", "sumsq"),
     "bfr_discard_set": lambda s, d: _round(cl.bfr_discard(points(s, d), cl.bfr_summary(_assigned(s, d))), 6, "distance"),
     "cure_assign": _cure,

@@ -164,6 +164,17 @@ def test_kmeans_ties_and_empty_clusters(spark):
     assert {r.c for r in clustering.assign(p, [[1, 0], [1, 0]]).collect()} == {0}
 
 
+def test_choose_k_finds_planted_clusters(spark):
+    r = random.Random(3)
+    rows = [(i, [100.0 * (i % 21) + r.random(), *(r.random() for _ in range(9))]) for i in range(420)]
+    best, seen = clustering.choose_k(spark.createDataFrame(rows, "id long, v array<double>"), 0.4)
+    x = np.array([v for _, v in rows])
+    assert best == 21 and {1, 2, 4, 8, 16, 32} <= set(seen)  # no largest k
+    assert seen[1] == pytest.approx(np.linalg.norm(x - x.mean(0), axis=1).mean())
+    assert seen[21] == pytest.approx(np.mean([np.linalg.norm(x[j::21] - x[j::21].mean(0), axis=1).mean() for j in range(21)]))
+    assert clustering.choose_k(spark.createDataFrame([], "id long, v array<double>")) == (0, {})
+
+
 def test_kmeans_costs_fall(spark):
     r = np.random.default_rng(0)
     p = vectors(spark, r.normal(size=(60, 3)))
