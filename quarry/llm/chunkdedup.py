@@ -10,7 +10,8 @@ surroundings, so a run of this length stands for a passage that is about 13 word
 ``LETTERS`` bytes beyond ASCII count as one more, for scripts without spaces.
 
 A row per distinct digest and document is written once and aggregated with map-side combining, and only digests that occur again
-are joined back, so a chunk that a third of all documents share is split by Spark's handling of skewed joins.
+are joined back, so a chunk that a third of all documents share is split by Spark's handling of skewed joins. What repeats and each
+document's list are tables of their own; chunks and their shuffles are deleted before the texts are shuffled to the lists.
 
 Defined results: null and empty texts stay as they are; rows with null doc_id stay as they are and lend nothing; rows
 repeated with one doc_id are one document, and each keeps its chunks' first places; all columns but text are kept.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_batches, keeps_columns, materialise, pieces, released, table, texts
+from quarry.llm.common import bounded_batches, discard, keeps_columns, materialise, pieces, released, shuffles_dropped, table, texts
 from quarry.llm.shingles import PIECE_BYTES, mix, powers
 
 SPAN = 16
@@ -152,9 +153,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = materialise(rows.where("doc_id is not null and text <> ''").mapInArrow(_rows, "doc_id long, digest long, n long"), "chunks")
-    again = chunks.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.sum("n").alias("total")).where("total > 1").select("digest", "keeper")
-    found = chunks.join(again, "digest").where("keeper <> doc_id or n > 1")
-    lists = found.groupBy(F.col("doc_id").alias("cdc_id")).agg(F.collect_list(F.when(F.col("keeper") != F.col("doc_id"), F.col("digest"))).alias("cdc_foreign"), F.collect_list(F.when(F.col("keeper") == F.col("doc_id"), F.col("digest"))).alias("cdc_own"))
+    with shuffles_dropped(docs.sparkSession):
+        again = materialise(chunks.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.sum("n").alias("total")).where("total > 1").select("digest", "keeper"), "again")
+        found = chunks.join(again, "digest").where("keeper <> doc_id or n > 1")
+        lists = materialise(found.groupBy(F.col("doc_id").alias("cdc_id")).agg(F.collect_list(F.when(F.col("keeper") != F.col("doc_id"), F.col("digest"))).alias("cdc_foreign"), F.collect_list(F.when(F.col("keeper") == F.col("doc_id"), F.col("digest"))).alias("cdc_own")), "lists")
+    discard(chunks)
+    discard(again)
     joined = docs.withColumn("text", F.col("text").cast("string")).join(lists, F.col("doc_id") == F.col("cdc_id"), "left").drop("cdc_id")
     schema = docs.withColumns({"text": F.col("text").cast("string"), "cdc_starts": F.expr("cast(null as array<bigint>)"), "cdc_ends": F.expr("cast(null as array<bigint>)"), "cdc_removed": F.expr("cast(null as bigint)")}).schema
     for f in schema.fields:

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.storage import discard, materialise, scratch, settled, shared_dir
+from quarry.storage import discard, materialise, scratch, settled, shared_dir, shuffles_dropped
 
-__all__ = ["bounded_batches", "discard", "fold", "keeps_columns", "materialise", "pieces", "released", "scratch", "settled", "shared_dir", "table", "texts", "word_count"]
+__all__ = ["bounded_batches", "discard", "fold", "keeps_columns", "materialise", "pieces", "released", "scratch", "settled", "shared_dir", "shuffles_dropped", "table", "texts", "word_count"]
 
 #: Rows of an Arrow batch, so that a batch of texts takes a few MB in the JVM and in Python.
 BATCH_ROWS = 1000

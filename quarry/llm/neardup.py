@@ -38,7 +38,7 @@ PREFIXES = (3, 5, 8)
 #: Of each MinHash value the low 16 bits are kept, which differ if the values do but for one case in 65,536.
 BYTES = 2
 REGION = 500
-#: The ids of candidates are broadcast, to pick their texts without a shuffle, up to so many (24 MB); else joined.
+#: The ids of candidates, and of documents that go, are broadcast, to pick texts without a shuffle, up to so many (24 MB); else joined.
 BROADCAST_IDS = 1_000_000
 NEIGHBOURS = 4
 PERCENT = 85
@@ -252,7 +252,8 @@ def _label(docs: DataFrame, percent: int) -> DataFrame:
 def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, in the columns of ``docs``."""
     gone = label(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

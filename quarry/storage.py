@@ -6,7 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 #: Paths of the scratch tables that the innermost ``settled`` has to delete.
 _own: ContextVar[list[str] | None] = ContextVar("own", default=None)
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,23 @@ def materialise(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, what a query shuffled goes when it ends, not when the driver happens to collect its garbage.
+
+    For tables that are written only: a frame that is collected twice looks for the files of the first time.
+    """
+    before = spark.conf.get(_DROP, None)
+    spark.conf.set(_DROP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP)
+        else:
+            spark.conf.set(_DROP, before)
+
+
 def settled(build: Callable[[], DataFrame], kind: str = "table") -> DataFrame:
     """What ``build`` returns, materialised; the scratch tables that were written for it go."""
     own: list[str] = []

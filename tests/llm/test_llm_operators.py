@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -273,6 +275,23 @@ def test_shingle_hashes_follow_the_words():
     assert a.tolist() == b.tolist() and len(a) == 2 and len(c) == 1 and len(d) == 0 and c.tolist() != e.tolist()
 
 
+def test_few_duplicates_go_without_a_shuffle_of_texts(spark, monkeypatch):
+    docs, key = frame(spark, documents()), "spark.sql.autoBroadcastJoinThreshold"
+    limit = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        few = neardup.distinct_documents(docs)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+        many = neardup.distinct_documents(docs)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        kept = sorted(x.doc_id for x in few.collect())
+        assert kept == sorted(x.doc_id for x in many.collect()) and 5 not in kept and 4 in kept
+    finally:
+        spark.conf.set(key, limit)
+
+
 # 4 context-tree weighting
 
 
@@ -864,6 +883,25 @@ def test_chunk_dedup_resists_insertions(spark):
     assert got[2].cdc_removed > 0.8 * len(passage) and got[1].cdc_removed == 0 and got[None].text == passage
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [f for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")]
+
+
+def test_chunk_dedup_keeps_only_the_lists_while_texts_move(spark):
+    on_disk = lambda: {f.getName() for f in shuffle_files(spark)}
+    shared, before = spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), on_disk()
+    tables = set(os.listdir(shared))
+    out = chunkdedup.dedup(frame(spark, documents()))
+    new = {x.partition("-")[0] for x in set(os.listdir(shared)) - tables}
+    assert new == {"lists"}
+    until = time.time() + 30
+    while (left := on_disk() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert out.count() == out.count() == len(documents())
+
+
 # the pipeline
 
 
