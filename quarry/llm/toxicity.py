@@ -10,7 +10,8 @@ The inverted index holds the examples in blocks of ``BLOCK``, like next to like.
 and those of the ``HEAD`` terms that most examples have are a row of weights for each block, with the block's largest weight.
 A query adds up its rare terms; with the largest weights of the others, this bounds what any example of a block can reach.
 The blocks of the largest bounds are scored first, and those whose bound is below the k-th best so far can't hold one of the k
-nearest, so these are exact. Queries go together so that a block is one product with all of them that need it.
+nearest, so these are exact. Queries go together so that a block is one product with all of them that need it; rare terms are
+added up a query at a time.
 
 Votes of circles of the nearest are weighted by closeness and the sampling of the labels is
 undone by weights. A text of over ``PART_WORDS`` words is looked up as a whole and in parts of about so many, as one vile passage says
@@ -161,16 +162,26 @@ class Model:
             size = min(GROUP, n - g * GROUP)
             yield from self._group(query[a:b] - g * GROUP, term[a:b], weight[a:b], size, k, None if without is None else without[g * GROUP : g * GROUP + size])
 
+    def _rare(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """(n, places) sums over terms outside the head, a query at a time: what one needs in between fits a core's cache."""
+        out = np.empty((n, len(self.head) * BLOCK))
+        many = self.start[term + 1] - self.start[term]
+        end = np.append(0, np.cumsum(many))
+        shift, wide = self.start[term] - end[:-1], weight.astype(np.float64)
+        edge = np.searchsorted(query, np.arange(n + 1))
+        for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            at = np.repeat(shift[a:b], many[a:b])
+            at += np.arange(end[a], end[b])
+            out[i] = np.bincount(self.place[at], self.value[at] * np.repeat(wide[a:b], many[a:b]), out.shape[1])
+        return out
+
     def _group(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, without: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         blocks = len(self.head)
         row = self.row[term]
         own = row >= 0
         q = np.zeros((n, self.head.shape[1]), np.float32)
         q[query[own], row[own]] = weight[own]
-        t = term[~own]
-        many = self.start[t + 1] - self.start[t]
-        at = np.repeat(self.start[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        cos = np.bincount(np.repeat(query[~own] * (blocks * BLOCK), many) + self.place[at], self.value[at] * np.repeat(weight[~own], many), n * blocks * BLOCK).reshape(n, blocks, BLOCK)
+        cos = self._rare(query[~own], term[~own], weight[~own], n).reshape(n, blocks, BLOCK)
         bound = cos.max(2) + q @ self.most + SLACK
         done = np.zeros((n, blocks), bool)
         exact = np.zeros((n, blocks, BLOCK))
@@ -200,9 +211,10 @@ class Model:
 
     def votes(self, ids: np.ndarray, cos: np.ndarray) -> np.ndarray:
         """Log-odds of label 1 from distance-weighted votes of each circle of neighbours and the prior."""
-        w = cos.astype(np.float64) ** 2 * self.weight[ids]
-        both = np.cumsum(np.append(0, w)), np.cumsum(np.append(0, w * self.labels[ids]))
-        every, ones = (x[np.minimum(self.circles, len(ids))] for x in both)
+        w = np.zeros((2, len(ids) + 1))
+        w[0, 1:] = cos.astype(np.float64) ** 2 * self.weight[ids]
+        w[1, 1:] = w[0, 1:] * self.labels[ids]
+        every, ones = np.cumsum(w, axis=1)[:, np.minimum(self.circles, len(ids))]
         one = ones + PRIOR_WEIGHT * self.prior
         return np.log(one / (every + PRIOR_WEIGHT - one))
 
@@ -267,7 +279,7 @@ def build(terms: Vocabulary, df: np.ndarray, n_docs: int, ids: np.ndarray, label
     at = np.empty(size, np.int32)
     at[order] = np.arange(size)
     by = np.argsort(word[~dense], kind="stable")
-    model.place, model.value = at[place[~dense]][by].astype(np.int64), value[~dense][by].astype(np.float64)
+    model.place, model.value = at[place[~dense]][by], value[~dense][by]
     model.start = np.concatenate([[0], np.cumsum(np.bincount(word[~dense], minlength=len(terms)))])
     model.labels, model.ids = labels[order], ids[order]
     seen = np.bincount(labels, minlength=2)

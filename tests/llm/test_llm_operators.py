@@ -5,6 +5,7 @@ import os
 import random
 import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -464,6 +465,29 @@ def test_nearest_examples_are_exact(monkeypatch, head):
             assert not len(places) or places[0] not in others
 
 
+def test_nearest_examples_take_the_postings_of_one_query_at_a_time(monkeypatch):
+    monkeypatch.setattr(toxicity, "HEAD", 0)
+    r = np.random.default_rng(1)
+    names = [f"t{i}".encode() for i in range(300)]
+    texts = [b" ".join(r.choice(names, 150)) for _ in range(600)]
+    vocabulary = toxicity.Vocabulary(np.unique(toxicity.term_hashes(names)[0][:, 0]))
+    labels = np.arange(len(texts)) % 2
+    model = toxicity.build(vocabulary, np.full(300, 9.0), 300, np.arange(len(texts)), labels, vocabulary.count(texts)[1:], {0: 0.5, 1: 0.5})
+    asked = [b" ".join(r.permutation(names)) for _ in range(toxicity.GROUP - 1)] + [b""]
+    _, query, term, count = vocabulary.count(asked)
+    weights = model.weights(query, term, count, len(asked))
+    postings = int(np.diff(model.start)[term].sum())  # of the group
+    tracemalloc.start()
+    found = list(model.nearest(query, term, weights, len(asked), 9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert postings > 5_000_000 and peak < 2 * postings
+    for i in (0, 50, len(asked) - 2, len(asked) - 1):  # as if asked alone
+        own = query == i
+        ((places, cos),) = model.nearest(query[own] - i, term[own], weights[own], 1, 9)
+        assert places.tolist() == found[i][0].tolist() and cos.tolist() == found[i][1].tolist()
+
+
 def test_counts_of_parts():
     texts = [b"a b c d e f g", b"", b"nothing here", b"longword longwords a"]
     vocabulary = toxicity.Vocabulary(np.unique(toxicity.term_hashes([b"a b c d e f g longword"])[0])[1:])
