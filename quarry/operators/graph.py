@@ -58,24 +58,41 @@ def _nodes(edges: DataFrame) -> tuple[DataFrame, int]:
     return edges.sparkSession.range(1, n + 1).select(F.col("id").alias("node")), n
 
 
+def _held(links: DataFrame, near: str) -> DataFrame:
+    """Links (src, dst, w) kept in the executors by their end ``near``, in as many partitions as an aggregate has."""
+    return links.repartition(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), near).cache()
+
+
+def _passed(scores: DataFrame, held: DataFrame, near: str, far: str) -> DataFrame:
+    """(node, x): sums at ``far`` of x times w. Scores lie by node as the links do by ``near``, so only what arrives at ``far``
+    is shuffled. The scores are the hashed side, never a broadcast: the size of a compressed table says little about its rows."""
+    return scores.hint("shuffle_hash").join(held, F.col("node") == F.col(near)).groupBy(F.col(far).alias("node")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+
+
+def _links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, w): the edges, and each node with itself at weight 0, so that every node is in every sum."""
+    return edges.select("src", "dst", F.lit(1.0).alias("w")).unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w")))
+
+
 def pagerank(edges: DataFrame, beta: float = 0.8, iterations: int = 40, redistribute: bool = False) -> DataFrame:
     """(node, score). Without ``redistribute``, the rank of nodes without successors leaks."""
+    edges = materialise(edges, "edges")
     nodes, n = _nodes(edges)
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
-    degree = edges.groupBy(F.col("src").alias("s")).agg(F.count(F.lit(1)).alias("degree"))
-    out = materialise(edges.join(degree, F.col("src") == F.col("s")).select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("w")), "links").cache()
-    rank = nodes.withColumn("score", F.lit(1.0 / n))
+    degree = F.sum("w").over(Window.partitionBy("src"))
+    links = materialise(_links(edges, nodes).withColumn("w", F.coalesce(F.try_divide(F.col("w"), degree), F.lit(0.0))), "links")
+    out = _held(links, "src")
+    rank = nodes.withColumn("x", F.lit(1.0 / n))
     for step in range(iterations):
-        got = rank.join(out, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        rank = nodes.join(got, F.col("node") == F.col("to"), "left").select("node", (F.lit((1 - beta) / n) + beta * F.coalesce("got", F.lit(0.0))).alias("score"))
+        rank = _passed(rank, out, "src", "dst").select("node", (F.lit((1 - beta) / n) + beta * F.col("x")).alias("x"))
         if redistribute:
-            lost = rank.agg(((1 - F.sum("score")) / n).alias("lost"))
-            rank = rank.crossJoin(F.broadcast(lost)).select("node", (F.col("score") + F.col("lost")).alias("score"))  # one row
+            lost = rank.agg(((1 - F.sum("x")) / n).alias("lost"))
+            rank = rank.crossJoin(F.broadcast(lost)).select("node", (F.col("x") + F.col("lost")).alias("x"))  # one row
         if step % CUT_EVERY == CUT_EVERY - 1 or step == iterations - 1:
             rank = materialise(rank, "rank")
     out.unpersist()
-    return rank
+    return rank.select("node", F.col("x").alias("score"))
 
 
 def hits(edges: DataFrame, iterations: int = 40) -> DataFrame:
@@ -83,28 +100,26 @@ def hits(edges: DataFrame, iterations: int = 40) -> DataFrame:
 
     Scaling commutes with the steps, so it is done where lineage is cut and at the end, not in every step.
     """
+    edges = materialise(edges, "edges")
     nodes, n = _nodes(edges)
-    edges = materialise(edges, "links").cache()
+    links = materialise(_links(edges, nodes), "links")
+    out, into = _held(links, "src"), _held(links, "dst")
 
-    def step(score: DataFrame, near: str, far: str) -> DataFrame:
-        """Sums over the neighbours: of the scores at ``near`` into ``far``."""
-        return score.join(edges, F.col("node") == F.col(near)).groupBy(F.col(far).alias("node")).agg(F.sum("x").alias("x"))
+    def scaled(score: DataFrame, kind: str) -> DataFrame:
+        score = materialise(score, kind)
+        most = score.agg(F.max("x").alias("most")).first().most
+        return score.select("node", (F.col("x") / most).alias("x")) if most else score
 
-    def scaled(score: DataFrame) -> DataFrame:
-        most = score.agg(F.max("x").alias("most"))
-        return score.crossJoin(F.broadcast(most)).select("node", F.try_divide("x", "most").alias("x"))  # one row
-
-    hub, authority = nodes.withColumn("x", F.lit(1.0)), None
+    hub, authority = nodes.withColumn("x", F.lit(1.0)), nodes.withColumn("x", F.lit(0.0))
     for i in range(iterations):
-        authority = step(hub, "src", "dst")
-        if i % CUT_EVERY == CUT_EVERY - 1 or i == iterations - 1:
-            authority = materialise(scaled(authority), "authority")
-        hub = step(authority, "dst", "src")
-        if i % CUT_EVERY == CUT_EVERY - 1 or i == iterations - 1:
-            hub = materialise(scaled(hub), "hub")
-    edges.unpersist()
-    every = nodes.join(hub.withColumnRenamed("x", "hub"), "node", "left").join(authority.withColumnRenamed("x", "authority"), "node", "left")
-    return every.select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority"))
+        cut = i % CUT_EVERY == CUT_EVERY - 1 or i == iterations - 1
+        authority = _passed(hub, out, "src", "dst")
+        authority = scaled(authority, "authority") if cut else authority
+        hub = _passed(authority, into, "dst", "src")
+        hub = scaled(hub, "hub") if cut else hub
+    out.unpersist()
+    into.unpersist()
+    return hub.withColumnRenamed("x", "hub").join(authority.withColumnRenamed("x", "authority"), "node")
 
 
 def top(scores: DataFrame, column: str = "score", k: int = 5) -> DataFrame:

@@ -23,10 +23,16 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_number") -> DataF
 
 
 def with_next(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the value of the next row in a total order, null in the last row."""
-    rows = materialise(numbered(df, order, "place"), "numbered")
-    later = rows.select((F.col("place") - 1).alias("place"), F.col(value).alias(name))
-    return rows.join(later, "place", "left").drop("place")
+    """``df`` with the value of the next row in a total order, null in the last row.
+
+    As in ``numbered``, rows are dealt by ranges; the last row of each takes the first value of the range after it.
+    """
+    ranged = materialise(df.repartitionByRange(*order).withColumn("range_id", F.spark_partition_id()), "ranged")
+    first = ranged.groupBy("range_id").agg(F.min(F.struct(*order, F.col(value).alias("_first"))).getField("_first").alias("_first"))
+    after = F.broadcast(first.select("range_id", F.lead("_first").over(Window.orderBy("range_id")).alias("_after")))  # a row per partition
+    own = Window.partitionBy("range_id").orderBy(*order)
+    rows = ranged.withColumn(name, F.lead(value).over(own)).withColumn("_inner", F.lead(F.lit(True)).over(own))
+    return rows.join(after, "range_id").withColumn(name, F.when(F.col("_inner"), F.col(name)).otherwise(F.col("_after"))).drop("range_id", "_inner", "_after")
 
 
 def spread(df: DataFrame) -> DataFrame:
