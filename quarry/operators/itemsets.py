@@ -15,6 +15,11 @@ from quarry.storage import materialise
 
 #: A bitmap of so many buckets at most (8 MB) is broadcast.
 BROADCAST_BUCKETS = 1_000_000
+#: So many counted itemsets at most are broadcast.
+BROADCAST_SETS = 100_000
+#: Levels of itemsets that are grown anew from the baskets, before what has grown is written.
+CUT_LEVELS = 6
+
 
 def basket_count(baskets: DataFrame) -> int:
     return baskets.select("basket").distinct().count()
@@ -76,19 +81,46 @@ def join_level(level: DataFrame, k: int) -> DataFrame:
     return kept.where(F.col("n") == k).select("itemset")
 
 
+def gathered(baskets: DataFrame) -> DataFrame:
+    """(basket, itemset, rest): a row per basket, with an empty itemset and the items in order that may extend it."""
+    rows = baskets.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("rest"))
+    return rows.select("basket", F.slice("rest", 1, 0).alias("itemset"), "rest")
+
+
+def _longer(grown: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, itemset, rest): each itemset extended by each item of its rest, with what comes after that. Nothing is joined."""
+    one = grown.select(*keys, "itemset", "rest", F.posexplode("rest").alias("p", "item"))
+    return one.select(*keys, F.concat("itemset", F.array("item")).alias("itemset"), F.slice("rest", F.col("p") + 2, F.size("rest")).alias("rest"))
+
+
+def _within(rows: DataFrame, sets: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The rows whose itemset is among ``sets``, of which there are n; broadcast only if these are few."""
+    on = [*keys, "itemset"]
+    return rows.join(F.broadcast(sets.select(*on)) if n <= BROADCAST_SETS else sets.select(*on).hint("merge"), on, "left_semi")
+
+
+def _pruned(rows: DataFrame, ones: DataFrame, n: int) -> DataFrame:
+    """Gathered baskets without the items that aren't among the n itemsets ``ones`` of one item."""
+    items = _within(rows.select("basket", F.explode("rest").alias("item")).withColumn("itemset", F.array("item")), ones, n)
+    return materialise(gathered(items.select("basket", "item")), "held")
+
+
 def apriori(baskets: DataFrame, min_count: float, max_k: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
     """(itemset, size, count) of all frequent itemsets, level by level, and (level, candidates, frequent) of each level.
 
-    Of each basket, the frequent sets of the last size are kept and extended by a later frequent item, so a level's
-    counting touches no set with an infrequent beginning.
+    In each basket, the frequent sets of the last size are extended by a later frequent item, so a level's counting touches
+    no set with an infrequent beginning. Baskets are gathered once, and only counts are shuffled.
     """
-    counts = item_counts(baskets)
-    levels = [(1, counts.count(), 0)]
-    level = materialise(_frequent(counts, min_count).select(F.array("item").alias("itemset"), F.lit(1).alias("size"), "count"), "level")
-    levels[0] = (1, levels[0][1], level.count())
+    return _mined(materialise(gathered(baskets), "gathered"), min_count, max_k)
+
+
+def _mined(rows: DataFrame, min_count: float, max_k: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """``apriori`` of gathered baskets."""
+    counts = materialise(_longer(rows).groupBy("itemset").agg(F.count("*").alias("count")), "counts")
+    level = materialise(_frequent(counts, min_count).select("itemset", F.lit(1).alias("size"), "count"), "level")
+    levels = [(1, counts.count(), level.count())]
     found, k = level, 1
-    held = materialise(baskets.join(level.select(F.col("itemset")[0].alias("item")), "item", "left_semi").select("basket", "item"), "held")
-    grown = held.select("basket", F.array("item").alias("itemset"))
+    grown = _longer(_pruned(rows, level, levels[0][2]) if levels[0][2] < levels[0][1] else rows)
     while levels[-1][2] and (max_k is None or k < max_k):
         k += 1
         wanted = materialise(join_level(level, k), "candidates")
@@ -96,12 +128,14 @@ def apriori(baskets: DataFrame, min_count: float, max_k: int | None = None) -> t
         if not n:
             levels.append((k, 0, 0))
             break
-        longer = grown.join(held, "basket").where(F.col("item") > F.element_at("itemset", -1)).select("basket", F.concat("itemset", F.array("item")).alias("itemset"))
-        counts = longer.join(wanted, "itemset", "left_semi").groupBy("itemset").agg(F.count("*").alias("count"))
+        longer = _longer(grown)
+        counts = _within(longer, wanted, n).groupBy("itemset").agg(F.count("*").alias("count"))
         level = materialise(_frequent(counts, min_count).select("itemset", F.lit(k).alias("size"), "count"), "level")
         levels.append((k, n, level.count()))
         found = found.unionByName(level)
-        grown = materialise(longer.join(level.select("itemset"), "itemset", "left_semi"), "grown")
+        grown = _within(longer, level, levels[-1][2])
+        if k % CUT_LEVELS == 0:
+            grown = materialise(grown, "grown")
     return found, levels
 
 
@@ -158,9 +192,10 @@ def keyed(baskets: DataFrame) -> tuple[DataFrame, int]:
 
 
 def pair_rows(rows: DataFrame, n: int) -> DataFrame:
-    """(a, b, key) for each two items a < b of a basket, with the key that the bucket functions take. Nothing is grouped."""
-    x, y = (rows.select("basket", F.col("item").alias(c), F.col("id").alias(f"i{c}")) for c in "ab")
-    return x.join(y, "basket").where("a < b").select("a", "b", (F.col("ia") * n + F.col("ib")).alias("key"))
+    """(a, b, key) for each two items a < b of a basket, with the key that the bucket functions take. Nothing is joined."""
+    one = rows.groupBy("basket").agg(F.sort_array(F.collect_list(F.struct("item", "id"))).alias("r")).select("r", F.posexplode("r").alias("p", "x"))
+    two = one.select("x", F.explode(F.slice("r", F.col("p") + 2, F.size("r"))).alias("y"))
+    return two.select(F.col("x.item").alias("a"), F.col("y.item").alias("b"), (F.col("x.id") * n + F.col("y.id")).alias("key"))
 
 
 def hashed_pairs(baskets: DataFrame) -> tuple[DataFrame, int]:
@@ -245,24 +280,28 @@ def son(baskets: DataFrame, min_support: float, n_chunks: int = 10, max_k: int |
     """Frequent itemsets by mining all chunks at once, then counting the union of what is frequent in some chunk; and
     (chunk, rows, local_frequent, max_k). Levels are mined for all chunks together: the chunk is a part of every key.
     """
-    rows = materialise(chunked(baskets, n_chunks), "chunks")
-    sizes = materialise(rows.groupBy("chunk").agg(F.count_distinct("basket").alias("rows")), "sizes")
-    n = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first().n
-    local, grown, k = None, None, 0
+    placed = materialise(numbered(gathered(baskets), ["basket"], "place"), "places")
+    n = placed.count()
+    rows = placed.withColumn("chunk", F.floor((F.col("place") - 1) / max(1, -(-n // n_chunks))).cast("int"))
+    sizes = materialise(rows.groupBy("chunk").agg(F.count("*").alias("rows")), "sizes")
+    local, grown, k = None, rows, 0
     while max_k is None or k < max_k:
         k += 1
-        longer = rows.select("chunk", "basket", F.array("item").alias("itemset")) if k == 1 else grown.join(rows, ["chunk", "basket"]).where(F.col("item") > F.element_at("itemset", -1)).select("chunk", "basket", F.concat("itemset", F.array("item")).alias("itemset"))
-        counts = longer.groupBy("chunk", "itemset").agg(F.count("*").alias("count")).join(sizes, "chunk")
+        longer = _longer(grown, "chunk")
+        counts = longer.groupBy("chunk", "itemset").agg(F.count("*").alias("count")).join(F.broadcast(sizes), "chunk")  # a row per chunk
         level = materialise(counts.where(F.col("count") >= F.lit(min_support) * F.col("rows")).select("chunk", "itemset", F.lit(k).alias("size")), "local")
-        if level.isEmpty():
+        m = level.count()
+        if not m:
             break
         local = level if local is None else local.unionByName(level)
-        grown = materialise(longer.join(level, ["chunk", "itemset"], "left_semi"), "grown")
+        grown = _within(longer, level, m, "chunk")
+        if k % CUT_LEVELS == 0:
+            grown = materialise(grown, "grown")
     if local is None:
         empty = rows.sparkSession.createDataFrame([], "itemset array<string>, size int, count long")
         return empty, sizes.select("chunk", "rows", F.lit(0).cast("long").alias("local_frequent"), F.lit(0).alias("max_k"))
     stats = sizes.join(local.groupBy("chunk").agg(F.count("*").alias("local_frequent"), F.max("size").alias("max_k")), "chunk", "left").select("chunk", "rows", F.coalesce("local_frequent", F.lit(0)).cast("long").alias("local_frequent"), F.coalesce("max_k", F.lit(0)).alias("max_k"))
-    return _frequent(count_itemsets(baskets, local.select("itemset").distinct()), min_support * n), stats
+    return _frequent(_counted_sets(rows, local.select("itemset").distinct()), min_support * n), stats
 
 
 def count_itemsets(baskets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -270,16 +309,22 @@ def count_itemsets(baskets: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Baskets are extended only along beginnings of wanted sets.
     """
+    return _counted_sets(materialise(gathered(baskets), "gathered"), wanted)
+
+
+def _counted_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``count_itemsets`` of gathered baskets."""
     wanted = materialise(wanted.select("itemset", F.size("itemset").alias("size")), "wanted")
     most = wanted.agg(F.max("size").alias("m")).first().m or 0
-    out, grown = None, None
+    out, grown, n = None, rows, wanted.count()
     for k in range(1, most + 1):
         starts = wanted.where(F.col("size") >= k).select(F.slice("itemset", 1, k).alias("itemset")).distinct()
-        longer = baskets.select("basket", F.array("item").alias("itemset")) if k == 1 else grown.join(baskets, "basket").where(F.col("item") > F.element_at("itemset", -1)).select("basket", F.concat("itemset", F.array("item")).alias("itemset"))
-        grown = materialise(longer.join(starts, "itemset", "left_semi"), "grown")
-        counts = grown.join(wanted.where(F.col("size") == k), "itemset", "left_semi").groupBy("itemset").agg(F.count("*").alias("count")).select("itemset", F.lit(k).alias("size"), "count")
+        grown = _within(_longer(grown), starts, n)
+        if k % CUT_LEVELS == 0:
+            grown = materialise(grown, "grown")
+        counts = _within(grown, wanted.where(F.col("size") == k), n).groupBy("itemset").agg(F.count("*").alias("count")).select("itemset", F.lit(k).alias("size"), "count")
         out = counts if out is None else out.unionByName(counts)
-    return out if out is not None else baskets.sparkSession.createDataFrame([], "itemset array<string>, size int, count long")
+    return out if out is not None else rows.sparkSession.createDataFrame([], "itemset array<string>, size int, count long")
 
 
 def negative_border(found: DataFrame, universe: DataFrame) -> DataFrame:
@@ -304,14 +349,15 @@ def toivonen(baskets: DataFrame, min_support: float, fraction: float = 0.2, lowe
 
     Also (attempt, factor, sample, sample_frequent, border, border_hits) of each attempt.
     """
-    n, universe, attempts = basket_count(baskets), materialise(baskets.select("item").distinct(), "universe"), []
+    rows = materialise(gathered(baskets), "gathered")
+    n, universe, attempts = rows.count(), materialise(rows.select(F.explode("rest").alias("item")).distinct(), "universe"), []
     for i in range(max_attempts):
-        sample = materialise(sampled(baskets, fraction, f"toivonen-{i}"), "sample")
-        size = basket_count(sample)
-        local, _ = apriori(sample, lower * min_support * size, max_k)
+        sample = materialise(sampled(rows, fraction, f"toivonen-{i}"), "sample")
+        size = sample.count()
+        local, _ = _mined(sample, lower * min_support * size, max_k)
         border = materialise(negative_border(local, universe), "border")
         wanted = local.select("itemset", F.lit(False).alias("edge")).unionByName(border.select("itemset", F.lit(True).alias("edge")))
-        counts = materialise(count_itemsets(baskets, wanted.select("itemset")).join(wanted, "itemset"), "counts")
+        counts = materialise(_counted_sets(rows, wanted.select("itemset")).join(wanted, "itemset"), "counts")
         bad = counts.where("edge").where(F.col("count") >= F.lit(float(min_support * n))).count()
         attempts.append((i + 1, lower, size, local.count(), border.count(), bad))
         if not bad:

@@ -29,9 +29,9 @@ def dead_end_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(basket, item): the brands in each order."""
+    """(basket, item): the brands in each order. They are dealt by basket, so that what is gathered by basket isn't dealt again."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("basket"), "l_partkey")
-    return lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item")), "l_partkey").select("basket", "item").distinct()
+    return lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item")), "l_partkey").select("basket", "item").repartition("basket").distinct()
 
 
 BASKETS = "baskets AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey)"

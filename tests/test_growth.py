@@ -1,8 +1,11 @@
 """What a query moves, broadcasts and repeats as its tables grow, seen in its plans and on small cases."""
 
+from collections import Counter
+from itertools import combinations
+
 import pytest
 
-from quarry.operators import graph
+from quarry.operators import graph, itemsets
 
 
 @pytest.fixture
@@ -35,3 +38,29 @@ def test_a_step_shuffles_only_what_arrives(ring, planned, run):
     run(ring, iterations=8).collect()
     deep = max(plans, key=len).split("InMemoryRelation")[0]
     assert deep.count("Exchange") <= 17
+
+
+@pytest.fixture
+def bought(spark):
+    rows = [(b, f"i{(b * p + p) % 11:02}") for b in range(60) for p in range(1, 5)]
+    return spark.createDataFrame(sorted(set(rows)), "basket long, item string")
+
+
+@pytest.mark.parametrize("run", [lambda b: itemsets.toivonen(b, 0.05, 0.6, 0.5)[0], lambda b: itemsets.son(b, 0.05)[1], lambda b: itemsets.apriori(b, 4)[0]])
+def test_mining_joins_no_baskets(bought, planned, run):
+    plans = planned(itemsets)
+    run(bought).collect()
+    assert any("Generate posexplode" in p for p in plans)
+    assert not any("basket#" in line.split("Join")[1] for p in plans for line in p.splitlines() if "Join" in line)
+
+
+def test_mining_equals_brute_force_over_several_cuts(bought, monkeypatch):
+    monkeypatch.setattr(itemsets, "CUT_LEVELS", 1)
+    monkeypatch.setattr(itemsets, "BROADCAST_SETS", 0)
+    held = {}
+    for r in bought.collect():
+        held.setdefault(r.basket, []).append(r.item)
+    counts = Counter(c for items in held.values() for k in range(1, 5) for c in combinations(sorted(items), k))
+    want = {s: c for s, c in counts.items() if c >= 4}
+    for found in (itemsets.apriori(bought, 4)[0], itemsets.son(bought, 4 / 60, 3)[0], itemsets.count_itemsets(bought, itemsets.apriori(bought, 4)[0])):
+        assert {tuple(r.itemset): r["count"] for r in found.collect()} == want
