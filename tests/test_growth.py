@@ -1,11 +1,12 @@
 """What a query moves, broadcasts and repeats as its tables grow, seen in its plans and on small cases."""
 
+import random
 from collections import Counter
 from itertools import combinations
 
 import pytest
 
-from quarry.operators import graph, itemsets
+from quarry.operators import graph, itemsets, vector_search
 
 
 @pytest.fixture
@@ -64,3 +65,31 @@ def test_mining_equals_brute_force_over_several_cuts(bought, monkeypatch):
     want = {s: c for s, c in counts.items() if c >= 4}
     for found in (itemsets.apriori(bought, 4)[0], itemsets.son(bought, 4 / 60, 3)[0], itemsets.count_itemsets(bought, itemsets.apriori(bought, 4)[0])):
         assert {tuple(r.itemset): r["count"] for r in found.collect()} == want
+
+
+@pytest.fixture
+def cloud(spark):
+    r = random.Random(1)
+    return spark.createDataFrame([(i, [r.uniform(-1, 1) for _ in range(4)] if i % 9 else [0.5] * 4) for i in range(70)], "id long, v array<double>")
+
+
+def test_vector_searches_meet_in_blocks_with_right_results(spark, cloud, monkeypatch):
+    for name, size in {"QUERY_BLOCK": 3, "ROW_BLOCK": 10, "PAIR_QUERIES": 4, "PAIR_ROWS": 9, "TILE_QUERIES": 2, "TILE_ROWS": 4}.items():
+        monkeypatch.setattr(vector_search, name, size)
+    v, q = {r.id: r.v for r in cloud.collect()}, spark.range(0, 70, 9).toDF("q")
+    hashed = vector_search.keys(cloud, vector_search.hash_functions(3, 2, 4, -0.5, 0.5))
+    own, kept = {}, {}
+    for r in hashed.collect():
+        own.setdefault(r.id, set()).add((r.l, r.key))
+    far = {(a, b): sum(abs(x - y) for x, y in zip(v[a], v[b], strict=True)) for a in range(0, 70, 9) for b in v if a != b}
+    near = {p for p in far if own[p[0]] & own[p[1]]}
+    for n, pairs in enumerate((far, near)):
+        for a in range(0, 70, 9):
+            for rank, (d, b) in enumerate(sorted((far[p], p[1]) for p in pairs if p[0] == a)[:3], 1):
+                kept[n, a, b] = (d, rank)
+    got = vector_search.searches(cloud, [None, hashed], q, 3)
+    assert {(r.n, r.q, r.id): (r.dist, r["rank"]) for r in got.collect()} == kept
+    assert sorted(map(tuple, vector_search.candidates(hashed, q).collect())) == sorted(near)
+    every = vector_search.distances(cloud, q, 8)
+    assert {(r.q, r.id): r.dist for r in every.collect()} == {p: round(d, 8) for p, d in far.items()}
+    assert "Window" not in every._jdf.queryExecution().executedPlan().toString()
