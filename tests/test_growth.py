@@ -4,9 +4,10 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
-from quarry.operators import graph, itemsets, vector_search
+from quarry.operators import graph, itemsets, recommend, vector_search
 
 
 @pytest.fixture
@@ -93,3 +94,16 @@ def test_vector_searches_meet_in_blocks_with_right_results(spark, cloud, monkeyp
     every = vector_search.distances(cloud, q, 8)
     assert {(r.q, r.id): r.dist for r in every.collect()} == {p: round(d, 8) for p, d in far.items()}
     assert "Window" not in every._jdf.queryExecution().executedPlan().toString()
+
+
+def test_waves_keep_the_order_of_each_user_and_item():
+    r = random.Random(2)
+    pairs = sorted({(r.randrange(40), r.randrange(15)) for _ in range(300)})
+    us, its = np.array(pairs).T
+    order, cuts = recommend.waves(us, its)
+    assert sorted(order) == list(range(len(us))) and len(cuts) - 1 < len(us) / 3
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        assert len(set(us[order[a:b]])) == len(set(its[order[a:b]])) == b - a
+    for ids in (us, its):
+        for x in set(ids):
+            assert list(order[ids[order] == x]) == sorted(order[ids[order] == x])
