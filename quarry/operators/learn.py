@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.vectors import dot
-
 #: A descent without a number of steps fails after so many, rather than to end early.
 GUARD = 100_000
 #: Rows of a descent's partition at least, as its passes are many and light.
@@ -32,7 +32,12 @@ def singular_values(rows: DataFrame) -> list[tuple[int, float, float]]:
 
 
 def _margin(w: list[float], b: float) -> Column:
-    return F.col("y") * (dot(F.col("x"), F.array(*map(F.lit, w))) + F.lit(b))
+    return F.col("y") * (_product([F.lit(v) for v in w]) + F.lit(b))
+
+
+def _product(w: list[Column]) -> Column:
+    """x times w in the order of dimensions, as plain sums, which are compiled; functions over arrays are not."""
+    return reduce(lambda a, d: a + F.col("x")[d] * w[d], range(len(w)), F.lit(0.0))
 
 
 def svm_cost(rows: DataFrame, w: list[float], b: float, c: float = 100.0) -> DataFrame:
@@ -54,15 +59,16 @@ def descend(rows: DataFrame, dim: int, eta: float, epsilon: float, c: float = 10
     Batches are cyclic slices of rows (place, x, y), place from 0 in a fixed order; None takes all rows. Stops when the
     change of cost in percent, halved with the one before if ``averaged``, is under ``epsilon``, or after ``most`` steps; without ``most``, an error says so if it hasn't after ``GUARD`` steps.
     A step is one pass with one aggregate: the cost over all rows, and over the next slice the gradient at the same weights.
-    Weights and slices go in as constant arrays, so that all steps share their generated code.
+    Weights and slices go in as constant arrays, read at places that only the rows know, so that all steps share their generated code.
     """
     n = rows.count()
     size = max(1, n if batch_size is None else batch_size)
     slices = max(1, -(-n // size))
-    held = rows.select("y", F.concat("x", F.array(F.lit(1.0))).alias("x"), F.floor(F.col("place") / size).alias("slice")).coalesce(max(1, -(-n // PARTITION_ROWS))).cache()
+    held = rows.select("y", F.concat("x", F.array(F.lit(1.0))).alias("x"), F.floor(F.col("place") / size).alias("slice"), F.lit(0).alias("zero")).coalesce(max(1, -(-n // PARTITION_ROWS))).cache()
 
     def over(w: list[float], part: int) -> tuple[float, list[float]]:
-        margin = F.col("y") * dot(F.col("x"), F.array(*map(F.lit, w)))
+        weights = F.array(*map(F.lit, w))
+        margin = F.col("y") * _product([weights[F.col("zero") + d] for d in range(dim + 1)])
         mine = F.when((margin < 1) & F.array_contains(F.array(F.lit(part).cast("long")), F.col("slice")), -F.col("y"))
         sums = held.agg(F.coalesce(F.sum(F.greatest(F.lit(0.0), 1 - margin)), F.lit(0.0)), *(F.coalesce(F.sum(mine * F.col("x")[d]), F.lit(0.0)) for d in range(dim + 1))).first()
         return sum(v * v for v in w[:-1]) / 2 + c * sums[0], [c * g + (w[d] if d < dim else 0.0) for d, g in enumerate(sums[1:])]

@@ -12,8 +12,9 @@ from quarry.operators import learn
 from quarry.operators import recommend as rec
 from quarry.operators import sketch as sk
 from quarry.operators import summaries as su
-from quarry.operators.order import numbered
+from quarry.operators.order import numbered, spread
 from quarry.plans.tables import DIMS, RATINGS, UTILITY, WORDS, points, ratings, table, utility, words
+from quarry.storage import materialise
 
 K, ITERATIONS = 10, 20
 USER, ITEMS = 99, 100
@@ -63,14 +64,20 @@ def _cure(spark, sf_dir):
     return cl.cure_assign(points(spark, sf_dir), cl.cure_representatives(sample))
 
 
-def svm_rows(spark, sf_dir):
-    """(place, x, y); places are a permutation by hash, so that slices are mini-batches."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+def svm_features(spark, sf_dir):
+    """(doc_id, x, y). Texts are read once, and what is counted in them is joined, not they."""
     n = F.length("text")
-    raw = docs.select("doc_id", (2.0 * F.col("quality") - 1).alias("y"), *((n.cast("double") if not p else F.length(F.regexp_replace("text", p, "")) / n).alias(c) for c, p in SHAPES.items()))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # runs of other characters are taken out at once, which leaves as many as one by one
+    counted = docs.select("doc_id", *((n.cast("double") if not p else F.try_divide(F.length(F.regexp_replace("text", f"{p}+", "")), n)).alias(c) for c, p in SHAPES.items()))
+    raw = materialise(counted.join(table(spark, sf_dir, "labels").select("doc_id", (2.0 * F.col("quality") - 1).alias("y")), "doc_id"), "features")
     facts = raw.agg(*(F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"{c}_f") for c in SHAPES))
-    x = raw.crossJoin(F.broadcast(facts)).select("doc_id", "y", F.array(*((F.col(c) - F.col(f"{c}_f.m")) / F.col(f"{c}_f.s") for c in SHAPES)).alias("x"))  # one row
-    shuffled = x.withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary")))
+    return raw.crossJoin(F.broadcast(facts)).select("doc_id", "y", F.array(*((F.col(c) - F.col(f"{c}_f.m")) / F.col(f"{c}_f.s") for c in SHAPES)).alias("x"))  # one row
+
+
+def svm_rows(spark, sf_dir):
+    """(place, x, y); places are a permutation by hash, so that slices are mini-batches."""
+    shuffled = svm_features(spark, sf_dir).withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary")))
     return numbered(shuffled, ["h", "doc_id"], "place").select((F.col("place") - 1).alias("place"), "x", "y")
 
 
@@ -131,8 +138,8 @@ QUERIES = {
     "gram_matrix": lambda s, d: _round(learn.gram(_gram(s, d)), 8, "x"),
     "svd_singular_values": lambda s, d: _round(s.createDataFrame(learn.singular_values(_gram(s, d)), "rank int, singular_value double, eigenvalue double"), 6, "singular_value", "eigenvalue"),
     "svd_power_sums": lambda s, d: s.createDataFrame([(k, round(sum(e**k for _, _, e in found), 3)) for found in [learn.singular_values(_gram(s, d))] for k in range(1, 5)], "k int, power_sum double"),
-    "svm_cost": lambda s, d: _round(learn.svm_cost(svm_rows(s, d), W, B), 4, "cost"),
-    "svm_gradient": lambda s, d: _round(learn.svm_gradient(svm_rows(s, d), W, B), 4, "g"),
+    "svm_cost": lambda s, d: _round(learn.svm_cost(svm_features(s, d), W, B), 4, "cost"),
+    "svm_gradient": lambda s, d: _round(learn.svm_gradient(svm_features(s, d), W, B), 4, "g"),
     **{name: lambda s, d, name=name: _descent(s, d, name) for name in DESCENTS},
     "cms_table": lambda s, d: sk.build(words(s, d), WIDE),
     "cms_estimate": lambda s, d: _estimates(s, d, NARROW),

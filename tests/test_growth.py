@@ -7,7 +7,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from quarry.operators import graph, itemsets, recommend, vector_search
+from quarry.operators import graph, itemsets, learn, recommend, vector_search
+from quarry.plans import models
 
 
 @pytest.fixture
@@ -107,3 +108,17 @@ def test_waves_keep_the_order_of_each_user_and_item():
     for ids in (us, its):
         for x in set(ids):
             assert list(order[ids[order] == x]) == sorted(order[ids[order] == x])
+
+
+def test_texts_are_read_once_and_not_shuffled(spark, monkeypatch):
+    plans, write = [], models.materialise
+    monkeypatch.setattr(models, "materialise", lambda df, *a: (plans.append(df), write(df, *a))[1])
+    rows = models.svm_features(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "regexp_replace" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" in plans[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_descent_is_compiled(spark):
+    rows = spark.createDataFrame([([1.0, 2.0], 1.0)], "x array<double>, y double")
+    assert "aggregate(" not in learn.svm_cost(rows, [0.5, -0.5], 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert learn.svm_cost(rows, [0.5, -0.5], 0.1).first().cost == 0.25 + 100 * (1 - (0.5 - 1.0 + 0.1))
