@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from quarry.operators import graph, itemsets, learn, recommend, vector_search
+from quarry.operators import graph, itemsets, learn, recommend, similarity, vector_search
 from quarry.plans import models
 
 
@@ -122,3 +122,11 @@ def test_a_descent_is_compiled(spark):
     rows = spark.createDataFrame([([1.0, 2.0], 1.0)], "x array<double>, y double")
     assert "aggregate(" not in learn.svm_cost(rows, [0.5, -0.5], 0.1)._jdf.queryExecution().executedPlan().toString()
     assert learn.svm_cost(rows, [0.5, -0.5], 0.1).first().cost == 0.25 + 100 * (1 - (0.5 - 1.0 + 0.1))
+
+
+def test_character_shingles_are_counted_in_their_row(spark):
+    texts = ["abcabcabcabc", "ab", "", None, "  A  b\nC d e", "a😀b😀a😀b😀a", "é" * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = similarity.char_shingle_counts(docs)
+    assert "explode" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.n for r in found.collect()} == {0: 3, 1: 1, 4: 5, 5: 4, 6: 1}
