@@ -9,6 +9,7 @@ import pytest
 
 from quarry.operators import graph, itemsets, learn, recommend, similarity, vector_search
 from quarry.plans import models
+from quarry.sources import formats
 
 
 @pytest.fixture
@@ -130,3 +131,20 @@ def test_character_shingles_are_counted_in_their_row(spark):
     found = similarity.char_shingle_counts(docs)
     assert "explode" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.doc_id: r.n for r in found.collect()} == {0: 3, 1: 1, 4: 5, 5: 4, 6: 1}
+
+
+def test_lines_are_numbered_over_files_and_splits(spark, tmp_path):
+    for n in range(3):  # the last file is the largest, which Spark reads first
+        (tmp_path / f"part-{n}.txt").write_text("".join(f"i{n}-{k}{'x' * 50 * n}\n" for k in range(5 + 40 * n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = {r.i: r.name.rstrip("x") for r in formats.names(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == dict(enumerate(f"i{n}-{k}" for n in range(3) for k in range(5 + 40 * n)))
+
+
+def test_a_matrix_is_cut_at_its_ones(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("0 1 0 1\n\n1 1 1 1\n0 0 0 0\n 0  2.5\t0 0\n1\n")
+    found = formats.utility(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (0, 3), (1, 0), (1, 1), (1, 2), (1, 3), (3, 1), (4, 0)]
