@@ -26,14 +26,25 @@ def mutual_friends(friends: DataFrame) -> DataFrame:
     return pairs.join(friends.select(F.col("user").alias("a"), F.col("friend").alias("b")), ["a", "b"], "left_anti")
 
 
+def _second_degree(friends: DataFrame) -> DataFrame:
+    """(user, candidate, mutual): friends of friends who are no friends, in both directions, dealt by user. What is shuffled is
+    each friend's list of friends, a hub's in blocks, to each user that it is for; pairs are made and counted where the user is."""
+    held = friends.select(F.col("friend").alias("middle"), "user", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("friend")) / HUB).alias("blocks"))
+    lists = held.groupBy("middle", F.pmod(F.xxhash64("user"), F.col("blocks")).alias("block")).agg(F.collect_list("user").alias("candidates"))
+    asked = held.select("middle", "user", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    paths = asked.hint("merge").join(lists, ["middle", "block"]).select("user", "candidates", F.lit(1).alias("path"))
+    known = friends.select("user", F.array("friend").alias("candidates"), F.lit(0).alias("path"))
+    pairs = paths.unionByName(known).repartition("user").select("user", F.explode("candidates").alias("candidate"), "path").where("candidate <> user")
+    return pairs.groupBy("user", "candidate").agg(F.sum("path").alias("mutual"), F.min("path").alias("new")).where("new = 1").select("user", "candidate", "mutual")
+
+
 def recommendations(friends: DataFrame, k: int = 10, users: list[int] | None = None) -> DataFrame:
     """(user, candidate, mutual, rank): the k candidates with most mutual friends, ties to the smaller id.
 
     Given some users, only the paths that start at them are followed.
     """
     if users is None:
-        pairs = mutual_friends(friends)
-        both = pairs.select(F.col("a").alias("user"), F.col("b").alias("candidate"), "mutual").unionByName(pairs.select(F.col("b").alias("user"), F.col("a").alias("candidate"), "mutual"))
+        both = _second_degree(friends)
     else:
         first = friends.where(F.col("user").isin(users)).select("user", F.col("friend").alias("middle"))
         both = first.join(friends.select(F.col("user").alias("middle"), F.col("friend").alias("candidate")), "middle").where("candidate <> user").groupBy("user", "candidate").agg(F.count(F.lit(1)).alias("mutual"))

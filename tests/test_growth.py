@@ -148,3 +148,19 @@ def test_a_matrix_is_cut_at_its_ones(spark, tmp_path):
     (tmp_path / "m.txt").write_text("0 1 0 1\n\n1 1 1 1\n0 0 0 0\n 0  2.5\t0 0\n1\n")
     found = formats.utility(spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == [(0, 1), (0, 3), (1, 0), (1, 1), (1, 2), (1, 3), (3, 1), (4, 0)]
+
+
+def test_pairs_of_friends_are_made_where_the_user_is(spark, ring, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 7)
+    friends = graph.undirected(ring)
+    near = {}
+    for r in friends.collect():
+        near.setdefault(r.user, set()).add(r.friend)
+    want = set()
+    for u in near:
+        mutual = {c: len(near[u] & near[c]) for c in near if c != u and c not in near[u] and near[u] & near[c]}
+        want |= {(u, c, mutual[c], n) for n, c in enumerate(sorted(mutual, key=lambda c: (-mutual[c], c))[:10], 1)}
+    found = graph.recommendations(friends)
+    assert set(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode(candidates")]
